@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, mixing, sharding
+from babelmill.llm import chat, mixing, near_dedup, sharding
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_feistel_sharding": sharding.op5_feistel_sharding,
     "op7_chat_format": chat.op7_chat_format,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
