@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, mixing, near_dedup, sharding
+from babelmill.llm import chat, mixing, near_dedup, sharding, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op4_mixing": mixing.op4_mixing,
     "op5_feistel_sharding": sharding.op5_feistel_sharding,
     "op7_chat_format": chat.op7_chat_format,
@@ -12,6 +13,19 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, url, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+  FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
+       url, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
+""",
     "op7_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
