@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, decontamination, mixing, near_dedup, sharding, warc
+from babelmill.llm import chat, decontamination, mixing, near_dedup, quality, sharding, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_mixing": mixing.op4_mixing,
     "op5_feistel_sharding": sharding.op5_feistel_sharding,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_format": chat.op7_chat_format,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
