@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, decontamination, mixing, near_dedup, quality, sharding, warc
+from babelmill.llm import chat, decontamination, lm_scoring, mixing, near_dedup, quality, sharding, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_warc": warc.op3_warc,
     "op4_mixing": mixing.op4_mixing,
     "op5_feistel_sharding": sharding.op5_feistel_sharding,
