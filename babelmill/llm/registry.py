@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, decontamination, licenses, lm_scoring, mixing, near_dedup, quality, sharding, warc
+from babelmill.llm import chat, decontamination, licenses, lm_scoring, mixing, near_dedup, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_feistel_sharding": sharding.op5_feistel_sharding,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_chat_format": chat.op7_chat_format,
+    "op10_secret_scan": secrets.op10_secret_scan,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
