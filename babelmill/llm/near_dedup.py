@@ -168,16 +168,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes_of(described: DataFrame) -> DataFrame:
-    """One row a distinct shingle set: cid, its least doc_id, a row that has it, its size and signature."""
-    return (
-        described.where("n > 0").groupBy("d1", "d2", "n", "sig")
-        .agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("row_id")).withColumnRenamed("d1", "cid")
-    )
+    """One row a distinct shingle set: cid, its least doc_id, the row that has it, its size and signature."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "row_id")).alias("first")
+    found = described.where("n > 0").groupBy("d1", "d2", "n", "sig").agg(first).withColumnRenamed("d1", "cid")
+    return found.select("*", F.col("first.doc_id").alias("least_id"), F.col("first.row_id").alias("row_id"))
+
+
+def row_key() -> Column:
+    """A key of rows (doc_id, text); repeated rows share it."""
+    return F.xxhash64("doc_id", "text")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, columns as they are: the one of the least doc_id."""
+    found = stored(near_duplicates(docs).select("row_id", "stays"), "near-verdicts")
+    keyed = docs.withColumn("_row_key", row_key())
+    gone = found.where(~F.col("stays")).select("row_id").distinct()
+    left = without_keys(keyed, gone)
+    # Rows repeated as they are share a key: of those that stay, one is left (aggregated map-side, so none is hot).
+    again = found.where("stays").groupBy("row_id").count().where("count > 1").select("row_id")
+    if not again.head(1):
+        return left.drop("_row_key")
+    many = left.join(again, F.col("_row_key") == F.col("row_id"), "left_semi")
+    one = many.groupBy("_row_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return without_keys(left, again).drop("_row_key").unionByName(one)
+
+
+def without_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """keyed without the rows whose _row_key is in keys(row_id); keys are broadcast only below a checked number."""
+    keys = stored(keys, "keys")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return keyed.join(side, F.col("_row_key") == F.col("row_id"), "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (confirmed links of the document's class)."""
-    docs = docs.select("doc_id", "text").withColumn("row_id", F.xxhash64("doc_id", "text"))
+    """row_id, doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's class) and stays.
+
+    row_id is row_key() of the row. kept says that doc_id is the component's least; stays is true for just one row_id of
+    each component, also where ids are null or repeated.
+    """
+    docs = docs.select("doc_id", "text").withColumn("row_id", row_key())
     described = docs.select("row_id", "doc_id", "text").mapInArrow(_described_rows, f"row_id long, {SIGNED}")
     described = stored(described, "near-described")
     classes = stored(classes_of(described), "near-classes")
@@ -217,17 +247,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = components(links)
         if last:
             break
-    least = classes.select("cid", "least_id").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = classes.select("cid", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    lowest = least.groupBy("root").agg(F.min("first").alias("lowest"))
     n_links = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    by_class = least.join(lowest, "root").join(n_links, "cid", "left").select("cid", "component_id", "n_links")
+    by_class = least.join(lowest, "root").join(n_links, "cid", "left").select("cid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row_id").alias("_stays"), "n_links")
     out = described.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("d1")).alias("cid"))
     out = out.join(by_class, "cid", "left")
     empty = F.col("n_shingles") == 0
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "row_id", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), (empty | (F.col("row_id") == F.col("_stays"))).alias("stays"),
     )
 
 

@@ -27,6 +27,8 @@ from babelmill.llm.common import SPACE_WORD, stored, table
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 5
 #: Cut points a feature, conditions a rule, rules, and what a rule must reach on the pruning rows.
 CUTS, CONDITIONS, RULES, PRECISION, LEAST_FOUND = 24, 4, 16, 0.95, 3
+#: Labels that a broadcast may hold; beyond that the join is an ordinary one.
+BROADCAST_LABELS = 1 << 20
 FEATURES = ("n_words", "word_length", "symbol_share", "line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "mark_share")
 
 
@@ -225,6 +227,22 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], seed: int = 6) -
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
 
 
+def learned(docs: DataFrame, labels: DataFrame, seed: int = 6) -> list[Rule]:
+    """Rules from the labelled documents alone."""
+    bad = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("bad"))
+    bad = stored(bad, "quality-labels")
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_LABELS else bad
+    some = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_id"))
+    return learn(stored(with_features(text_statistics(some, ["doc_id", "bad"])).where(~F.col("base_failed")), "quality-statistics"), seed)
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs, columns as they are, that no rule rejects: statistics and rules in one pass, without a shuffle."""
+    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    stats = with_features(text_statistics(row, ["_row"]))
+    return stats.where(~F.col("base_failed") & decision_list(rules).isNull()).select("_row.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
