@@ -8,8 +8,9 @@ probability of about 1e-7 (0.263 ** 12).
 
 Texts of equal shingle sets are one class, found by a 128-bit digest of the set; only classes are indexed. Within a
 key, classes are compared with the smallest class first (a star, not all pairs); links are confirmed on the full
-shingle sets and joined to components; then only members of a key that are still in different components are compared
-with one another, so that no link between components is lost. Hot keys are pre-aggregated and joined under adaptive
+shingle sets and joined to components. Then members of a key that are still in different components meet, so that no
+link between components is lost; left out are pairs that can't be linked because too many of a class's shingles occur
+in no other of these classes (an exact bound). Hot keys are pre-aggregated and joined under adaptive
 skew splitting; components are found by alternating large and small stars in stored tables.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and kept; rows of equal doc_id are separate
@@ -32,11 +33,12 @@ from babelmill.llm.common import stored, table
 SHINGLE, CHUNKS, WIDTH = 4, 12, 5
 SIZE = CHUNKS * WIDTH
 LANES = SIZE // 4
-#: A looser distance for skipping the full comparison: at similarity 0.8 it is passed but for about 1e-12.
-FAR = 36
+#: Beyond this distance the full comparison is skipped: at similarity 0.8 that has a probability below 1e-6.
+FAR = 28
 #: Ids that a broadcast may hold (8 bytes each); beyond that the join is an ordinary one.
 BROADCAST_IDS = 1 << 21
-ROUNDS = 40
+#: Further centres tried for keys whose classes stay apart, before all that are apart meet.
+TURNS = 3
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -125,30 +127,50 @@ def alike(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * 80
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of classes those with 100 * intersection >= 80 * union on the full sets."""
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, shingles of the classes in wanted(cid): their full sets, made anew from their texts."""
+    wanted = stored(wanted.distinct().join(classes.select("cid", "row_id"), "cid"), "near-wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return stored(docs.join(ids, "row_id").select("cid", "text").mapInArrow(_sets, "cid long, shingles array<long>"), "near-sets", "none")
+
+
+def near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of classes those that their sizes and signatures allow, with the sizes."""
     c = classes.select("cid", "n", "sig")
-    near = (
+    found = (
         pairs.join(c.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")), "u")
         .join(c.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")), "v")
         .where(alike(F.col("nu"), F.col("nv")) & (distance(F.col("su"), F.col("sv")) <= FAR))
-        .select("u", "v", "nu", "nv")
     )
-    near = stored(near, "near-pairs")
-    wanted = near.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes.select("cid", "row_id"), "cid")
-    wanted = stored(wanted, "near-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    ids = F.broadcast(wanted) if few else wanted
-    sets = docs.join(ids, "row_id").select("cid", "text").mapInArrow(_sets, "cid long, shingles array<long>")
-    sets = stored(sets, "near-sets", "none")
-    both = near.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("a")), "u").join(
+    return stored(found.select("u", "v", "nu", "nv"), "near-pairs")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of near() pairs those with 100 * intersection >= 80 * union on the full sets."""
+    both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("cid").alias("v"), F.col("shingles").alias("b")), "v"
     )
-    same = F.size(F.array_intersect("a", "b")).cast("long")
-    both = both.withColumn("i", same).where(F.col("i") * 100 >= (F.col("nu") + F.col("nv") - F.col("i")) * 80)
+    both = both.withColumn("i", F.size(F.array_intersect("a", "b")).cast("long"))
+    both = both.where(F.col("i") * 100 >= (F.col("nu") + F.col("nv") - F.col("i")) * 80)
     return stored(both.select("u", "v").distinct(), "near-links")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """cid, n_alone: how many shingles of a class no other class of `sets` has.
+
+    A class can only be linked by shingles that it shares: an intersection is at most n - n_alone.
+    """
+    one = sets.groupBy("cid").agg(F.first("shingles").alias("shingles")).select("cid", F.explode("shingles").alias("shingle"))
+    alone = one.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("cid").alias("cid")).where("_n = 1")
+    return alone.groupBy("cid").agg(F.count("*").alias("n_alone"))
+
+
+def mixed_keys(labelled: DataFrame) -> DataFrame:
+    """Rows (key, cid, root, ...) of the keys whose classes are in different components."""
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    return labelled.join(mixed, "key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """cid, root of every class in an edge: alternating large and small stars until nothing changes."""
     e = stored(edges.select("u", "v").where("u <> v").distinct(), "stars")
@@ -216,37 +238,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("_last")).where("centre < _last").drop("_last")
     members = stored(keys.join(shared, "key"), "near-members")
     pairs = members.where("cid <> centre").select(F.col("centre").alias("u"), F.col("cid").alias("v")).distinct()
-    links = confirmed(docs, classes, pairs)
-    done = pairs
+    pairs = near(classes, pairs)
+    links = confirmed(pairs, sets_of(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("cid"))))
+    done = pairs.select("u", "v")
     roots = components(links)
-    for turn in range(ROUNDS):
-        # Members of a key that are still in different components.
-        labelled = members.select("key", "cid", "n").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n")).where("_a < _b")
-        rest = stored(labelled.join(mixed.select("key", "_n"), "key"), "near-mixed")
-        work = rest.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+
+    def with_roots(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+    # Members of a key that are still in different components, and could share enough with any other of them.
+    rest = stored(mixed_keys(with_roots(members.select("key", "cid", "n"))), "near-mixed")
+    sets = sets_of(docs, classes, rest.select("cid"))
+    shared = F.col("n") - F.coalesce("n_alone", F.lit(0))
+    rest = rest.join(shared_sizes(sets), "cid", "left").withColumn("shared", shared).where("shared * 100 >= n * 80")
+    rest = stored(mixed_keys(rest.select("key", "cid", "n", "shared", "root")), "near-mixed")
+    enough = lambda a, b, n, m: F.least(a, b) * 180 >= (n + m) * 80  # noqa: E731  the intersection that 0.8 takes
+    for turn in range(TURNS + 1):
+        counts = rest.groupBy("key", "root").agg(F.count("*").alias("_n")).groupBy("key").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_s"))
+        work = counts.agg(F.coalesce(F.sum(F.col("_n") * F.col("_n") - F.col("_s")), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
         if not work[1]:
             break
-        if work[0] <= 64 * work[1] or turn == ROUNDS - 1:
-            # Small keys: all members of different components meet, each pair under any of its keys once.
-            a = rest.select("key", F.col("cid").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"))
-            b = rest.select("key", F.col("cid").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"))
-            new = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & alike(F.col("_nu"), F.col("_nv")))
-            last = True
+        if last := (work[0] <= 32 * work[1] or turn == TURNS):
+            # All members of different components meet, each pair once.
+            a = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "shared", "root")])
+            b = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "shared", "root")])
+            on = (a.key == b.key) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b"))
+            on = on & enough(F.col("shared_a"), F.col("shared_b"), F.col("n_a"), F.col("n_b"))
+            new = a.join(b, on).select(F.col("cid_a").alias("u"), F.col("cid_b").alias("v"))
         else:
-            # Large keys: another centre for each, met by the members of other components.
-            centre = rest.groupBy("key").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(turn))).alias("_c"))
-            new = rest.join(centre, "key").where("root <> _c.root").select(
-                F.least("cid", F.col("_c.cid")).alias("u"), F.greatest("cid", F.col("_c.cid")).alias("v")
-            )
-            last = False
-        new = stored(new.select("u", "v").distinct().join(done, ["u", "v"], "left_anti"), "near-new")
-        found = confirmed(docs, classes, new)
-        done = done.union(new)
+            # Large keys: another centre for each first, met by the members of other components.
+            centre = rest.groupBy("key").agg(F.min_by(F.struct("cid", "root", "n", "shared"), F.xxhash64("cid", F.lit(turn))).alias("_c"))
+            met = rest.join(centre, "key").where("root <> _c.root").where(alike(F.col("n"), F.col("_c.n")))
+            met = met.where(enough(F.col("shared"), F.col("_c.shared"), F.col("n"), F.col("_c.n")))
+            new = met.select(F.least("cid", F.col("_c.cid")).alias("u"), F.greatest("cid", F.col("_c.cid")).alias("v"))
+        new = near(classes, new.distinct().join(done, ["u", "v"], "left_anti"))
+        found = confirmed(new, sets)
+        done = done.union(new.select("u", "v"))
         links = links.union(found)
         roots = components(links)
         if last:
             break
+        rest = stored(mixed_keys(with_roots(rest.drop("root"))), "near-mixed")
     least = classes.select("cid", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = least.groupBy("root").agg(F.min("first").alias("lowest"))
     n_links = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
