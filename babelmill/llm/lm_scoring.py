@@ -33,7 +33,7 @@ from babelmill.llm.common import stored, table
 
 MU = 100.0
 #: Tokens of a segment, and tokens of the corpus for each bucket.
-SEGMENT_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1 << 21, 1 << 20, 64
+SEGMENT_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1 << 19, 1 << 20, 64
 END = np.uint64(0xE0E0E0E0E0E0E0E1)
 FOLDS, HELD_OUT = 7, 2
 SEGMENTS = "segment long, doc_ids array<long>, held_out array<boolean>, n_tokens array<int>, vocabulary binary, tokens binary"
