@@ -38,7 +38,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId() << 32
     made = 0
     hashes: list[np.ndarray] = []
-    ids: list[np.ndarray] = []
+    ids: list[list] = []
     sizes: list[np.ndarray] = []
     tokens = 0
 
@@ -52,13 +52,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         delta = np.diff(held, prepend=0)  # within a term's list: steps; its first place stays as it is
         delta[first] = held[first]
         row = {
-            "segment": [task + made], "row_ids": [np.concatenate(ids).tolist()], "n_words": [n.tolist()],
+            "segment": [task + made], "row_ids": [sum(ids, [])], "n_words": [n.tolist()],
             "terms": [terms.tobytes()], "counts": [counts.astype(np.int32).tobytes()], "postings": [delta.astype(np.int32).tobytes()],
         }
         return pa.RecordBatch.from_pydict(row, pa.schema([("segment", pa.int64()), ("row_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())]))
 
     for batch in batches:
-        row_ids = batch.column("row_id").to_numpy(zero_copy_only=False)
+        row_ids = batch.column("row_id").to_pylist()
         for first_row, offsets, data in tn.chunks(batch.column("text")):
             starts, ends, first = tn.word_spans(data, offsets, tn.ALNUM)
             hashes.append(tn.word_hashes(data, starts, ends))
