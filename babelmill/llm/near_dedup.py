@@ -224,7 +224,7 @@ def without_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's class) and stays.
+    """row_id, doc_id, n_shingles, component_id, kept and stays.
 
     row_id is row_key() of the row. kept says that doc_id is the component's least; stays is true for just one row_id of
     each component, also where ids are null or repeated.
@@ -281,15 +281,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = stored(mixed_keys(with_roots(rest.drop("root"))), "near-mixed")
     least = classes.select("cid", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = least.groupBy("root").agg(F.min("first").alias("lowest"))
-    n_links = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    by_class = least.join(lowest, "root").join(n_links, "cid", "left").select("cid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row_id").alias("_stays"), "n_links")
+    by_class = least.join(lowest, "root").select("cid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row_id").alias("_stays"))
     out = described.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("d1")).alias("cid"))
     out = out.join(by_class, "cid", "left")
     empty = F.col("n_shingles") == 0
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "row_id", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), (empty | (F.col("row_id") == F.col("_stays"))).alias("stays"),
+        (empty | (F.col("row_id") == F.col("_stays"))).alias("stays"),
     )
 
 
@@ -300,4 +299,4 @@ def _described_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

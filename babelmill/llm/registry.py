@@ -53,6 +53,23 @@ SELECT page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 """,
     "op8_license_scan": licenses.oracle(),
+    "op9_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (SELECT DISTINCT x AS r, x AS z FROM e UNION SELECT reach.r, e.y FROM reach JOIN e ON reach.z = e.x
+), low AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.z GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) IS NOT DISTINCT FROM doc_id AS kept
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN low ON d.r = low.r
+""",
     "op7_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
