@@ -66,14 +66,14 @@ def terms_in_segments(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     A single word is found as a word of the segment (Latin letters, digits and ', or Arabic), a term with inner space
     as a substring, both without regard to case; of terms equal but for case the first counts.
     """
-    g = glossary.where(F.trim("source_term") != "").withColumn("k", F.lower(F.trim("source_term")))
+    g = glossary.where(F.col("source_term") != "").withColumn("k", F.lower("source_term"))
     g = first_by_key(g, "k", "id")
     s = segments.select("segment_id", F.lower("text").alias("_t"))
-    several = F.col("k").rlike(r"\s")
-    words = F.array_distinct(F.regexp_extract_all("_t", F.lit(r"([a-z0-9']+|[؀-ۿݐ-ݿࢠ-ࣿ]+)"), F.lit(0)))
+    several = F.contains(F.trim("k"), F.lit(" "))
+    words = F.array_distinct(F.regexp_extract_all("_t", F.lit(r"([a-z0-9']+|[؀-ۿݐ-ݿ]+)"), F.lit(0)))
     single = s.select("segment_id", F.explode(words).alias("k")).join(side(g.where(~several)), "k").drop("k")
     # A term of several words begins at the end of some word of the segment: they meet under that suffix.
-    multi = g.where(several).withColumn("_w", F.element_at(F.split("k", r"\s"), 1))
+    multi = g.where(several).withColumn("_w", F.element_at(F.split(F.ltrim("k"), r"\s"), 1))
     suffixes = F.flatten(F.transform(F.split("_t", r"\s+"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.length(w)))))
     held = s.select("segment_id", "_t", F.explode(F.array_distinct(suffixes)).alias("_w"))
     phrase = held.join(side(multi), "_w").where(F.contains(F.col("_t"), F.col("k"))).drop("_t", "_w", "k")
