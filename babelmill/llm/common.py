@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words for the size and quality contracts: runs of anything but ASCII white space.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-
+from babelmill.operators.lineage import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='babelmill-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["SPACE_WORD", "domain_bits", "feistel", "shared_dir", "stored", "table"]
 
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words for the size and quality contracts: runs of anything but ASCII white space.
+SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
