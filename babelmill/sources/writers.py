@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -16,6 +17,19 @@ from babelmill.operators.keyed import concatenated, last_wins
 from babelmill.sources.exchange import WORD, name_of, paragraph_text
 
 
+START_TAG = re.compile(rb"<[^?!][^>]*>", re.DOTALL)
+
+
+def with_preamble(original: bytes, made: bytes) -> bytes:
+    """made with the bytes of the original up to the end of its root tag, unless that lacks a namespace that made needs."""
+    old, new = START_TAG.search(original), START_TAG.search(made)
+    spaces = lambda tag: {(n, u.strip(b"\"'")) for n, u in re.findall(rb"(xmlns[^=\s]*)\s*=\s*(\"[^\"]*\"|'[^']*')", tag)}
+    if old is None or new is None or spaces(new[0]) - spaces(old[0]):
+        return made
+    out = original[: old.end()] + made[new.end() :]
+    return out + b"\n" if original.endswith(b"\n") and not out.endswith(b"\n") else out
+
+
 def filled_xliff(content: bytes, translations: dict[str, str]) -> tuple[bytes, list[str]]:
     """The file with targets set by segment id, and the ids that it does not have, in order."""
     for _, (prefix, uri) in ET.iterparse(io.BytesIO(content), events=["start-ns"]):
@@ -49,7 +63,8 @@ def filled_xliff(content: bytes, translations: dict[str, str]) -> tuple[bytes, l
             for e in unit.iter():
                 if name_of(e) == "seg" and e.get("id") == i:
                     e.set("conf", "Translated")
-    return ET.tostring(root, encoding="utf-8", xml_declaration=True), sorted(set(translations) - used)
+    made = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+    return with_preamble(content, made), sorted(set(translations) - used)
 
 
 def filled_docx(content: bytes, translations: dict[str, str]) -> tuple[bytes, list[str]]:

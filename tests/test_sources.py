@@ -41,6 +41,9 @@ def test_xliff_round_trip(spark):
     t = spark.createDataFrame([("f0", "1", 0, "x"), ("f0", "1", 1, "y"), ("f0", "zz", 2, "z")], "path string, id string, pos int, text string")
     r = writers.fill_xliff(files, t).first()
     assert r.unmatched == ["zz"] and b'mid="1">y</' in bytes(r.content)
+    assert bytes(r.content).startswith(XLIFF[: XLIFF.index(b">") + 1])
+    named = b"<?xml version='1.0'?>\r\n<xliff xmlns='u:x'  version=\"1.2\"><file/></xliff>\n"
+    assert writers.filled_xliff(named, {}) == (named.replace(b"<file/>", b"<file />"), [])
 
 
 def test_docx(spark):
