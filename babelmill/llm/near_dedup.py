@@ -9,8 +9,8 @@ probability of about 1e-7 (0.263 ** 12).
 Texts of equal shingle sets are one class, found by a 128-bit digest of the set; only classes are indexed. Within a
 key, classes are compared with the smallest class first (a star, not all pairs); links are confirmed on the full
 shingle sets and joined to components. Then members of a key that are still in different components meet, so that no
-link between components is lost; left out are pairs that can't be linked because too many of a class's shingles occur
-in no other of these classes (an exact bound). Hot keys are pre-aggregated and joined under adaptive
+link between components is lost; a parity sketch, which bounds the difference of two sets from below, leaves out pairs
+that can't be linked before they are made. Hot keys are pre-aggregated and joined under adaptive
 skew splitting; components are found by alternating large and small stars in stored tables.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and kept; rows of equal doc_id are separate
@@ -33,12 +33,14 @@ from babelmill.llm.common import stored, table
 SHINGLE, CHUNKS, WIDTH = 4, 12, 5
 SIZE = CHUNKS * WIDTH
 LANES = SIZE // 4
+#: Bits of the parity sketch of a set.
+SKETCH = 1024
 #: Beyond this distance the full comparison is skipped: at similarity 0.8 that has a probability below 1e-6.
 FAR = 28
 #: Ids that a broadcast may hold (8 bytes each); beyond that the join is an ordinary one.
 BROADCAST_IDS = 1 << 21
-#: Further centres tried for keys whose classes stay apart, before all that are apart meet.
-TURNS = 3
+#: Further centres tried for keys that hold more than LARGE classes apart, before all that are apart meet.
+TURNS, LARGE = 3, 4096
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -62,24 +64,34 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (tn.mix64(low) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, sig array<long>"
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as their
+    sketches in bits."""
+    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+
+
+SIGNED = "doc_id long, n long, d1 long, d2 long, sig array<long>, sketch array<long>"
+
+
+def lists(rows: list[np.ndarray], width: int) -> pa.ListArray:
+    flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").cast(pa.int64())
-        n, d1, d2, sigs = [], [], [], []
+        n, d1, d2, sigs, sketches = [], [], [], [], []
         for s in shingle_sets(batch.column("text")):
             n.append(len(s))
             if not len(s):
-                d1.append(0), d2.append(0), sigs.append(np.zeros(LANES, np.int64))
+                d1.append(0), d2.append(0), sigs.append(np.zeros(LANES, np.int64)), sketches.append(np.zeros(SKETCH // 64, np.int64))
                 continue
             d1.append(int(tn.signed(tn.mix64(np.array([s.sum()])))[0]))
             d2.append(int(tn.signed(np.array([tn.mix64(s).sum()]))[0]))
-            sigs.append(signature(s).view(np.int64))
-        flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-        sig = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * LANES), flat)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), sig], ["doc_id", "n", "d1", "d2", "sig"])
+            sigs.append(signature(s).view(np.int64)), sketches.append(parities(s))
+        columns = [ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(sigs, LANES), lists(sketches, SKETCH // 64)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "sig", "sketch"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +134,12 @@ def distance(a: Column, b: Column) -> Column:
     return total
 
 
+def close(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """Sketches that a similarity of 0.8 allows: then the sets differ in (n + m) / 9 shingles at most. Loses no pair."""
+    bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return bits * 9 <= n + m
+
+
 def alike(n: Column, m: Column) -> Column:
     """Sizes that a similarity of 0.8 allows."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * 80
@@ -136,12 +154,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
 
 def near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (u, v) of classes those that their sizes and signatures allow, with the sizes."""
-    c = classes.select("cid", "n", "sig")
-    found = (
-        pairs.join(c.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")), "u")
-        .join(c.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")), "v")
-        .where(alike(F.col("nu"), F.col("nv")) & (distance(F.col("su"), F.col("sv")) <= FAR))
-    )
+    held = lambda x: classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "sketch")])
+    found = pairs.join(held("u"), "u").join(held("v"), "v").withColumnsRenamed({"n_u": "nu", "n_v": "nv"})
+    found = found.where(alike(F.col("nu"), F.col("nv")) & close(F.col("sketch_u"), F.col("sketch_v"), F.col("nu"), F.col("nv")))
+    found = found.where(distance(F.col("sig_u"), F.col("sig_v")) <= FAR)
     return stored(found.select("u", "v", "nu", "nv"), "near-pairs")
 
 
@@ -155,16 +171,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.select("u", "v").distinct(), "near-links")
 
 
-def shared_sizes(sets: DataFrame) -> DataFrame:
-    """cid, n_alone: how many shingles of a class no other class of `sets` has.
-
-    A class can only be linked by shingles that it shares: an intersection is at most n - n_alone.
-    """
-    one = sets.groupBy("cid").agg(F.first("shingles").alias("shingles")).select("cid", F.explode("shingles").alias("shingle"))
-    alone = one.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("cid").alias("cid")).where("_n = 1")
-    return alone.groupBy("cid").agg(F.count("*").alias("n_alone"))
-
-
 def mixed_keys(labelled: DataFrame) -> DataFrame:
     """Rows (key, cid, root, ...) of the keys whose classes are in different components."""
     mixed = labelled.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
@@ -192,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes_of(described: DataFrame) -> DataFrame:
     """One row a distinct shingle set: cid, its least doc_id, the row that has it, its size and signature."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "row_id")).alias("first")
-    found = described.where("n > 0").groupBy("d1", "d2", "n", "sig").agg(first).withColumnRenamed("d1", "cid")
+    found = described.where("n > 0").groupBy("d1", "d2", "n", "sig", "sketch").agg(first).withColumnRenamed("d1", "cid")
     return found.select("*", F.col("first.doc_id").alias("least_id"), F.col("first.row_id").alias("row_id"))
 
 
@@ -246,33 +252,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def with_roots(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
-    # Members of a key that are still in different components, and could share enough with any other of them.
+    # Members of a key that are still in different components.
     rest = stored(mixed_keys(with_roots(members.select("key", "cid", "n"))), "near-mixed")
-    sets = sets_of(docs, classes, rest.select("cid"))
-    shared = F.col("n") - F.coalesce("n_alone", F.lit(0))
-    rest = rest.join(shared_sizes(sets), "cid", "left").withColumn("shared", shared).where("shared * 100 >= n * 80")
-    rest = stored(mixed_keys(rest.select("key", "cid", "n", "shared", "root")), "near-mixed")
-    enough = lambda a, b, n, m: F.least(a, b) * 180 >= (n + m) * 80  # noqa: E731  the intersection that 0.8 takes
     for turn in range(TURNS + 1):
         counts = rest.groupBy("key", "root").agg(F.count("*").alias("_n")).groupBy("key").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_s"))
         work = counts.agg(F.coalesce(F.sum(F.col("_n") * F.col("_n") - F.col("_s")), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
         if not work[1]:
             break
-        if last := (work[0] <= 32 * work[1] or turn == TURNS):
-            # All members of different components meet, each pair once.
-            a = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "shared", "root")])
-            b = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "shared", "root")])
+        if last := (work[0] <= LARGE * work[1] or turn == TURNS):
+            # All members of different components meet; those whose sketches allow a link are pairs.
+            full = rest.join(classes.select("cid", "sketch"), "cid")
+            a = full.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "sketch")])
+            b = full.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "sketch")])
             on = (a.key == b.key) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b"))
-            on = on & enough(F.col("shared_a"), F.col("shared_b"), F.col("n_a"), F.col("n_b"))
+            on = on & close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
             new = a.join(b, on).select(F.col("cid_a").alias("u"), F.col("cid_b").alias("v"))
         else:
-            # Large keys: another centre for each first, met by the members of other components.
-            centre = rest.groupBy("key").agg(F.min_by(F.struct("cid", "root", "n", "shared"), F.xxhash64("cid", F.lit(turn))).alias("_c"))
+            # Very large keys: another centre for each first, met by the members of other components.
+            centre = rest.groupBy("key").agg(F.min_by(F.struct("cid", "root", "n"), F.xxhash64("cid", F.lit(turn))).alias("_c"))
             met = rest.join(centre, "key").where("root <> _c.root").where(alike(F.col("n"), F.col("_c.n")))
-            met = met.where(enough(F.col("shared"), F.col("_c.shared"), F.col("n"), F.col("_c.n")))
             new = met.select(F.least("cid", F.col("_c.cid")).alias("u"), F.greatest("cid", F.col("_c.cid")).alias("v"))
         new = near(classes, new.distinct().join(done, ["u", "v"], "left_anti"))
-        found = confirmed(new, sets)
+        found = confirmed(new, sets_of(docs, classes, new.select(F.explode(F.array("u", "v")).alias("cid"))))
         done = done.union(new.select("u", "v"))
         links = links.union(found)
         roots = components(links)
