@@ -35,8 +35,6 @@ SIZE = CHUNKS * WIDTH
 LANES = SIZE // 4
 #: Bits of the parity sketch of a set.
 SKETCH = 1024
-#: Beyond this distance the full comparison is skipped: at similarity 0.8 that has a probability below 1e-6.
-FAR = 28
 #: Ids that a broadcast may hold (8 bytes each); beyond that the join is an ordinary one.
 BROADCAST_IDS = 1 << 21
 #: Further centres tried for keys that hold more than LARGE classes apart, before all that are apart meet.
@@ -122,18 +120,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(off), flat)], ["cid", "shingles"])
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Differing 16-bit values of two signatures."""
-    total = None
-    for i in range(LANES):
-        x = a[i].bitwiseXOR(b[i])
-        for shift in (8, 4, 2, 1):  # the lowest bit of a value becomes the OR of its sixteen bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        hit = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-        total = hit if total is None else total + hit
-    return total
-
-
 def close(a: Column, b: Column, n: Column, m: Column) -> Column:
     """Sketches that a similarity of 0.8 allows: then the sets differ in (n + m) / 9 shingles at most. Loses no pair."""
     bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
@@ -153,11 +139,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
 
 
 def near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of classes those that their sizes and signatures allow, with the sizes."""
-    held = lambda x: classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "sketch")])
+    """Of pairs (u, v) of classes those that their sizes and sketches allow, with the sizes."""
+    held = lambda x: classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch")])
     found = pairs.join(held("u"), "u").join(held("v"), "v").withColumnsRenamed({"n_u": "nu", "n_v": "nv"})
     found = found.where(alike(F.col("nu"), F.col("nv")) & close(F.col("sketch_u"), F.col("sketch_v"), F.col("nu"), F.col("nv")))
-    found = found.where(distance(F.col("sig_u"), F.col("sig_v")) <= FAR)
     return stored(found.select("u", "v", "nu", "nv"), "near-pairs")
 
 
