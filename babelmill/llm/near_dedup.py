@@ -246,11 +246,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         if last := (work[0] <= LARGE * work[1] or turn == TURNS):
             # All members of different components meet; those whose sketches allow a link are pairs.
-            full = rest.join(classes.select("cid", "sketch"), "cid")
-            a = full.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "sketch")])
-            b = full.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "sketch")])
+            # A pair is made under the least key it shares, so once.
+            keys = rest.groupBy("cid").agg(F.collect_list("key").alias("keys"))
+            full = rest.join(classes.select("cid", "sketch").join(keys, "cid"), "cid")
+            a = full.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "sketch", "keys")])
+            b = full.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "sketch", "keys")])
             on = (a.key == b.key) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b"))
             on = on & close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
+            on = on & (a.key == F.array_min(F.array_intersect("keys_a", "keys_b")))
             new = a.join(b, on).select(F.col("cid_a").alias("u"), F.col("cid_b").alias("v"))
         else:
             # Very large keys: another centre for each first, met by the members of other components.
