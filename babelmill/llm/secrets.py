@@ -1,14 +1,16 @@
 """Operator 10, secret scans: candidates judged by a random forest that removes false positives.
 
-Candidates are runs of at least LEAST key characters with a digit, anywhere in a whole text, an assignment's name left
-out. Features: length, entropy, shares of character kinds, how usual the candidate's character transitions are in the
+Candidates are, anywhere in a whole text: runs of at least LEAST key characters, digits or not; such runs joined by dots,
+as a whole and each long part; and every value that follows a name holding a key word, after `=` or `:` or in quotes,
+whatever its characters and length. An assignment's name is left out. What is a secret is left to the forest. Features: length, entropy, shares of character kinds, how usual the candidate's character transitions are in the
 corpus (counted over all texts), the share of it that dictionary words cover, what its path looks like, and its
 neighbouring words. The forest (Spark ML) is trained on labelled findings; `findings` takes any table of them. The
 query trains it on TRAIN_ROWS findings made from seeded public key formats and look-alikes: that is the documented
 bound of the training sample. All candidates of all texts are then scored in the JVM.
 
-Defined cases: null text has no candidates; a null path is empty; findings of repeated rows are repeated; overlapping
-candidates don't occur; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text has no candidates; a null path is empty; findings of repeated rows are repeated; candidates
+may overlap (a dotted run and its parts, a value with and without the marks that end it), and a place is judged once for
+each start and end; a value that is not in quotes ends at white space; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,14 @@ from babelmill.llm import textnum as tn
 from babelmill.llm.common import table
 
 LEAST, TRAIN_ROWS, AROUND, SEED = 12, 6000, 48, 10
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII)
+DOTTED = re.compile(r"(?<![A-Za-z0-9+/_-])(?<![A-Za-z0-9+/_-]\.)[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)+={0,2}", re.ASCII)
+
+MARK = re.compile("[=:\"'`]")
+_QUOTED = "|".join(rf"{q}(?P<{name}>(?:\\.|[^{q}\\\n])+){q}" for q, name in (('"', "double"), ("'", "single"), ("`", "back")))
+QUOTED = re.compile(_QUOTED)
+#: What follows an assignment's mark: a quoted value, else all up to white space.
+ASSIGNED = re.compile(rf"(?:=>|:=|={{1,3}}|:)\s*(?:{_QUOTED}|[\"'`]?(?P<bare>\S+))")
 
 # Words that speak for or against a secret beside or in a candidate.
 KEY_WORDS = ("access", "api", "auth", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token")
@@ -46,6 +55,13 @@ DICTIONARY = (
     "server", "service", "session", "setting", "site", "source", "standard", "static", "style", "system", "table", "test", "text", "thumb", "title",
     "update", "upload", "user", "value", "version", "video", "view", "web", "widget", "window",
 )
+#: A name that holds a key word, at the end of what stands before a mark.
+_NAME = rf"(?:{'|'.join(KEY_WORDS)})[\w.-]*"
+NAMED = re.compile(rf"{_NAME}[\"'`)\]]*\s*$")
+NAMED_QUOTE = re.compile(rf"{_NAME}(?:\s+(?:is|was|of|to))?(?:\s+|\s*[(\[]\s*)$")
+#: A key word stands at most so many characters before its value's mark.
+NAME_CHARS = 512
+ENDING = ".,;:!?)]}>\"'`"
 COVER = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 FEATURES = (
     "length", "entropy", "digits", "uppers", "lowers", "marks", "changes", "hex", "transition", "coverage", "path_test", "in_path",
@@ -83,13 +99,35 @@ def features(found: str, before: str, after: str, path: str, steps: np.ndarray)
     return [
         float(n), -sum(c / n * math.log2(c / n) for c in counts), share("d"), share("u"), share("l"), share("m"),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(all(c in "0123456789abcdef" for c in lower)),
-        float(steps[codes[:-1], codes[1:]].mean()), sum(len(x) for x in COVER.findall(lower)) / n,
+        float(steps[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0, sum(len(x) for x in COVER.findall(lower)) / n,
         float(bool(re.search(r"test|example|sample|mock|doc", path.lower()))), float(bool(re.search(r"[./@]$", before) or re.match(r"[./@]\w", after))),
         float(any(w in KEY_WORDS for w in words)), float(any(w in PLAIN_WORDS for w in words)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(bool(re.search(r"[\"']$", before) and re.match(r"[\"']", after))),
     ]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate of a text, in order."""
+    found = {m.span() for m in RUN.finditer(text)} | {m.span() for m in DOTTED.finditer(text) if m.end() - m.start() >= LEAST}
+    for m in MARK.finditer(text):
+        a = m.start()
+        before = text[max(0, a - NAME_CHARS) : a].lower()
+        if not any(k in before for k in KEY_WORDS):
+            continue
+        if m[0] in "=:":
+            value = ASSIGNED.match(text, a) if NAMED.search(before) else None
+        else:
+            value = QUOTED.match(text, a) if NAMED_QUOTE.search(before) else None
+        if value:
+            start, end = value.span(value.lastgroup)
+            found.add((start, end))
+            if value.lastgroup == "bare":
+                short = len(text[start:end].rstrip(ENDING))
+                if short:
+                    found.add((start, start + short))
+    return sorted(found)
+
+
 CANDIDATES = "doc_id long, start long, length int, digest string, features array<double>"
 
 
@@ -101,10 +139,9 @@ def candidates(docs: DataFrame, steps: np.ndarray) -> DataFrame:
             rows: list[tuple] = []
             for doc_id, text, path in zip(batch.column("doc_id"), batch.column("text"), batch.column("path"), strict=True):
                 text = text.as_py() or ""
-                for m in CANDIDATE.finditer(text):
-                    a, b = m.span()
-                    held = features(m[0], text[max(0, a - AROUND) : a], text[b : b + AROUND], path.as_py() or "", steps)
-                    rows.append((doc_id.as_py(), a, b - a, hashlib.sha256(m[0].encode()).hexdigest(), held))
+                for a, b in spans(text):
+                    held = features(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path.as_py() or "", steps)
+                    rows.append((doc_id.as_py(), a, b - a, hashlib.sha256(text[a:b].encode()).hexdigest(), held))
                 if len(rows) >= 5000:
                     yield made(rows)
                     rows = []
@@ -127,21 +164,29 @@ def example(i: int) -> tuple[str, str, str, str, float]:
     word = lambda: r.choice(DICTIONARY)
     path = r.choice(["", "", f"{word()}/{word()}", f"test/{word()}", f"src/{word()}"])
     if i % 2:
-        kind = r.randrange(5)
-        found = ["AKIA" + pick(upper, 16), pick(hexes, r.choice([18, 32, 40, 64])), pick(mixed, r.randrange(20, 48)), "ghp_" + pick(mixed, 36), pick(mixed + "+/", 40)][kind]
+        kind = r.randrange(10)
+        marked = "".join(r.choice([r.choice(mixed), r.choice("!@$%^&*#?")]) for _ in range(r.randrange(6, 20)))
+        found = [
+            "AKIA" + pick(upper, 16), pick(hexes, r.choice([18, 32, 40, 64])), pick(mixed, r.randrange(20, 48)), "ghp_" + pick(mixed, 36), pick(mixed + "+/", 40),
+            "AKIA" + pick(string.ascii_uppercase, 16), "ghp_" + pick(string.ascii_letters, 36), "eyJ" + ".".join(pick(mixed + "_-", r.randrange(8, 40)) for _ in range(3)),
+            r.choice([marked, f"{word()}{r.randrange(100)}{r.choice('!@$%*#')}{word()[:3]}"]), r.choice([pick(mixed, r.randrange(6, 16)), f"{pick(string.ascii_lowercase, 3)}{r.randrange(100, 100000)}", "".join(word() for _ in range(r.randrange(3, 5)))]),
+        ][kind]
         lead = r.choice(KEY_WORDS)
-        before = f"{words(3)} " + (r.choice(["", f"{lead}=", f"{lead}: "]) if kind in (0, 3) else r.choice([f"{lead}=", f'{lead} = "', f"{lead}: ", f"{lead} "]))
+        tight = [f"{lead}=", f'{lead} = "', f"{lead}: "]
+        before = f"{words(3)} " + r.choice(["", *tight[::2]] if kind in (0, 3, 5, 6, 7) else tight if kind > 7 else [*tight, f"{lead} "])
         label = 1.0
     else:
-        kind = r.randrange(7)
+        kind = r.randrange(11)
         found = [
             f"{word()}-{word()}-{r.randrange(3000)}", f"{word()}_{word()}_{r.randrange(100)}", pick(hexes, 40), f"{pick(hexes, 8)}-{pick(hexes, 4)}-{pick(hexes, 4)}-{pick(hexes, 12)}",
             pick(string.digits, r.randrange(12, 18)), f"{word()}{r.randrange(10)}{word()}{word()}", f"{word()}/{word()}/{word()}{r.randrange(100)}",
+            f"{word()}{r.choice(['', '-', '/', '_'])}{word()}-{word()}", f"{word()}.{word()}.{r.choice(['com', 'org', word()])}", word(), r.choice([str(r.randrange(1000)), word().capitalize(), f"{word()},", "none", "true"]),
         ][kind]
         plain = r.choice(PLAIN_WORDS)
-        before = f"{words(3)} " + (f"{plain}{r.choice([' ', ': ', '='])}" if kind in (2, 3) else r.choice(["", "", f"{plain} ", f"{plain}/", "www."]))
+        lead = r.choice(KEY_WORDS)
+        before = f"{words(3)} " + (f"{plain}{r.choice([' ', ': ', '='])}" if kind in (2, 3) else r.choice([f"{lead}=", f"{lead}: ", f'{lead} = "']) if kind > 8 else r.choice(["", "", f"{plain} ", f"{plain}/", "www."]))
         label = 0.0
-    if len(found) < LEAST:
+    if len(found) < LEAST and i % 2 == 0 and kind < 7:
         found += pick(string.digits, LEAST - len(found))
     after = '"' + words(2) if before.endswith('"') else f"{r.choice([' ', '. ', ', ', '.'])}{words(2)}"
     return before, found, after, path, label
