@@ -5,8 +5,8 @@ segment's terms in order, the posting list of each (positions in the segment, a
 documents' places. A segment is self-contained, so building needs no shuffle and a lost one is rebuilt from its input.
 `search` takes the benchmark in blocks of bounded size; each block goes to all segments. A phrase's candidates are the
 postings of its rarest term in the segment, adjusted by the term's offset; the lists of the other terms, rarest first,
-are intersected with them until none is left. Terms are 64-bit word hashes. `proximity` finds windows whose terms all
-occur within a span, in any order, from the same lists.
+are intersected with them until none is left. Terms are 64-bit word hashes. `proximity` finds stretches of at most span
+words of one document that hold all terms of a window, each as often as the window does, in any order, from the same lists.
 
 Defined cases: null text has no words, so the document is clean with n_words 0 and the benchmark item has no window; a
 null item_id is one item named `null`; rows of one item_id count as one item, each row's windows on their own; rows of
@@ -160,23 +160,53 @@ class Segment:
                 break
         return alive[which], start
 
-    def proximity(self, phrases: Phrases, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place of its rarest term) where all its terms stand at most span - 1 places to either side."""
+    def proximity(self, phrases: Phrases, span: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first place, last place) of the shortest stretches within `span` words of a document that hold all
+        terms of a window, each as often as the window does. `starts` are the places where documents begin."""
+        none = np.zeros(0, np.int64)
         local = self.look_up(phrases.terms)
         windows = np.where(phrases.windows >= 0, local[phrases.windows], -2)
         alive = np.flatnonzero((windows != -1).all(axis=1))
         if not len(alive) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        windows = windows[alive]
-        order, which, place, term = self.candidates(windows)
-        for k in range(1, windows.shape[1]):
-            t = term[which, order[which, k]]
-            wanted = windows[which, order[which, k]] >= 0
-            low = np.searchsorted(self.keys, (t << 34) + np.maximum(place - min(span, GAP) + 1, 0))
-            high = np.searchsorted(self.keys, (t << 34) + place + min(span, GAP) - 1, "right")
-            ok = ~wanted | (high > low)
-            which, place = which[ok], place[ok]
-        return alive[which], place
+            return none, none, none
+        # The same terms in another order are one search.
+        sets, back = np.unique(np.sort(windows[alive], axis=1), axis=0, return_inverse=True)
+        back = back.reshape(-1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for terms in sets:
+            term, times = np.unique(terms[terms >= 0], return_counts=True)
+            order = np.argsort(self.counts[term], kind="stable")
+            ends = None
+            for i in order:
+                place = self.postings[self.first[term[i]] : self.first[term[i]] + self.counts[term[i]]]
+                if ends is None:
+                    rare, ends = place, np.zeros(0, np.int64)
+                # Only what stands near the rarest term can be in a match.
+                if i != order[0]:
+                    at = np.searchsorted(rare, place)
+                    near = np.minimum(np.abs(rare[np.minimum(at, len(rare) - 1)] - place), np.abs(rare[np.maximum(at - 1, 0)] - place)) < span
+                    place = place[near]
+                if len(place) < times[i]:
+                    ends = None
+                    break
+                ends = np.concatenate([ends, place])
+            if ends is None:
+                held.append((none, none))
+                continue
+            # For every end, the latest place at which each term has been seen often enough since.
+            ends = np.sort(ends)
+            low = np.full(len(ends), np.iinfo(np.int64).max)
+            for t, n in zip(term, times, strict=True):
+                place = self.postings[self.first[t] : self.first[t] + self.counts[t]]
+                at = np.searchsorted(place, ends, "right") - n
+                low = np.minimum(low, np.where(at >= 0, place[np.maximum(at, 0)], -1))
+            same = np.searchsorted(starts, np.maximum(low, 0), "right") == np.searchsorted(starts, ends, "right")
+            ok = (low >= 0) & (ends - low < span) & same
+            low, ends = low[ok], ends[ok]
+            first = np.flatnonzero(np.diff(low, prepend=-1))  # the shortest of those that begin at one place
+            held.append((low[first], ends[first]))
+        which = np.repeat(np.arange(len(alive)), [len(held[i][0]) for i in back])
+        return alive[which], np.concatenate([held[i][0] for i in back]), np.concatenate([held[i][1] for i in back])
 
 
 FOUND = pa.schema([
@@ -188,7 +218,7 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], all_rows: bool
     """segment, ordinal (a document row), row_id, n_words, spans (words [a, b) hit, merged), items: matches of a block of
     (item, text) in each document.
 
-    With `span`, proximity matches: a hit is then the place of the rarest term alone.
+    With `span`, proximity matches: a hit is then a shortest stretch of at most span words that holds all terms.
     """
     phrases = index.sparkSession.sparkContext.broadcast(Phrases(block))
 
@@ -201,7 +231,12 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], all_rows: bool
                 ids = get("row_ids").values
                 starts = doc_starts(n)
                 segment = Segment(get("terms").as_py(), get("counts").as_py(), get("postings").as_py())
-                window, place = segment.exact(p) if span is None else segment.proximity(p, span)
+                if span is None:
+                    window, place = segment.exact(p)
+                    length = p.length[window]
+                else:
+                    window, place, last_place = segment.proximity(p, span, starts)
+                    length = last_place - place + 1
                 doc = np.searchsorted(starts, place, "right") - 1
                 found: dict[int, tuple[list, list]] = {}
                 by_doc = np.argsort(doc, kind="stable")
@@ -209,7 +244,7 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], all_rows: bool
                 for group in np.split(by_doc, cut) if len(by_doc) else []:
                     d = int(doc[group[0]])
                     a = place[group] - starts[d]
-                    b = a + (p.length[window[group]] if span is None else 1)
+                    b = a + length[group]
                     order = np.argsort(a, kind="stable")
                     a, b = a[order], np.maximum.accumulate(b[order])
                     new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
@@ -272,3 +307,14 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     return judge(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("row_id", "doc_id").drop("items", "spans")
+
+
+def op1_proximity(spark: SparkSession, sf_dir: str, span: int = 2 * WINDOW) -> DataFrame:
+    """doc_id, n_words, n_near, n_near_items, near_items_sha256: the proximity matches of every document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    found = match(docs, table(spark, sf_dir, "benchmark"), span)
+    items = F.array_sort(F.array_distinct("items"))
+    return found.select(
+        F.col("row_id").alias("doc_id"), "n_words", covered("spans").alias("n_near"), F.size(items).cast("long").alias("n_near_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("near_items_sha256"),
+    )

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op1_proximity": decontamination.op1_proximity,
 }
 
 ORACLES: dict[str, str] = {
