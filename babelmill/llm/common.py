@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from babelmill.operators.lineage import shared_dir, stored
 
-__all__ = ["SPACE_WORD", "domain_bits", "feistel", "shared_dir", "stored", "table"]
+__all__ = ["SPACE_WORD", "column", "domain_bits", "feistel", "fresh", "row_key", "shared_dir", "stored", "table", "whole_row"]
 
 #: Words for the size and quality contracts: runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct: no name an operator uses beside it can clash with one of them."""
+    return F.struct(*[column(c) for c in df.columns])
+
+
+def row_key(df: DataFrame) -> Column:
+    """A 128-bit key of the whole row, maps and arrays included; repeated rows share it."""
+    plain, nested = [], []
+    for field in df.schema.fields:
+        simple = not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+        (plain if simple else nested).append(column(field.name))
+    held = [*plain, *[F.to_json(F.struct(c), {"ignoreNullFields": "false"}) for c in nested]]
+    # Hashes pass over nulls, so it is said which columns are null.
+    held.append(F.concat(*[F.when(column(c).isNull(), "0").otherwise("1") for c in df.columns]))
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *held)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
+
+
 def feistel(value: Column, n: Column | int, bits: int, seed: int, rounds: int = 6, walks: int = 100) -> Column:
     """Seeded permutation of 0..n-1: an alternating Feistel network on `bits` bits, cycle walking back into range.
 

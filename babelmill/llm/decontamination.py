@@ -5,13 +5,15 @@ segment's terms in order, the posting list of each (positions in the segment, a
 documents' places. A segment is self-contained, so building needs no shuffle and a lost one is rebuilt from its input.
 `search` takes the benchmark in blocks of bounded size; each block goes to all segments. A phrase's candidates are the
 postings of its rarest term in the segment, adjusted by the term's offset; the lists of the other terms, rarest first,
-are intersected with them until none is left. Terms are 64-bit word hashes. `proximity` finds stretches of at most span
+are intersected with them until none is left. Terms are found by 64-bit word hashes and compared with the segment's
+spelling of them, so that no other word passes for one. `proximity` finds stretches of at most span
 words of one document that hold all terms of a window, each as often as the window does, in any order, from the same lists.
 
 Defined cases: null text has no words, so the document is clean with n_words 0 and the benchmark item has no window; a
 null item_id is one item named `null`; rows of one item_id count as one item, each row's windows on their own; rows of
-documents, repeated or not, are judged one by one; an empty benchmark leaves all documents clean; an empty table gives
-an empty result; other columns are ignored by `judge`.
+documents, repeated or not, are judged one by one; a very long document makes one large segment, a very long item one
+large block, both whole; ties in rarity keep the phrase's order, which changes no result; an empty benchmark leaves all
+documents clean; an empty table gives an empty result; other columns are ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from babelmill.llm.common import stored, table
 
 WINDOW, SEGMENT_TOKENS, GAP = 13, 1 << 18, 64
 #: Bytes of benchmark text that one block (sent to every task) may hold.
-BLOCK_BYTES = 8 << 20
-INDEX = "segment long, row_ids array<long>, n_words array<int>, terms binary, counts binary, postings binary"
+BLOCK_BYTES = 2 << 20
+INDEX = "segment long, row_ids array<{}>, n_words array<int>, terms binary, spellings binary, ends binary, counts binary, postings binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,6 +42,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes: list[np.ndarray] = []
     ids: list[list] = []
     sizes: list[np.ndarray] = []
+    spelled: dict[int, bytes] = {}
     tokens = 0
 
     def done() -> pa.RecordBatch:
@@ -51,23 +54,28 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = place[order]
         delta = np.diff(held, prepend=0)  # within a term's list: steps; its first place stays as it is
         delta[first] = held[first]
-        row = {
-            "segment": [task + made], "row_ids": [sum(ids, [])], "n_words": [n.tolist()],
-            "terms": [terms.tobytes()], "counts": [counts.astype(np.int32).tobytes()], "postings": [delta.astype(np.int32).tobytes()],
-        }
-        return pa.RecordBatch.from_pydict(row, pa.schema([("segment", pa.int64()), ("row_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())]))
+        spellings = [spelled[t] for t in terms.tolist()]
+        row = [
+            [task + made], [sum(ids, [])], [n.tolist()], [terms.tobytes()], [b"".join(spellings)], [np.cumsum([len(x) for x in spellings]).astype(np.int64).tobytes()],
+            [counts.astype(np.int32).tobytes()], [delta.astype(np.int32).tobytes()],
+        ]
+        kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["segment", "row_ids", "n_words", "terms", "spellings", "ends", "counts", "postings"])
 
     for batch in batches:
-        row_ids = batch.column("row_id").to_pylist()
+        row_ids, kind = batch.column("row_id").to_pylist(), batch.schema.field("row_id").type
         for first_row, offsets, data in tn.chunks(batch.column("text")):
             starts, ends, first = tn.word_spans(data, offsets, tn.ALNUM)
             hashes.append(tn.word_hashes(data, starts, ends))
+            for term, at in zip(*(x.tolist() for x in np.unique(hashes[-1], return_index=True)), strict=True):
+                if term not in spelled:
+                    spelled[term] = data[starts[at] : ends[at]].tobytes()
             sizes.append(np.diff(first))
             ids.append(row_ids[first_row : first_row + len(offsets) - 1])
             tokens += len(starts)
             if tokens >= SEGMENT_TOKENS:
                 yield done()
-                made, tokens, hashes, ids, sizes = made + 1, 0, [], [], []
+                made, tokens, hashes, ids, sizes, spelled = made + 1, 0, [], [], [], {}
     if hashes:
         yield done()
 
@@ -78,8 +86,9 @@ def doc_starts(n: np.ndarray) -> np.ndarray:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index of docs(row_id, text)."""
-    return stored(docs.select("row_id", "text").mapInArrow(_segments, INDEX), "positional-index")
+    """The stored index of docs(row_id, text); row_id may be of any simple type."""
+    docs = docs.select("row_id", "text")
+    return stored(docs.mapInArrow(_segments, INDEX.format(docs.schema["row_id"].dataType.simpleString())), "positional-index")
 
 
 class Phrases:
@@ -87,11 +96,13 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
         rows, owner = [], []
+        spelled: dict[int, bytes] = {}
         self.items = [i for i, _ in items]
         for at, (_, text) in enumerate(items):
             for _, offsets, data in tn.chunks(pa.array([text], pa.large_string())):
                 starts, ends, _ = tn.word_spans(data, offsets, tn.ALNUM)
                 words = tn.word_hashes(data, starts, ends)
+                spelled |= {h: data[a:b].tobytes() for h, a, b in zip(words.tolist(), starts, ends, strict=True)}
                 if 0 < len(words) < window:
                     rows.append(np.concatenate([words, np.zeros(window - len(words), np.uint64)])[None])
                     owner.append(np.array([[at, len(words)]]))
@@ -102,13 +113,15 @@ class Phrases:
         owner = np.concatenate(owner) if owner else np.zeros((0, 2), np.int64)
         self.item, self.length = owner[:, 0], owner[:, 1]
         self.terms, inverse = np.unique(words.reshape(-1), return_inverse=True)
+        self.spellings = [spelled.get(t, b"") for t in self.terms.tolist()]
         self.windows = inverse.reshape(words.shape).astype(np.int64)
         self.windows[np.arange(window)[None, :] >= self.length[:, None]] = -1
 
 
 class Segment:
-    def __init__(self, terms: bytes, counts: bytes, postings: bytes) -> None:
+    def __init__(self, terms: bytes, spellings: bytes, ends: bytes, counts: bytes, postings: bytes) -> None:
         self.terms = np.frombuffer(terms, np.uint64)
+        self.spellings, self.ends = spellings, np.frombuffer(ends, np.int64)
         self.counts = np.frombuffer(counts, np.int32).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         steps = np.frombuffer(postings, np.int32).astype(np.int64)
@@ -118,12 +131,18 @@ class Segment:
         #: (term, place) as one number, ascending: what membership is looked up in.
         self.keys = (np.repeat(np.arange(len(self.terms)), self.counts) << 34) + self.postings
 
-    def look_up(self, terms: np.ndarray) -> np.ndarray:
-        """This segment's number of each term, or -1."""
+    def look_up(self, phrases: Phrases) -> np.ndarray:
+        """This segment's number of each term of the phrases, or -1; terms are compared by their bytes."""
+        terms = phrases.terms
         if not len(self.terms):
             return np.full(len(terms), -1)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, at, -1)
+        found = np.where(self.terms[at] == terms, at, -1)
+        for i in np.flatnonzero(found >= 0).tolist():
+            t = int(at[i])
+            if self.spellings[self.ends[t - 1] if t else 0 : self.ends[t]] != phrases.spellings[i]:
+                found[i] = -1
+        return found
 
     def holds(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
         key = (term << 34) + place
@@ -143,7 +162,7 @@ class Segment:
 
     def exact(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """(window, first place) of every occurrence of every window."""
-        local = self.look_up(phrases.terms)
+        local = self.look_up(phrases)
         windows = np.where(phrases.windows >= 0, local[phrases.windows], -2)
         alive = np.flatnonzero((windows != -1).all(axis=1))
         if not len(alive) or not len(self.keys):
@@ -164,7 +183,7 @@ class Segment:
         """(window, first place, last place) of the shortest stretches within `span` words of a document that hold all
         terms of a window, each as often as the window does. `starts` are the places where documents begin."""
         none = np.zeros(0, np.int64)
-        local = self.look_up(phrases.terms)
+        local = self.look_up(phrases)
         windows = np.where(phrases.windows >= 0, local[phrases.windows], -2)
         alive = np.flatnonzero((windows != -1).all(axis=1))
         if not len(alive) or not len(self.keys):
@@ -209,9 +228,8 @@ class Segment:
         return alive[which], np.concatenate([held[i][0] for i in back]), np.concatenate([held[i][1] for i in back])
 
 
-FOUND = pa.schema([
-    ("segment", pa.int64()), ("ordinal", pa.int32()), ("row_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string())),
-])
+SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+FOUND = "segment long, ordinal int, row_id {}, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
 def search(index: DataFrame, block: list[tuple[str, str | None]], all_rows: bool, span: int | None = None) -> DataFrame:
@@ -230,7 +248,7 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], all_rows: bool
                 n = np.asarray(get("n_words").values, np.int64)
                 ids = get("row_ids").values
                 starts = doc_starts(n)
-                segment = Segment(get("terms").as_py(), get("counts").as_py(), get("postings").as_py())
+                segment = Segment(*(get(x).as_py() for x in ("terms", "spellings", "ends", "counts", "postings")))
                 if span is None:
                     window, place = segment.exact(p)
                     length = p.length[window]
@@ -254,11 +272,11 @@ def search(index: DataFrame, block: list[tuple[str, str | None]], all_rows: bool
                 out = [found.get(i, ([], [])) for i in rows]
                 at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([get("segment").as_py()] * len(rows), pa.int64()), at, ids.take(at), pa.array(n[rows], pa.int64()), pa.array([x[0] for x in out], FOUND.field("spans").type), pa.array([x[1] for x in out], FOUND.field("items").type)],
-                    schema=FOUND,
+                    [pa.array([get("segment").as_py()] * len(rows), pa.int64()), at, ids.take(at), pa.array(n[rows], pa.int64()), pa.array([x[0] for x in out], SPANS), pa.array([x[1] for x in out], pa.list_(pa.string()))],
+                    ["segment", "ordinal", "row_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(find, "segment long, ordinal int, row_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
+    return index.mapInArrow(find, FOUND.format(index.schema["row_ids"].dataType.elementType.simpleString()))
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
@@ -266,7 +284,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
     held, size = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").toLocalIterator():
         held.append((row["i"], row["text"]))
-        size += len(row["text"] or "")
+        size += len((row["text"] or "").encode())
         if size >= BLOCK_BYTES:
             yield held
             held, size = [], 0

@@ -1,18 +1,19 @@
 """Operator 8, license scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are BLOCK words of a whole text, every STRIDE words (the last ones shorter), so any passage of STRIDE words or
-fewer lies whole in a block. A block meets a template if it holds at least THRESHOLD of the template's distinct words.
+Blocks of a template are twice its stride long and begin every stride words of a whole text (the last ones shorter); its
+stride is STRIDE words, doubled until the template is no longer than that, so any passage as long as the template lies
+whole in a block, be it one sentence or a full license text. A block meets a template if it holds at least THRESHOLD of the template's distinct words.
 Tokens are ordered by their frequency in the whole corpus, rarest first. The length filter drops blocks with fewer
 template words than a template needs; the prefix filter keeps the blocks that hold one of the |T| - need + 1 rarest
 words of a template T; the positional filter drops those whose first shared word stands too late in either for the
 rest to suffice; the survivors' overlaps are counted. All filters are exact. The templates are a fixed list, so their
 vocabulary and frequencies go to every task. score and n_blocks are those of the join.
 
-A label is given only if the license is named: some BLOCK consecutive words, wherever they begin, must hold as many of
+A label is given only if the license is named: some words as many as a block's, wherever they begin, must hold as many of
 the template's words as it needs and, as consecutive words, a phrase of each group of NAMES. Base phrases are found as consecutive words and their labels always stay.
 
-Defined cases: null text is empty, has no words and no labels; repeated rows are judged one by one; a null doc_id is
-kept; an empty table gives an empty result (and an order by the tokens' spelling); other columns are ignored.
+Defined cases: null text is empty, has no words and no labels; repeated rows are judged one by one; a very long text is
+judged whole; tokens of one frequency are ordered by spelling, which changes no result; a null doc_id is kept; an empty table gives an empty result (and an order by the tokens' spelling); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from babelmill.llm import textnum as tn
 from babelmill.llm.common import table
 
-BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
+STRIDE, THRESHOLD = 32, 0.8
+#: Words of the shortest blocks.
+BLOCK = 2 * STRIDE
 
 # Phrases of the base rule with their labels.
 PHRASES = (
@@ -38,7 +41,7 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Sentences of public license notices, each at most STRIDE words.
+# Sentences and full texts of public licenses and notices, lower-cased, as words.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
@@ -51,6 +54,44 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
+        "a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see "
+        "the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as "
+        "is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a "
+        "particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental "
+        "special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+        "profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties "
+        "with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for "
+        "any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+        "action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the "
+        "above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+    ),
 )
 
 # By template, groups of phrases that name its license; one of each group must stand in the text.
@@ -66,6 +107,10 @@ NAMES = dict(zip((t for _, t in TEMPLATES), (
     (("associated documentation files",),),
     (("mozilla public license v 2", "mozilla public license version 2", "mozilla public license 2"),),
     (("free and unencumbered software",),),
+    (("apache license", "apache org"),),
+    (("source and binary forms", "source or binary forms"),),
+    (("permission to use copy modify",),),
+    (("associated documentation files", "permission is hereby granted free of charge"),),
 ), strict=True))
 # Longer names of other licenses that begin with one of NAMES.
 OTHER_NAMES = {"cc by nc": ("cc by nc sa", "cc by nc nd")}
@@ -79,6 +124,14 @@ def need(n: int) -> int:
     return ceil(THRESHOLD * n - 1e-9)
 
 
+def stride(template: str) -> int:
+    """Words between the beginnings of a template's blocks; a block is twice as long."""
+    n = STRIDE
+    while n < len(template.split()):
+        n *= 2
+    return n
+
+
 def hashed_words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, word hashes, and where each row's words begin."""
     for first_row, offsets, data in tn.chunks(batch.column("text")):
@@ -113,11 +166,12 @@ class Matcher:
         self.labels = [label for label, _ in templates]
         self.sets = [np.array(sorted({rank[w] for w in t.split()})) for _, t in templates]
         self.needs = np.array([need(len(s)) for s in self.sets])
+        self.strides = np.array([stride(t) for _, t in templates])
         self.members = np.zeros((len(ordered), len(templates)), np.int32)
-        self.prefix = np.zeros(len(ordered), bool)
+        self.prefix = {n: np.zeros(len(ordered), bool) for n in set(self.strides.tolist())}
         for i, s in enumerate(self.sets):
             self.members[s, i] = 1
-            self.prefix[s[: len(s) - self.needs[i] + 1]] = True
+            self.prefix[int(self.strides[i])][s[: len(s) - self.needs[i] + 1]] = True
         self.sizes = np.array([len(s) for s in self.sets])
         self.phrases = [(label, hashed(p)) for p, label in phrases]
         self.terms = [np.array(sorted({tn.hash_word(w) for w in t.split()}), np.uint64) for _, t in templates]
@@ -132,18 +186,29 @@ class Matcher:
             return none, none, none
         token = self.by_hash[at[place]]
         row = np.searchsorted(first, place, "right") - 1
-        step = (place - first[row]) // STRIDE
+        out = [self.met(n, token, row, place - first[row]) for n in sorted(self.prefix)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def met(self, n: int, token: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """blocks() for the templates of stride n, from the template words of texts: which, in which row, where."""
+        none = np.zeros(0, np.int64)
+        of = np.flatnonzero(self.strides == n)
+        used = self.members[:, of].any(axis=1)[token]
+        token, row, step = token[used], row[used], place[used] // n
+        if not len(token):
+            return none, none, none
         # A place lies in the block that begins at its stride and in the one before.
         earlier = step > 0
         row, token = np.concatenate([row, row[earlier]]), np.concatenate([token, token[earlier]])
         step = np.concatenate([step, step[earlier] - 1])
-        key = np.unique(((row << 32) + step) * len(self.hashes) + token)  # each block's distinct words, rarest first
+        steps = int(step.max()) + 1
+        key = np.unique((row * steps + step) * len(self.hashes) + token)  # each block's distinct words, rarest first
         block, token = key // len(self.hashes), key % len(self.hashes)
         begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         length = np.diff(np.append(begin, len(block)))
         # Length and prefix filters: enough template words, and one of a template's rarest.
-        some = np.add.reduceat(self.prefix[token].astype(np.int64), begin) > 0
-        live = np.flatnonzero(some & (length >= self.needs.min()))
+        some = np.add.reduceat(self.prefix[n][token].astype(np.int64), begin) > 0
+        live = np.flatnonzero(some & (length >= self.needs[of].min()))
         if not len(live):
             return none, none, none
         keep = np.repeat(np.isin(np.arange(len(begin)), live), length)
@@ -151,7 +216,8 @@ class Matcher:
         token = token[keep]
         nth = np.arange(len(token)) - np.repeat(np.cumsum(length[live]) - length[live], length[live])
         out = []
-        for t, s in enumerate(self.sets):
+        for t in of:
+            s = self.sets[t]
             ahead = s[: len(s) - self.needs[t] + 1]
             hit = np.isin(token, ahead)
             who, where = np.unique(index[hit], return_index=True)
@@ -162,7 +228,7 @@ class Matcher:
             if len(who):
                 overlap = np.bincount(index, weights=self.members[token, t], minlength=len(live)).astype(np.int64)[who]
                 ok = overlap >= self.needs[t]
-                out.append((block[begin[live[who[ok]]]] >> 32, np.full(ok.sum(), t), overlap[ok]))
+                out.append((block[begin[live[who[ok]]]] // steps, np.full(ok.sum(), t), overlap[ok]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
 
     def places(self, words: np.ndarray, first: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -174,10 +240,10 @@ class Matcher:
         return out
 
     def named(self, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(row, template) where some BLOCK consecutive words hold enough of the template and a phrase of each of its groups."""
+        """(row, template) where some consecutive words, as many as a block's, hold enough of the template and a phrase of each of its groups."""
         out = set()
         for t, groups in enumerate(self.names):
-            held = []
+            held, size = [], 2 * int(self.strides[t])
             for group in groups:
                 found = []
                 for p, others in group:
@@ -193,10 +259,10 @@ class Matcher:
             for r in np.unique(rows).tolist():
                 n = int(first[r + 1] - first[r])
                 at, term = term_places(self.terms[t], words[first[r] : first[r + 1]])
-                ok = began(n, np.maximum(at - BLOCK, previous(term, at)) + 1, at) >= self.needs[t]
+                ok = began(n, np.maximum(at - size, previous(term, at)) + 1, at) >= self.needs[t]
                 for row, place, length in held:
                     a = (place - first[row])[row == r]
-                    ok &= began(n, a + length[row == r] - BLOCK, a) > 0
+                    ok &= began(n, a + length[row == r] - size, a) > 0
                 if ok.any():
                     out.add((r, t))
         return out
@@ -286,17 +352,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The same result in SQL, without filters; labels as the join gives them, so equal where no other license is named."""
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    tokens = ", ".join(f"({i}, '{label}', '{w}', {need(len(set(t.split())))}, {len(set(t.split()))})" for i, (label, t) in enumerate(TEMPLATES) for w in sorted(set(t.split())))
+    tokens = ", ".join(f"({i}, '{label}', '{w}', {need(len(set(t.split())))}, {len(set(t.split()))}, {stride(t)})" for i, (label, t) in enumerate(TEMPLATES) for w in sorted(set(t.split())))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents
 ), p(phrase, label, k) AS (VALUES {phrases}
-), t(t, label, word, need, size) AS (VALUES {tokens}
+), t(t, label, word, need, size, stride) AS (VALUES {tokens}
 ), tok AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM d
 ), base AS (SELECT r, i, label FROM tok, p WHERE i + k <= len(w) AND array_to_string(w[i + 1:i + k], ' ') = phrase
 ), b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM base GROUP BY r
-), hit AS (SELECT r, i, t, label, word, need, size FROM tok JOIN t ON w[i + 1] = word
-), inb AS (SELECT *, i // {STRIDE} AS b FROM hit UNION ALL SELECT *, i // {STRIDE} - 1 FROM hit WHERE i >= {STRIDE}
+), hit AS (SELECT r, i, t, label, word, need, size, stride FROM tok JOIN t ON w[i + 1] = word
+), inb AS (SELECT *, i // stride AS b FROM hit UNION ALL SELECT *, i // stride - 1 FROM hit WHERE i >= stride
 ), blk AS (SELECT r, b, t, label, count(DISTINCT word) AS n, any_value(need) AS need, any_value(size) AS size FROM inb GROUP BY r, b, t, label
 ), met AS (SELECT r, b, t, label, n * 1.0::DOUBLE / size AS c FROM blk WHERE n >= need
 ), m AS (SELECT r, count(*) AS n_blocks, max(c) AS c FROM met GROUP BY r

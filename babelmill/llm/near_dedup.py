@@ -6,16 +6,22 @@ but one. Every chunk is therefore indexed under WIDTH keys, each leaving one val
 error of a chunk, and all pairs within the distance share a key. Two texts of similarity 0.8 miss every key with a
 probability of about 1e-7 (0.263 ** 12).
 
-Texts of equal shingle sets are one class, found by a 128-bit digest of the set; only classes are indexed. Within a
-key, classes are compared with the smallest class first (a star, not all pairs); links are confirmed on the full
-shingle sets and joined to components. Then members of a key that are still in different components meet, so that no
-link between components is lost; a parity sketch, which bounds the difference of two sets from below, leaves out pairs
-that can't be linked before they are made. Hot keys are pre-aggregated and joined under adaptive
-skew splitting; components are found by alternating large and small stars in stored tables.
+Texts of equal shingle sets are one class, found by a 128-bit digest and the size of the set; classes get numbers of
+their own, and only they are indexed. Candidates are pairs that share a key and whose signatures differ in at most
+DISTANCE of SIZE values (a pair of similarity 0.8 differs in more with a probability of about 1e-8); a parity sketch,
+which bounds the difference of two sets from below, and the sizes of the sets leave out pairs that can't be linked.
+Within a key, classes are compared with the smallest class first (a star, not all pairs); links are confirmed on the
+words of both texts, all of them, and joined to components. Then members of a key that are still in different components
+meet: by further centres in keys that hold more than LARGE of them apart, up to TURNS times, and then each with each,
+in a join whose conditions are sizes, components and sketches; both ways find the same links, so the numbers change
+the work, not the result. Hot keys are pre-aggregated and joined under adaptive skew splitting; components are found by
+alternating large and small stars in stored tables.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and kept; rows of equal doc_id are separate
 documents with one id; a null doc_id is never the smallest unless all are null; repeated rows share a class and their
-component; an empty table gives an empty result; other columns are ignored.
+component; of rows with the least doc_id the one of the least key stays, and one of those repeated in all columns; a
+very long text is described in one piece and its class compared like any other; an empty table gives an empty result;
+other columns only tell rows apart and are kept by `deduplicated`, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -28,15 +34,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelmill.llm import textnum as tn
-from babelmill.llm.common import stored, table
+from babelmill.llm.common import row_key, stored, table, whole_row
 
 SHINGLE, CHUNKS, WIDTH = 4, 12, 5
 SIZE = CHUNKS * WIDTH
 LANES = SIZE // 4
+#: Signature values in which candidates may differ.
+DISTANCE = 32
 #: Bits of the parity sketch of a set.
 SKETCH = 1024
-#: Ids that a broadcast may hold (8 bytes each); beyond that the join is an ordinary one.
-BROADCAST_IDS = 1 << 21
+#: Keys that a broadcast may hold (16 bytes each); beyond that the join is an ordinary one.
+BROADCAST_IDS = 1 << 20
 #: Further centres tried for keys that hold more than LARGE classes apart, before all that are apart meet.
 TURNS, LARGE = 3, 4096
 
@@ -68,7 +76,7 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
 
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, sig array<long>, sketch array<long>"
+DESCRIBED = "row_id binary, doc_id long, n long, d1 long, d2 long, sig array<long>, sketch array<long>"
 
 
 def lists(rows: list[np.ndarray], width: int) -> pa.ListArray:
@@ -76,20 +84,25 @@ def lists(rows: list[np.ndarray], width: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id").cast(pa.int64())
-        n, d1, d2, sigs, sketches = [], [], [], [], []
-        for s in shingle_sets(batch.column("text")):
-            n.append(len(s))
-            if not len(s):
-                d1.append(0), d2.append(0), sigs.append(np.zeros(LANES, np.int64)), sketches.append(np.zeros(SKETCH // 64, np.int64))
-                continue
-            d1.append(int(tn.signed(tn.mix64(np.array([s.sum()])))[0]))
-            d2.append(int(tn.signed(np.array([tn.mix64(s).sum()]))[0]))
-            sigs.append(signature(s).view(np.int64)), sketches.append(parities(s))
-        columns = [ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(sigs, LANES), lists(sketches, SKETCH // 64)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "sig", "sketch"])
+def described(docs: DataFrame, shingle: int) -> DataFrame:
+    """DESCRIBED for each row of docs(row_id, doc_id, text)."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d1, d2, sigs, sketches = [], [], [], [], []
+            for s in shingle_sets(batch.column("text"), shingle):
+                n.append(len(s))
+                if not len(s):
+                    d1.append(0), d2.append(0), sigs.append(np.zeros(LANES, np.int64)), sketches.append(np.zeros(SKETCH // 64, np.int64))
+                    continue
+                d1.append(int(tn.signed(tn.mix64(np.array([s.sum()])))[0]))
+                d2.append(int(tn.signed(np.array([tn.mix64(s).sum()]))[0]))
+                sigs.append(signature(s).view(np.int64)), sketches.append(parities(s))
+            ids = [batch.column("row_id"), batch.column("doc_id").cast(pa.int64())]
+            columns = [*ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(sigs, LANES), lists(sketches, SKETCH // 64)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in DESCRIBED.split(", ")])
+
+    return docs.select("row_id", "doc_id", "text").mapInArrow(describe, DESCRIBED)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +123,6 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tn.signed(keys.reshape(-1))), cid.take(pa.array(again)), n.take(pa.array(again))], ["key", "cid", "n"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            sets = list(shingle_sets(part.column("text")))
-            off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = pa.array(tn.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(off), flat)], ["cid", "shingles"])
-
-
 def close(a: Column, b: Column, n: Column, m: Column) -> Column:
     """Sketches that a similarity of 0.8 allows: then the sets differ in (n + m) / 9 shingles at most. Loses no pair."""
     bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
@@ -131,29 +134,60 @@ def alike(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * 80
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, shingles of the classes in wanted(cid): their full sets, made anew from their texts."""
+def distance(a: Column, b: Column) -> Column:
+    """In how many of their 16-bit values, four to a long, two signatures differ."""
+    low, high = F.lit(0x7FFF7FFF7FFF), F.lit(0x800080008000)
+    out = F.lit(0)
+    for i in range(LANES):
+        x = a[i].bitwiseXOR(b[i])
+        # A value of the lower three that is not zero carries into, or has, its high bit.
+        three = (x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high)
+        out = out + F.bit_count(three) + (F.shiftrightunsigned(x, 48) != 0).cast("int")
+    return out
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, text of the classes in wanted(cid): one text a class, also where rows are repeated."""
     wanted = stored(wanted.distinct().join(classes.select("cid", "row_id"), "cid"), "near-wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return stored(docs.join(ids, "row_id").select("cid", "text").mapInArrow(_sets, "cid long, shingles array<long>"), "near-sets", "none")
+    return stored(docs.join(ids, "row_id").groupBy("cid").agg(F.first("text").alias("text")), "near-texts")
 
 
 def near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of classes those that their sizes and sketches allow, with the sizes."""
-    held = lambda x: classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch")])
-    found = pairs.join(held("u"), "u").join(held("v"), "v").withColumnsRenamed({"n_u": "nu", "n_v": "nv"})
-    found = found.where(alike(F.col("nu"), F.col("nv")) & close(F.col("sketch_u"), F.col("sketch_v"), F.col("nu"), F.col("nv")))
-    return stored(found.select("u", "v", "nu", "nv"), "near-pairs")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of near() pairs those with 100 * intersection >= 80 * union on the full sets."""
-    both = pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("a")), "u").join(
-        sets.select(F.col("cid").alias("v"), F.col("shingles").alias("b")), "v"
-    )
-    both = both.withColumn("i", F.size(F.array_intersect("a", "b")).cast("long"))
-    both = both.where(F.col("i") * 100 >= (F.col("nu") + F.col("nv") - F.col("i")) * 80)
-    return stored(both.select("u", "v").distinct(), "near-links")
+    """Of pairs (u, v) of classes those that their sizes, signatures and sketches allow."""
+    held = lambda x: classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "sig")])
+    found = pairs.join(held("u"), "u").join(held("v"), "v")
+    found = found.where(alike(F.col("n_u"), F.col("n_v")) & close(F.col("sketch_u"), F.col("sketch_v"), F.col("n_u"), F.col("n_v")))
+    found = found.where(distance(F.col("sig_u"), F.col("sig_v")) <= DISTANCE)
+    return stored(found.select("u", "v"), "near-pairs")
+
+
+def words_of(text: str, shingle: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves: runs of words of the text, A-Z lower-cased, cut at ASCII white space."""
+    words = text.encode().lower().split()
+    k = min(shingle, len(words))
+    return set(zip(*(words[i:] for i in range(k)), strict=False))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Of near() pairs those with 100 * intersection >= 80 * union on the words of both texts."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {"u": (None, set()), "v": (None, set())}
+        for batch in batches:
+            keep = []
+            for i, (u, v) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)):
+                for x, cid in (("u", u), ("v", v)):
+                    if held[x][0] != cid:
+                        held[x] = (cid, words_of(batch.column(f"text_{x}")[i].as_py() or "", shingle))
+                a, b = held["u"][1], held["v"][1]
+                same = len(a & b)
+                if 100 * same >= 80 * (len(a) + len(b) - same):
+                    keep.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    of = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}"))
+    return stored(pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long"), "near-links")
 
 
 def mixed_keys(labelled: DataFrame) -> DataFrame:
@@ -180,57 +214,52 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes_of(described: DataFrame) -> DataFrame:
-    """One row a distinct shingle set: cid, its least doc_id, the row that has it, its size and signature."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "row_id")).alias("first")
-    found = described.where("n > 0").groupBy("d1", "d2", "n", "sig", "sketch").agg(first).withColumnRenamed("d1", "cid")
-    return found.select("*", F.col("first.doc_id").alias("least_id"), F.col("first.row_id").alias("row_id"))
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row a distinct shingle set: cid, the least (doc_id, row_id) of its rows, the row, its size and signature.
 
-
-def row_key() -> Column:
-    """A key of rows (doc_id, text); repeated rows share it."""
-    return F.xxhash64("doc_id", "text")
+    cid is a number given when the table is written, so two classes never share one.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "row_id")).alias("first")
+    found = rows.where("n > 0").groupBy("d1", "d2", "n", "sig", "sketch").agg(first)
+    return stored(found.select("*", F.col("first.row_id").alias("row_id"), F.monotonically_increasing_id().alias("cid")), "near-classes")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each component, columns as they are: the one of the least doc_id."""
-    found = stored(near_duplicates(docs).select("row_id", "stays"), "near-verdicts")
-    keyed = docs.withColumn("_row_key", row_key())
-    gone = found.where(~F.col("stays")).select("row_id").distinct()
-    left = without_keys(keyed, gone)
+    found = stored(near_duplicates(docs, shingle).select(F.col("row_id").alias("key"), "stays"), "near-verdicts")
+    held = docs.select(row_key(docs).alias("key"), whole_row(docs).alias("row"))
+    left = without_keys(held, found.where(~F.col("stays")).select("key").distinct())
     # Rows repeated as they are share a key: of those that stay, one is left (aggregated map-side, so none is hot).
-    again = found.where("stays").groupBy("row_id").count().where("count > 1").select("row_id")
+    again = found.where("stays").groupBy("key").count().where("count > 1").select("key")
     if not again.head(1):
-        return left.drop("_row_key")
-    many = left.join(again, F.col("_row_key") == F.col("row_id"), "left_semi")
-    one = many.groupBy("_row_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return without_keys(left, again).drop("_row_key").unionByName(one)
+        return left.select("row.*")
+    one = left.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return without_keys(left, again).unionByName(one).select("row.*")
 
 
-def without_keys(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """keyed without the rows whose _row_key is in keys(row_id); keys are broadcast only below a checked number."""
+def without_keys(held: DataFrame, keys: DataFrame) -> DataFrame:
+    """held without the rows whose key is in keys(key); keys are broadcast only below a checked number."""
     keys = stored(keys, "keys")
     side = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-    return keyed.join(side, F.col("_row_key") == F.col("row_id"), "left_anti")
+    return held.join(side, "key", "left_anti")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """row_id, doc_id, n_shingles, component_id, kept and stays.
 
     row_id is row_key() of the row. kept says that doc_id is the component's least; stays is true for just one row_id of
     each component, also where ids are null or repeated.
     """
-    docs = docs.select("doc_id", "text").withColumn("row_id", row_key())
-    described = docs.select("row_id", "doc_id", "text").mapInArrow(_described_rows, f"row_id long, {SIGNED}")
-    described = stored(described, "near-described")
-    classes = stored(classes_of(described), "near-classes")
+    docs = docs.select(row_key(docs).alias("row_id"), "doc_id", "text")
+    rows = stored(described(docs, shingle), "near-described")
+    classes = classes_of(rows)
     keys = classes.select("cid", "n", "sig").mapInArrow(_index, "key long, cid long, n long")
     # Keys with more than one class; the smallest class of a key is its star's centre.
     shared = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("_last")).where("centre < _last").drop("_last")
     members = stored(keys.join(shared, "key"), "near-members")
     pairs = members.where("cid <> centre").select(F.col("centre").alias("u"), F.col("cid").alias("v")).distinct()
     pairs = near(classes, pairs)
-    links = confirmed(pairs, sets_of(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("cid"))))
+    links = confirmed(pairs, texts_of(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("cid"))), shingle)
     done = pairs.select("u", "v")
     roots = components(links)
 
@@ -261,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             met = rest.join(centre, "key").where("root <> _c.root").where(alike(F.col("n"), F.col("_c.n")))
             new = met.select(F.least("cid", F.col("_c.cid")).alias("u"), F.greatest("cid", F.col("_c.cid")).alias("v"))
         new = near(classes, new.distinct().join(done, ["u", "v"], "left_anti"))
-        found = confirmed(new, sets_of(docs, classes, new.select(F.explode(F.array("u", "v")).alias("cid"))))
+        found = confirmed(new, texts_of(docs, classes, new.select(F.explode(F.array("u", "v")).alias("cid"))), shingle)
         done = done.union(new.select("u", "v"))
         links = links.union(found)
         roots = components(links)
@@ -271,8 +300,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = classes.select("cid", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = least.groupBy("root").agg(F.min("first").alias("lowest"))
     by_class = least.join(lowest, "root").select("cid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row_id").alias("_stays"))
-    out = described.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("d1")).alias("cid"))
-    out = out.join(by_class, "cid", "left")
+    by_class = by_class.join(classes.select("cid", "d1", "d2", "n"), "cid").drop("cid")
+    out = rows.select("row_id", "doc_id", "d1", "d2", "n").join(by_class, ["d1", "d2", "n"], "left").withColumnRenamed("n", "n_shingles")
     empty = F.col("n_shingles") == 0
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -281,11 +310,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _described_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for out in _describe(iter([batch.select(["doc_id", "text"])])):
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *out.columns], ["row_id", *out.schema.names])
-
-
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -22,7 +22,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelmill.llm.common import SPACE_WORD, stored, table
+from babelmill.llm.common import SPACE_WORD, stored, table, whole_row
 
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 5
 #: Cut points a feature, conditions a rule, rules, and what a rule must reach on the pruning rows.
@@ -238,7 +238,7 @@ def learned(docs: DataFrame, labels: DataFrame, seed: int = 6) -> list[Rule]:
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs, columns as they are, that no rule rejects: statistics and rules in one pass, without a shuffle."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    row = docs.select(whole_row(docs).alias("_row"), "text")
     stats = with_features(text_statistics(row, ["_row"]))
     return stats.where(~F.col("base_failed") & decision_list(rules).isNull()).select("_row.*")
 

@@ -70,14 +70,16 @@ FEATURES = (
 
 
 def transitions(docs: DataFrame) -> np.ndarray:
-    """log2 probability of each byte after each byte, over all texts of the corpus."""
+    """log2 probability of each byte after each byte, within all texts of the corpus; the same however these are dealt."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, np.int64)
         for batch in batches:
-            for _, _, data in tn.chunks(batch.column("text")):
+            for _, offsets, data in tn.chunks(batch.column("text")):
                 if len(data) > 1:
-                    total += np.bincount(data[:-1].astype(np.int32) * 256 + data[1:], minlength=65536)
+                    inside = np.ones(len(data) - 1, bool)
+                    inside[[x - 1 for x in offsets[1:-1] if 0 < x < len(data)]] = False  # no step leads from one text to the next
+                    total += np.bincount((data[:-1].astype(np.int32) * 256 + data[1:])[inside], minlength=65536)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
@@ -209,11 +211,19 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, steps: np.ndarray | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, start, length, digest, probability, is_secret of every candidate of docs(doc_id, text, path)."""
+    """doc_id, start, length, digest, probability, is_secret of every candidate of docs(doc_id, text, path).
+
+    `labelled` are findings (label 0 or 1, features) to learn from; without any the seeded ones are used.
+    """
     steps = transitions(docs) if steps is None else steps
-    model = train(findings(docs.sparkSession, steps) if labelled is None else labelled)
-    found = candidates(docs, steps).withColumn("v", array_to_vector("features"))
-    scored = model.transform(found).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
+    labelled = findings(docs.sparkSession, steps) if labelled is None else labelled.where("label is not null and features is not null")
+    found = candidates(docs, steps)
+    kinds = labelled.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if kinds["low"] == kinds["high"]:
+        scored = found.withColumn("probability", F.lit(1.0 if kinds["low"] is None else float(kinds["low"])))
+    else:
+        scored = train(labelled).transform(found.withColumn("v", array_to_vector("features")))
+        scored = scored.withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return scored.select("doc_id", "start", "length", "digest", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 

@@ -1,13 +1,14 @@
 """Operator 5, sharding [native]: a Feistel permutation of global row numbers gives each row its shard and slot.
 
 Law `rows`: shard counts are at most one apart. With p the permuted row number, shard = p mod n_shards and slot =
-p div n_shards, so any row's place can be computed from its number alone. Rows are numbered by buckets of a content
-hash, then by (doc_id, size, text_crc32) within a bucket; rows equal in all three are interchangeable and are numbered
-together from one counted row, so a hot document costs no more than a rare one until its rows are written.
-
-Defined cases: null doc_id is a value like any other and sorts first; null text has 8 bytes and the checksum 0 (of no
-bytes); repeated rows each get a place of their own; an empty table gives an empty result; other columns are ignored
-by `places` and kept by `shard_rows`, whose own columns replace clashing ones.
+p div n_shards, so any row's place can be computed from its number alone. Rows are numbered by buckets of a hash of all
+their columns, then by a 128-bit key of them within a bucket; rows equal in all columns are interchangeable and are
+numbered together from one counted row, so a hot document costs no more than a rare one until its rows are written.
+
+Defined cases: null doc_id is a value like any other; null text has 8 bytes and the checksum 0 (of no bytes); repeated
+rows each get a place of their own; a very long text is a row like any other, only its length and checksum are moved;
+there are no ties, keys are distinct; an empty table gives an empty result; other columns only tell rows apart in
+`places` and are kept by `shard_rows`, whatever their names and types, but that its own shard and slot replace theirs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from babelmill.llm.common import domain_bits, feistel, stored, table
+from babelmill.llm.common import domain_bits, feistel, row_key, stored, table, whole_row
 
 #: Rows a numbering bucket should hold, and rows of one repeated row that one task writes out.
 BUCKET_ROWS, COPY_ROWS = 1 << 18, 1 << 14
@@ -29,17 +30,18 @@ def place(position: Column, n_shards: int) -> tuple[Column, Column]:
 
 
 def numbered(keys: DataFrame, cols: list[str]) -> tuple[DataFrame, int]:
-    """Distinct rows of keys[cols] with n_rows and first_row: their run of global row numbers; and the number of rows."""
+    """Distinct rows of keys[cols], told apart by the first column, with n_rows and first_row: their run of global row
+    numbers; and the number of rows."""
     counted = stored(keys.groupBy(*cols).agg(F.count("*").alias("n_rows")), "row-counts")
     total = counted.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     n_buckets = min(MAX_BUCKETS, max(64, 1 << (total // BUCKET_ROWS).bit_length()))
-    bucketed = counted.withColumn("_bucket", F.pmod(F.xxhash64(*cols), F.lit(n_buckets)).cast("int"))
+    bucketed = counted.withColumn("_bucket", F.pmod(F.xxhash64(cols[0]), F.lit(n_buckets)).cast("int"))
     # One row a bucket, MAX_BUCKETS at most: small enough for one task and for a broadcast.
     starts = (
         bucketed.groupBy("_bucket").agg(F.sum("n_rows").alias("_n"))
         .select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_start"))
     )
-    run = W.partitionBy("_bucket").orderBy(*cols)
+    run = W.partitionBy("_bucket").orderBy(cols[0])
     within = bucketed.withColumn("_before", F.sum("n_rows").over(run) - F.col("n_rows"))
     out = within.join(F.broadcast(starts), "_bucket")
     return out.select(*cols, "n_rows", (F.col("_start") + F.col("_before")).alias("first_row")), total
@@ -64,13 +66,13 @@ def size_columns(text: Column) -> tuple[Column, Column]:
 
 
 def places(docs: DataFrame, n_shards: int, seed: int = 20) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row of docs."""
+    """doc_id, size, text_crc32, shard, slot of every row of docs; the places that shard_rows gives the same rows."""
+    own = docs.drop("shard", "slot")
     size, crc = size_columns(F.col("text"))
-    keys = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"))
-    runs, total = numbered(keys, ["doc_id", "size", "text_crc32"])
-    position = feistel(F.col("row_number"), total, domain_bits(total), seed)
-    shard, slot = place(F.col("_p"), n_shards)
-    return spread(runs).withColumn("_p", position).select(
+    keys = own.select(row_key(own).alias("key"), "doc_id", size.alias("size"), crc.alias("text_crc32"))
+    runs, total = numbered(keys, ["key", "doc_id", "size", "text_crc32"])
+    shard, slot = place(F.col("position"), n_shards)
+    return spread(runs).withColumn("position", feistel(F.col("row_number"), total, domain_bits(total), seed)).select(
         "doc_id", "size", "text_crc32", shard.alias("shard"), slot.alias("slot")
     )
 
@@ -78,33 +80,17 @@ def places(docs: DataFrame, n_shards: int, seed: int = 20) -> DataFrame:
 def shard_rows(docs: DataFrame, n_shards: int, seed: int = 20) -> DataFrame:
     """docs with shard and slot: whole rows, ready for a writer that partitions by shard.
 
-    Rows of equal (doc_id, size, text_crc32) take the places of their group in order of all their columns' hash.
+    Rows that are equal in all columns are interchangeable: one of them, found map-side first, stands for the others.
     """
     own = docs.drop("shard", "slot")
-    size, crc = size_columns(F.col("text"))
-    keyed = own.withColumns({"_size": size, "_crc": crc})
-    runs, total = numbered(
-        keyed.select("doc_id", "_size", "_crc"), ["doc_id", "_size", "_crc"]
-    )
-    single = runs.where("n_rows = 1").select(F.col("doc_id").alias("_id"), F.col("_size").alias("_s"), F.col("_crc").alias("_c"), "first_row")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c"))
-    one = keyed.join(single, match, "inner")
-    # Copies share a key: dealt by a hash of the row's place in its group, not gathered by key.
+    held = own.select(row_key(own).alias("key"), whole_row(own).alias("row"))
+    runs, total = numbered(held.select("key"), ["key"])
+    one = held.join(runs.where("n_rows = 1").select("key", F.col("first_row").alias("row_number")), "key")
     many = runs.where("n_rows > 1")
-    again = keyed.join(
-        many.select(F.col("doc_id").alias("_id"), F.col("_size").alias("_s"), F.col("_crc").alias("_c")), match, "left_semi"
-    ).groupBy(*keyed.columns).agg(F.count("*").alias("_copies"))
-    order = W.partitionBy("doc_id", "_size", "_crc").orderBy(*[F.xxhash64(*own.columns)])
-    ranked = again.withColumn("_before", F.sum("_copies").over(order) - F.col("_copies"))
-    placed = ranked.join(
-        many.select(F.col("doc_id").alias("_id"), F.col("_size").alias("_s"), F.col("_crc").alias("_c"), "first_row"), match
-    ).withColumn("first_row", F.col("first_row") + F.col("_before"))
-    copies = placed.withColumn("first_row", F.explode(F.sequence(F.col("first_row"), F.col("first_row") + F.col("_copies") - 1)))
-    rows = one.select(*own.columns, "first_row").unionByName(copies.select(*own.columns, "first_row"))
-    shard, slot = place(F.col("_p"), n_shards)
-    return rows.withColumn("_p", feistel(F.col("first_row"), total, domain_bits(total), seed)).select(
-        *own.columns, shard.alias("shard"), slot.alias("slot")
-    )
+    again = held.join(many.select("key"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).join(spread(many), "key")
+    shard, slot = place(F.col("position"), n_shards)
+    rows = one.unionByName(again).withColumn("position", feistel(F.col("row_number"), total, domain_bits(total), seed))
+    return rows.select(*[F.col("row")[c].alias(c) for c in own.columns], shard.alias("shard"), slot.alias("slot"))
 
 
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ Both word definitions are classes of bytes, also in UTF-8: every byte of a non-A
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,22 +21,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 BASE = 0x9E3779B97F4A7C15
-_up = _down = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    global _up, _down
-    if len(_up) <= n:
-        size = max(1 << 21, 1 << (n + 1).bit_length())
-        _up = np.full(size, BASE, np.uint64)
-        _down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-        _up[0] = _down[0] = 1
-        np.cumprod(_up, out=_up)
-        np.cumprod(_down, out=_down)
-    return _up, _down
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64, copy=True)
     x ^= x >> np.uint64(30)
@@ -80,13 +65,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Words of up to LANES * 8 bytes are hashed here, longer ones by BLAKE2b.
+LANES = 8
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a polynomial of its bytes, by differences of prefix sums, mixed with its length."""
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """64-bit hash of each word: its length, then eight bytes at a time, mixed after each; no polynomial of the bytes.
+
+    Words of one length up to eight bytes never share a hash.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, np.uint64, padded, 0, (1,))  # eight bytes from each place on
+    n = ends - starts
+    h = mix64(n.astype(np.uint64) * np.uint64(BASE))
+    which, at, left = np.arange(len(n)), starts, n
+    for _ in range(LANES):
+        h[which] = mix64(h[which] ^ (lanes[at] & _KEEP[np.minimum(left, 8)]))
+        on = np.flatnonzero(left > 8)
+        if not len(on):
+            return h
+        which, at, left = which[on], at[on] + 8, left[on] - 8
+    for i in which:
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def hash_word(word: str) -> int:

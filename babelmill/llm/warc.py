@@ -1,36 +1,44 @@
 """Operator 3, WARC: a Zstandard archive writer and reader.
 
 An archive is one .warc.zst file: a skippable frame (magic 0x184D2A5D) with the dictionary, then one frame a record.
-`write_archives` turns rows into archives of bounded size, as rows (archive, content) that Spark stores; `read_archives`
-takes any DataFrame with a binary `content` column, so also spark.read.format("binaryFile") over .warc.zst files. The
-reader loads the dictionary from the leading frame, decodes one frame after another, and validates version, headers,
-Content-Length, block and payload digests; a damaged record is a row with its `error`, and a frame that can't be
-decoded ends its archive with such a row.
+`write_archives` turns rows into archives of bounded size, `write_files` writes each to a file of a folder that all
+executors reach, and `read_files` reads those back that a finished task has written (a lost task's files are passed
+over). `read_archives` takes any DataFrame with a binary `content` column, so spark.read.format("binaryFile") too. The
+reader loads the dictionary from the leading frame, decodes one frame after another in time linear in the archive, and
+validates version, headers, Content-Length, block and payload digests; a damaged record is a row with its `error`, and a
+frame that can't be decoded, or that holds more than RECORD_BYTES, ends its archive with such a row.
 
 Defined cases: null html is an empty payload; a null page_id or url leaves its header out and is read back as null;
 characters that a header can't hold are percent-encoded, and decoded when read; of rows equal in payload (1000 bytes
 or more) those with the largest page_id are responses, so a repeated row is a response like its copy, and all are if
-none has a page_id; an empty table gives no archives and an empty result; other columns are ignored.
+none has a page_id; a very long page is one record of one frame, up to RECORD_BYTES; an empty table gives no archives
+and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelmill.llm.common import stored, table
+from babelmill.llm.common import shared_dir, stored, table
 
 DICT_MAGIC, FRAME_MAGIC, RAW_DICT = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x37\xa4\x30\xec"
 #: Uncompressed bytes and records of one archive, and the dictionary trained on its payloads.
-ARCHIVE_BYTES, ARCHIVE_RECORDS, DICT_BYTES, DICT_SAMPLE = 4 << 20, 2000, 16 << 10, 1 << 20
+ARCHIVE_BYTES, ARCHIVE_RECORDS, DICT_BYTES, DICT_SAMPLE = 32 << 20, 1 << 16, 16 << 10, 1 << 20
+#: What one record may hold when read, and bytes of an archive given to the decoder at first.
+RECORD_BYTES, SLICE = 1 << 30, 1 << 13
 REVISIT_LEAST = 1000
+#: Digests that a broadcast may hold (40 bytes each); beyond that the join is an ordinary one.
+BROADCAST_DIGESTS = 1 << 19
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -96,43 +104,92 @@ def write_archives(pages: DataFrame) -> DataFrame:
         p.where(F.col("_bytes") >= REVISIT_LEAST).groupBy("digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1 and _first is not null").select(F.col("digest").alias("_digest"), "_first")
     )
+    groups = stored(groups, "warc-repeated")
+    if groups.count() <= BROADCAST_DIGESTS:
+        groups = F.broadcast(groups)
     p = p.join(groups, F.col("digest") == F.col("_digest"), "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     p = p.select("page_id", "url", "html", "digest", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
     return p.mapInArrow(_write, "content binary, n_records long")
 
 
-def frames(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """name, n_records: each archive written as {name} in the folder, a URI that all executors reach.
+
+    A name is the digest of the archive, so a task that runs again writes the same files, or leaves ones that are not named.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = pyarrow.fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        files.create_dir(path)
+        for batch in batches:
+            names = []
+            for content in batch.column("content"):
+                held = content.as_buffer()
+                names.append(f"{hashlib.sha1(held).hexdigest()}.warc.zst")
+                begun = f"{path}/.{names[-1]}.{uuid.uuid4().hex}"
+                with files.open_output_stream(begun) as out:
+                    out.write(held)
+                files.move(begun, f"{path}/{names[-1]}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("n_records")], ["name", "n_records"])
+
+    return stored(archives.select("content", "n_records").mapInArrow(write, "name string, n_records long"), "warc-names")
+
+
+def read_files(folder: str, names: DataFrame) -> DataFrame:
+    """path, content of the named files of a folder."""
+    spark = names.sparkSession
+    if not names.head(1):
+        return spark.createDataFrame([], "path string, content binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    files = files.select("path", "content", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return files.join(names.select("name").distinct(), "name", "left_semi").select("path", "content")
+
+
+def frames(content: bytes, most: int = RECORD_BYTES) -> Iterator[tuple[bytes, str | None]]:
     """Each record's bytes, or what is wrong with its frame."""
-    dictionary, at, view = None, 0, memoryview(content)
-    while at + 8 <= len(content) and 0x184D2A50 <= int.from_bytes(view[at : at + 4], "little") <= 0x184D2A5F:
-        magic, size = struct.unpack_from("<II", content, at)
-        if at == 0 and magic == DICT_MAGIC:
-            held = bytes(view[8 : 8 + size])
-            if len(held) != size:
-                yield b"", "the dictionary frame is cut off"
-                return
-            if held.startswith(FRAME_MAGIC):
-                held = zstandard.ZstdDecompressor().decompress(held, max_output_size=1 << 26)
-            elif not held.startswith(RAW_DICT):
-                yield b"", "the leading frame holds no dictionary"
-                return
-            dictionary = zstandard.ZstdCompressionDict(held)
-        at += 8 + size
-    unpack = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    rest = bytes(view[at:])
-    while rest:
-        one = unpack.decompressobj()
+    view, at = memoryview(content), 0
+    unpack = zstandard.ZstdDecompressor()
+    while at < len(view):
+        if at + 8 <= len(view) and 0x184D2A50 <= int.from_bytes(view[at : at + 4], "little") <= 0x184D2A5F:
+            magic, size = struct.unpack_from("<II", view, at)
+            if at == 0 and magic == DICT_MAGIC:
+                held = bytes(view[8 : 8 + size])
+                if len(held) != size:
+                    yield b"", "the dictionary frame is cut off"
+                    return
+                try:
+                    if held.startswith(FRAME_MAGIC):
+                        held = zstandard.ZstdDecompressor().decompress(held, max_output_size=1 << 26)
+                except zstandard.ZstdError as e:
+                    yield b"", f"the dictionary can't be decoded: {e}"
+                    return
+                if not held.startswith(RAW_DICT):
+                    yield b"", "the leading frame holds no dictionary"
+                    return
+                unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
+            at += 8 + size
+            continue
+        one, parts, total, step = unpack.decompressobj(), [], 0, SLICE
         try:
-            record = one.decompress(rest)
+            declared = zstandard.frame_content_size(bytes(view[at : at + 18]))
+            while total <= most >= declared and not one.eof and at < len(view):
+                piece = view[at : at + step]
+                parts.append(one.decompress(piece))
+                total += len(parts[-1])
+                at += len(piece)
+                step = min(2 * step, 1 << 20)
         except zstandard.ZstdError as e:
             yield b"", f"a frame can't be decoded: {e}"
             return
+        if total > most or declared > most:
+            yield b"", "a record is too long"
+            return
         if not one.eof:
             yield b"", "the last frame is cut off"
             return
-        rest = one.unused_data
-        yield record, None
+        at -= len(one.unused_data)
+        yield b"".join(parts), None
 
 
 def parse_record(record: bytes) -> dict:
@@ -206,7 +263,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = stored(write_archives(table(spark, sf_dir, "pages")), "warc", "none")
-    return read_archives(archives, payloads=False).select(
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    names = write_files(write_archives(table(spark, sf_dir, "pages")), folder)
+    return read_archives(read_files(folder, names), payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error"
     )

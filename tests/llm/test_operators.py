@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,14 @@ def test_words_and_hashes():
         assert len(set(seen.values())) == len(seen) and at == len(texts)
 
 
+def test_word_hashes_tell_words_apart():
+    """Words on which a polynomial of the bytes modulo a power of two is the same: Thue-Morse, one the other's complement."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    assert tn.hash_word(morse) != tn.hash_word(morse.translate(str.maketrans("ab", "ba")))
+    assert len({tn.hash_word("a" * i) for i in range(1, 300)}) == 299
+    assert len({tn.hash_word("a" * i + "b" + "a" * (99 - i)) for i in range(100)}) == 100
+
+
 # --- 1 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -118,36 +127,85 @@ def test_proximity(spark):
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_lm_scoring(docs, empty):
+def explicit_automaton(texts, mass):
+    """States, arcs and failure arcs as dictionaries: (history, token) -> (weight, next history); history -> (weight, next)."""
+    c = Counter()
+    for t in texts:
+        t = ["<s>", *t]
+        for i in range(1, len(t)):
+            for k in range(1, len(mass) + 2):
+                if i - k + 1 >= 0:
+                    c[tuple(t[i - k + 1 : i + 1])] += 1
+    c["<s>",] = len(texts)
+    n, v = sum(x for g, x in c.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 for g in c) - 1
+    p = {(): 1 / (n + v + 1)}
+    arcs, fails = {}, {}
+
+    def prob(h, w):
+        if not h:
+            return (c[w,] + 1) / (n + v + 1)
+        m = mass[len(h) - 1]
+        return (c[(*h, w)] + m * prob(h[1:], w)) / (c[h] + m)
+
+    for g, count in c.items():
+        if count and g != ("<s>",):
+            arcs[g[:-1], g[-1]] = (math.log10(prob(g[:-1], g[-1])), g[max(0, len(g) - len(mass)) :])
+        if len(g) <= len(mass):
+            fails[g] = (math.log10(mass[len(g) - 1] / (c[g] + mass[len(g) - 1])), g[1:])
+    return arcs, fails, math.log10(p[()]), c, n, v
+
+
+def walk(automaton, text):
+    arcs, fails, unknown, *_ = automaton
+    state, total = ("<s>",), 0.0
+    for w in text:
+        while state and (state, w) not in arcs:
+            weight, state = fails[state]
+            total += weight
+        weight, state = arcs.get(((), w) if not state else (state, w), (unknown, ()))
+        total += weight
+    return total
+
+
+@pytest.mark.parametrize("mass", [(7.0,), (500.0, 4.0), (50.0, 3.0, 0.5)])
+def test_lm_scoring_walks_the_automaton(docs, empty, mass):
     rows = [(r[0], r[1]) for r in corpus()]
     tokens = [[*words(t, SPACED), None] for _, t in rows]
     held = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
-    c, b = Counter(), Counter()
-    for t, h in zip(tokens, held, strict=True):
-        if not h:
-            c.update(t), b.update(zip([None, *t[:-1]], t, strict=True))
-    n, v, mu = sum(c.values()), len(c), lm_scoring.MU
-    base = lambda w: (c[w] + 1) / (n + v + 1)
+    automaton = explicit_automaton([t for t, h in zip(tokens, held, strict=True) if not h], mass)
+    *_, c, n, v = automaton
     want = sorted(
-        (str(i), h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10(base(w)) for w in t), 5), round(sum(math.log10((b[x, w] + mu * base(w)) / (c[x] + mu)) for x, w in zip([None, *t[:-1]], t, strict=True)), 5))
+        ((str(i), h, len(t), sum(c[w,] > 0 for w in t), n), (sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in t), walk(automaton, t)))
         for (i, _), t, h in zip(rows, tokens, held, strict=True)
     )
-    got = lm_scoring.score(lm_scoring.with_fold(docs)).collect()
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert all(abs(x - y) < 1e-3 for g, w in zip(got, want, strict=True) for x, y in zip(g[5:], w[5:], strict=True))
-    assert lm_scoring.score(lm_scoring.with_fold(empty)).count() == 0
-
-
-def test_lm_weights_sum_to_one(docs):
-    import numpy as np
-
-    words_, pairs, mu = np.array([3, 2, 1], np.int64), np.array([2, 1], np.int64), 5.0
-    model = lm_scoring.Automaton(words_, pairs, 6, 3, mu)
-    p = 10.0**model.base
-    seen = (pairs + mu * p[[1, 2]]) / (words_[0] + mu)  # arcs from word 0 to words 1 and 2
-    unseen = 10.0 ** model.failure[0] * (p[0] + 1 / (6 + 3 + 1))  # the rest over the failure arc, unknown words included
-    assert abs(seen.sum() + unseen - 1) < 1e-12
+    got = lm_scoring.score(lm_scoring.with_fold(docs), mass).collect()
+    got = sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens), (r.base_score, r.score)) for r in got)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(x - y) < 1e-6 * max(1, abs(y)) for g, w in zip(got, want, strict=True) for x, y in zip(g[1], w[1], strict=True))
+    assert lm_scoring.score(lm_scoring.with_fold(empty), mass).count() == 0
+
+
+def test_lm_states_sum_to_one():
+    texts = ["a b a c b".split(), "b a b".split(), "c".split()]
+    arcs, fails, unknown, c, n, v = automaton = explicit_automaton([[*t, None] for t in texts], (5.0, 2.0))
+    for state in [(), *fails]:
+        if None in state:
+            continue
+        total = 0.0
+        for w in ["a", "b", "c", None, "unknown"]:
+            s, weight = state, 0.0
+            while s and (s, w) not in arcs:
+                weight, s = weight + fails[s][0], fails[s][1]
+            total += 10 ** (weight + arcs.get((s, w), (unknown, ()))[0])
+        assert abs(total - 1) < 1e-9
+    assert automaton[4] == n
+
+
+def test_lm_order_three_is_better_than_two_than_the_base(spark):
+    docs = lm_scoring.with_fold(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    three = lm_scoring.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    two = lm_scoring.score(docs, lm_scoring.MASS[:1]).where("held_out").agg(F.sum("score")).first()
+    assert three[0] > two[0] > three[1]
 
 
 # --- 3 ------------------------------------------------------------------------------------------------------------------
@@ -168,6 +226,28 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"<p>page {i}</p>" * 60) for i in range(50)] + [(99, "u", "long " * 400000)]
+    names = warc.write_files(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), f"file://{tmp_path}/warc")
+    (tmp_path / "warc" / "stray.warc.zst").write_bytes(b"what a lost task has left")
+    files = sorted(p.name for p in (tmp_path / "warc").glob("*.warc.zst"))
+    assert sorted(r.name for r in names.collect()) == [f for f in files if f != "stray.warc.zst"]
+    got = {r.page_id: r for r in warc.read_archives(warc.read_files(f"file://{tmp_path}/warc", names)).collect()}
+    assert len(got) == 51 and all(bytes(got[i].payload).decode() == html and got[i].url == url and got[i].error is None for i, url, html in rows)
+    assert warc.read_files(f"file://{tmp_path}/nothing", names.limit(0)).count() == 0
+
+
+def test_warc_reader_is_linear():
+    records = [warc.record_bytes(i, "u", b"x%d" % i * 300, hashlib.sha1(b"x%d" % i * 300).hexdigest(), None, False) for i in range(24000)]
+    held = warc.archive_bytes(records)
+    assert sum(map(len, records)) > 40e6
+    began = time.monotonic()
+    assert [r for r, _ in warc.frames(held)] == records
+    assert time.monotonic() - began < 10
+    assert [e for _, e in warc.frames(warc.archive_bytes([b"\0" * 100000]), 1000)] == ["a record is too long"]
+    assert all(e for _, e in warc.frames(held[:100]))
+
+
 def test_warc_damage(spark):
     import zstandard
 
@@ -226,19 +306,53 @@ def test_mixing(spark, docs, empty, monkeypatch):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
-@pytest.mark.parametrize("seats", [0, 1, 7, 50])
+def highest_quotients(votes, limits, seats):
+    got = {k: 0 for k in votes}
+    for _ in range(seats):
+        free = [k for k in votes if got[k] < limits[k] and votes[k]]
+        if free:
+            got[max(free, key=lambda k: (votes[k] / (2 * got[k] + 1), -ord(k)))] += 1
+    return got
+
+
+@pytest.mark.parametrize("seats", [0, 1, 7, 50, 53, 56, 60])
 def test_apportionment_is_the_highest_quotients(spark, seats):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.5, "e": 0.4}
     limits = {"a": 10, "b": 20, "c": 20, "d": 3, "e": 3}
-    got = {k: 0 for k in votes}
-    for _ in range(seats):
-        free = [k for k in votes if got[k] < limits[k]]
-        got[max(free, key=lambda k: (votes[k] / (2 * got[k] + 1), -ord(k)))] += 1
     df = spark.createDataFrame([(k, votes[k], limits[k], seats) for k in votes], "k string, votes double, limit long, seats long")
     res = {r.k: r.quota for r in mixing.apportion(df, [], ["k"], "votes", "limit", "seats").collect()}
-    if seats <= 7:
-        assert res == got
-    assert all(res[k] <= limits[k] for k in res)
+    assert res == highest_quotients(votes, limits, seats)
+
+
+def test_apportionment_by_group(spark):
+    import random
+
+    r = random.Random(5)
+    rows, want = [], {}
+    for g in range(25):
+        names = [chr(97 + i) for i in range(r.randrange(1, 12))]
+        votes = {k: r.choice([0.0, 1.0, 1.0, 5.0, r.random() * 100, r.random()]) for k in names}
+        limits = {k: r.choice([0, 1, 3, 8, 50]) for k in names}
+        seats = r.randrange(0, sum(limits.values()) + 3)
+        rows += [(g, k, votes[k], limits[k], seats) for k in names]
+        want |= {(g, k): q for k, q in highest_quotients(votes, limits, seats).items()}
+    df = spark.createDataFrame(rows, "g int, k string, votes double, limit long, seats long")
+    got = {(x.g, x.k): x.quota for x in mixing.apportion(df, ["g"], ["k"], "votes", "limit", "seats").collect()}
+    assert got == want
+
+
+def test_mixing_most(spark):
+    d = spark.createDataFrame([(i, " ".join(["w"] * 20), "a") for i in range(100)], "doc_id long, text string, source string")
+    p = mixing.plan(d, most=1.5, share=1.5).collect()
+    assert abs(sum(r.taken for r in p) - 3000) <= mixing.BLOCK_WORDS and all(r.target == 3000 for r in p)
+    assert all(r.taken <= 2 * r.size for r in p)
+
+
+def test_mixing_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPY_ROWS", 7)
+    d = spark.createDataFrame([(1, "one two three", "a")] * 40 + [(2, "x y", None)], "doc_id long, text string, source string")
+    p = mixing.plan(d).collect()
+    assert len(p) == 41 and sum(r.taken for r in p if r.doc_id == 1) == sum(len(words(r.text, SPACED)) for r in mixing.mix(d).where("doc_id = 1").collect())
 
 
 # --- 5 ------------------------------------------------------------------------------------------------------------------
@@ -319,6 +433,10 @@ def test_chat_round_trip(spark):
     for conv in (1, 2, None):
         want = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3] or ""))
         assert [(t.role, t.text) for t in got[conv]] == [(r[2] or "", r[3] or "") for r in want]
+        f = chat.format_conversations(c).where(F.col("conv_id").eqNullSafe(F.lit(conv))).select("*", chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("learned")).first()
+        assert f.learned == [r[3] or "" for r in want if r[2] == "assistant"]
+        for m, text in zip(f.loss_mask, f.learned, strict=True):
+            assert re.sub(r"\\(### [A-Za-z]+: |</turn>)", r"\1", f.formatted[m.start : m.start + m.length]) == text
     assert chat.format_conversations(c.limit(0)).count() == 0
 
 
@@ -358,10 +476,10 @@ def test_license_join_equals_all_pairs(spark):
     for i, text in enumerate(texts):
         w = words(text, ALNUM)
         best = 0.0
-        for a in range(0, max(1, len(w)), licenses.STRIDE):
-            block = set(w[a : a + licenses.BLOCK])
-            for _, t in licenses.TEMPLATES:
-                s = set(t.split())
+        for _, t in licenses.TEMPLATES:
+            s, stride = set(t.split()), licenses.stride(t)
+            for a in range(0, max(1, len(w)), stride):
+                block = set(w[a : a + 2 * stride])
                 if len(s & block) >= licenses.need(len(s)):
                     best = max(best, len(s & block) / len(s))
         want[i] = best
@@ -370,6 +488,16 @@ def test_license_join_equals_all_pairs(spark):
         assert abs(row.score - want[row.doc_id]) < 1e-9
 
 
+def test_long_templates(spark):
+    text = " ".join(f"term{i} of the" for i in range(170))  # 510 words
+    whole = dict(licenses.TEMPLATES[-4:])["mit"]
+    near = " ".join(w for i, w in enumerate(text.split()) if i % 8)
+    d = spark.createDataFrame([(1, f"{'x ' * 700}{text} y"), (2, f"a b {near} {'z ' * 90}"), (3, " ".join(text.split()[:300])), (4, f"{'q ' * 99}{whole.upper()}.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(d, templates=(("long", text), *licenses.TEMPLATES[-4:])).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4)] == ["long", "long", "", "mit"]
+    assert got[1].score == 1.0 and 0.8 <= got[2].score < 1 and got[3].score == 0 and got[4].score == 1.0
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -420,6 +548,29 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.deduplicated(empty).count() == 0
 
 
+def test_near_dedup_of_many_copies(spark):
+    a, b = "copied text number one of the two with some words more", "copied text number one of the two with some words morf"
+    d = spark.range(40000).select((F.col("id") % 4).alias("doc_id"), F.when(F.col("id") % 2 == 0, a).otherwise(b).alias("text"))
+    began = time.monotonic()
+    got = near_dedup.near_duplicates(d).groupBy("doc_id", "component_id", "n_shingles").count().collect()
+    assert sorted((r.doc_id, r.component_id, r.n_shingles, r["count"]) for r in got) == [(i, 0, 8, 10000) if i % 2 == 0 else (i, 1, 8, 10000) for i in range(4)]
+    assert time.monotonic() - began < 60
+
+
+def test_signature_distance(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = []
+    for i in range(0, 61, 4):
+        a = r.integers(0, 1 << 16, 60).astype(np.uint16)
+        b = a.copy()
+        b[r.choice(60, i, replace=False)] ^= np.uint16(r.choice([1, 0x8000, 0xFFFF]))
+        rows.append((i, a.view(np.int64).tolist(), b.view(np.int64).tolist()))
+    df = spark.createDataFrame(rows, "n int, a array<long>, b array<long>")
+    assert all(x.n == x.d for x in df.select("n", near_dedup.distance(F.col("a"), F.col("b")).alias("d")).collect())
+
+
 def test_pigeonhole():
     """Signatures that differ in fewer than 2 * CHUNKS values share a key."""
     import numpy as np
@@ -459,3 +610,54 @@ def test_secrets(spark, empty):
 
     scored = model.transform(test.withColumn("v", array_to_vector("features")))
     assert scored.where("label = prediction").count() >= 0.95 * 600
+
+
+def test_secret_labels_of_one_kind(spark):
+    d = spark.createDataFrame([(1, "token=abcdefghijklmnop1", "p")] * 2, "doc_id long, text string, path string")
+    none = spark.createDataFrame([], "label double, features array<double>")
+    assert [r.probability for r in secrets.scan(d, none).collect()] == [1.0, 1.0]
+    held = [0.0] * len(secrets.FEATURES)
+    assert [r.probability for r in secrets.scan(d, spark.createDataFrame([(0.0, held), (None, held)], "label double, features array<double>")).collect()] == [0.0, 0.0]
+
+
+def test_transitions_do_not_depend_on_partitions(spark, docs):
+    import numpy as np
+
+    one, many = secrets.transitions(docs.coalesce(1)), secrets.transitions(docs.repartition(40))
+    assert np.array_equal(one, many)
+    pairs = Counter()
+    for r in corpus():
+        b = (r[1] or "").translate(LOWER).encode()
+        pairs.update(zip(b, b[1:], strict=False))
+    want = np.ones((256, 256))
+    for (x, y), n in pairs.items():
+        want[x, y] += n
+    assert np.allclose(one, np.log2(want / want.sum(axis=1, keepdims=True)), atol=1e-5)
+
+
+# --- clashing names ---------------------------------------------------------------------------------------------------
+
+NAMES = (
+    "row_id", "key", "row", "_row_key", "_row", "_takes", "_id", "_hash", "_h", "_t", "_p", "first_row", "_s", "_c", "_copies", "_before", "_size", "_crc",
+    "row_number", "position", "n_rows", "take", "piece", "shard", "slot", "stays", "cid", "size", "taken", "bad", "rule", "kept", "a.b", "n_copies",
+)
+
+
+def test_stages_keep_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    held = [(i, " ".join(f"w{i}x{j % 17}q{j}" for j in range(40)) + " and so on.", "en", ["a", "b", None][i % 3], None) for i in range(60)] + [(3, None, None, None, 1)]
+    base = spark.createDataFrame(held + held[:5], "doc_id long, text string, lang string, source string, n_chars long")
+    d = base.select("*", *[F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias(n) for n in NAMES], F.create_map(F.lit("k"), F.col("doc_id")).alias("a_map"), F.array("lang").alias("an_array"))
+    d.write.parquet(f"file://{tmp_path}/documents")
+    d = spark.read.parquet(f"file://{tmp_path}/documents")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        left = [c for c in d.columns if name != "sharding" or c not in ("shard", "slot")]
+        assert [c for c in out.columns if name != "sharding" or c not in ("shard", "slot")] == left
+        rows = out.collect()
+        assert rows and all(r[n] == f"v{r.doc_id}" and r.a_map == {"k": r.doc_id} for r in rows for n in NAMES if n in left)
+        if name == "sharding":
+            assert len(rows) == d.count()
+        if name == "near_dedup":
+            assert Counter(r.doc_id for r in rows if r.text) == Counter(range(60))
