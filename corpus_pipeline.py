@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelmill.llm import decontamination, mixing, near_dedup, quality, sharding
-from babelmill.llm.common import stored, table
+from babelmill.llm.common import row_key, stored, table, whole_row
 
-N_SHARDS = 24
+N_SHARDS, SHINGLE = 24, 5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.deduplicated(docs)
+    """One document of each group of near duplicates, by shingles of five words."""
+    return near_dedup.deduplicated(docs, SHINGLE)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
-    keyed = docs.withColumn("_row_key", near_dedup.row_key())
-    found = decontamination.judge(keyed.select(F.col("_row_key").alias("row_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return near_dedup.without_keys(keyed, found.where("contaminated").select("row_id").distinct()).drop("_row_key")
+    held = docs.select(row_key(docs).alias("key"), "text", whole_row(docs).alias("row"))
+    found = decontamination.judge(held.select(F.col("key").alias("row_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("row_id").alias("key")).distinct()
+    return near_dedup.without_keys(held.drop("text"), gone).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
