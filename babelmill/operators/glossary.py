@@ -72,9 +72,13 @@ def terms_in_segments(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     several = F.contains(F.trim("k"), F.lit(" "))
     words = F.array_distinct(F.regexp_extract_all("_t", F.lit(r"([a-z0-9']+|[؀-ۿݐ-ݿ]+)"), F.lit(0)))
     single = s.select("segment_id", F.explode(words).alias("k")).join(side(g.where(~several)), "k").drop("k")
-    # A term of several words begins at the end of some word of the segment: they meet under that suffix.
+    # A term of several words begins at the end of some word of the segment: they meet under that end, of which there are
+    # as many a word as the glossary's first words have lengths.
     multi = g.where(several).withColumn("_w", F.element_at(F.split(F.ltrim("k"), r"\s"), 1))
-    suffixes = F.flatten(F.transform(F.split("_t", r"\s+"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.length(w)))))
-    held = s.select("segment_id", "_t", F.explode(F.array_distinct(suffixes)).alias("_w"))
+    lengths = sorted(r["n"] for r in multi.select(F.length("_w").alias("n")).distinct().collect())
+    spaced = F.array_distinct(F.split("_t", r"\s+"))
+    ends = lambda w, n: F.transform(F.filter(w, lambda x: F.length(x) >= n), lambda x: F.substring(x, -n, n))
+    suffixes = F.flatten(F.array(*[ends(F.col("_s"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    held = s.select("segment_id", "_t", spaced.alias("_s")).select("segment_id", "_t", F.explode(F.array_distinct(suffixes)).alias("_w"))
     phrase = held.join(side(multi), "_w").where(F.contains(F.col("_t"), F.col("k"))).drop("_t", "_w", "k")
     return single.unionByName(phrase)
