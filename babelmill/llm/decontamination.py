@@ -42,7 +42,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes: list[np.ndarray] = []
     ids: list[list] = []
     sizes: list[np.ndarray] = []
-    spelled: dict[int, bytes] = {}
+    held_bytes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     tokens = 0
 
     def done() -> pa.RecordBatch:
@@ -54,9 +54,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = place[order]
         delta = np.diff(held, prepend=0)  # within a term's list: steps; its first place stays as it is
         delta[first] = held[first]
-        spellings = [spelled[t] for t in terms.tolist()]
+        spellings, ends = spelled(held_bytes, order[first])
         row = [
-            [task + made], [sum(ids, [])], [n.tolist()], [terms.tobytes()], [b"".join(spellings)], [np.cumsum([len(x) for x in spellings]).astype(np.int64).tobytes()],
+            [task + made], [sum(ids, [])], [n.tolist()], [terms.tobytes()], [spellings.tobytes()], [ends.tobytes()],
             [counts.astype(np.int32).tobytes()], [delta.astype(np.int32).tobytes()],
         ]
         kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), *[pa.binary()] * 5]
@@ -67,19 +67,27 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first_row, offsets, data in tn.chunks(batch.column("text")):
             starts, ends, first = tn.word_spans(data, offsets, tn.ALNUM)
             hashes.append(tn.word_hashes(data, starts, ends))
-            for term, at in zip(*(x.tolist() for x in np.unique(hashes[-1], return_index=True)), strict=True):
-                if term not in spelled:
-                    spelled[term] = data[starts[at] : ends[at]].tobytes()
+            held_bytes.append((data, starts, ends))
             sizes.append(np.diff(first))
             ids.append(row_ids[first_row : first_row + len(offsets) - 1])
             tokens += len(starts)
             if tokens >= SEGMENT_TOKENS:
                 yield done()
-                made, tokens, hashes, ids, sizes, spelled = made + 1, 0, [], [], [], {}
+                made, tokens, hashes, ids, sizes, held_bytes = made + 1, 0, [], [], [], []
     if hashes:
         yield done()
 
 
+def spelled(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some words of the runs (data, starts, ends) of texts, end to end, and where each ends."""
+    begin = np.cumsum([0] + [len(data) for data, _, _ in held[:-1]])
+    starts = np.concatenate([a + b for (_, a, _), b in zip(held, begin, strict=True)])[which]
+    sizes = np.concatenate([z - a for _, a, z in held])[which].astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+    return np.concatenate([data for data, _, _ in held])[at], ends
+
+
 def doc_starts(n: np.ndarray) -> np.ndarray:
     """Place of each document's first word: documents stand GAP places apart."""
     return np.cumsum(n + GAP) - n - GAP
