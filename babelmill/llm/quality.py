@@ -10,7 +10,8 @@ expression: the first rule that holds rejects a document, no rule keeps it.
 Defined cases: null text has no words and fails the base rule, as do texts of fewer than 10 words; labels without a
 quality, or for documents that are not there, are left out; a document labelled twice counts twice; without labels, or
 if no rule is precise, only the base rule rejects; an empty table gives an empty result; repeated rows are judged one
-by one; other columns are ignored.
+by one; a very long text is measured whole; of conditions with equal gain the first in the order of FEATURES and cuts
+is taken; other columns are ignored, and kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from babelmill.llm.common import SPACE_WORD, stored, table, whole_row
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 5
 #: Cut points a feature, conditions a rule, rules, and what a rule must reach on the pruning rows.
 CUTS, CONDITIONS, RULES, PRECISION, LEAST_FOUND = 24, 4, 16, 0.95, 3
-#: Labels that a broadcast may hold; beyond that the join is an ordinary one.
-BROADCAST_LABELS = 1 << 20
+#: Labelled rows, about, that `learned` fits rules on: a sample by a hash of doc_id where there are more.
+LABELLED = 1 << 15
 FEATURES = ("n_words", "word_length", "symbol_share", "line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "mark_share")
 
 
@@ -228,10 +229,13 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], seed: int = 6) -
 
 
 def learned(docs: DataFrame, labels: DataFrame, seed: int = 6) -> list[Rule]:
-    """Rules from the labelled documents alone."""
+    """Rules from the labelled documents alone, from about LABELLED of them."""
     bad = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("bad"))
+    n = bad.count()
+    if n > LABELLED:
+        bad = bad.where(F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(n)) < LABELLED)
     bad = stored(bad, "quality-labels")
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_LABELS else bad
+    side = F.broadcast(bad) if bad.count() <= 4 * LABELLED else bad  # more only if one document has very many labels
     some = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_id"))
     return learn(stored(with_features(text_statistics(some, ["doc_id", "bad"])).where(~F.col("base_failed")), "quality-statistics"), seed)
 
