@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from babelmill.plans import more_queries  # noqa: F401  (registers its queries)
+from babelmill.plans import file_queries, more_queries  # noqa: F401  (register their queries)
 from babelmill.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "segments"

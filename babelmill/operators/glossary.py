@@ -82,3 +82,11 @@ def terms_in_segments(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     held = s.select("segment_id", "_t", spaced.alias("_s")).select("segment_id", "_t", F.explode(F.array_distinct(suffixes)).alias("_w"))
     phrase = held.join(side(multi), "_w").where(F.contains(F.col("_t"), F.col("k"))).drop("_t", "_w", "k")
     return single.unionByName(phrase)
+
+
+def hits_per_segment(segments: DataFrame, glossary: DataFrame) -> DataFrame:
+    """segment_id, n_terms: how many terms each segment holds, 0 where there is none."""
+    n = terms_in_segments(segments, glossary).groupBy("segment_id").agg(F.count("*").alias("n"))
+    found = n.withColumnRenamed("segment_id", "_id")
+    joined = segments.join(found, F.col("segment_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("segment_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_terms"))

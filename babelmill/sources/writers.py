@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelmill.functions.text import escape_xml
+from babelmill.functions.text import escape_xml, is_arabic
 from babelmill.operators.keyed import concatenated, last_wins
 from babelmill.sources.exchange import WORD, name_of, paragraph_text
 
@@ -130,6 +130,49 @@ def new_xliff(rows: DataFrame, source: str, target: str) -> DataFrame:
     return docs.select("document_id", F.concat(F.lit(head), F.array_join(F.transform("units", one), ""), F.lit("</body></file></xliff>")).alias("xml"))
 
 
+TYPES = (
+    '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+)
+RELATIONS = (
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" '
+    'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+)
+
+
+def zipped(document: str) -> bytes:
+    """A word-processing package of one document part; the same bytes each time."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+        for name, part in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELATIONS), ("word/document.xml", document)):
+            w.writestr(zipfile.ZipInfo(name), part)
+    return out.getvalue()
+
+
+def new_docx(rows: DataFrame) -> DataFrame:
+    """path, content: a DOCX of each document of rows(document_id, pos, text, style, alignment), paragraphs in order.
+
+    Text in Arabic script runs from right to left, with left and right alignment mirrored; null text is an empty paragraph.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    arabic = is_arabic(text)
+    side = F.when(arabic & (F.col("alignment") == "left"), "right").when(arabic & (F.col("alignment") == "right"), "left").otherwise(F.col("alignment"))
+    tag = lambda name, value: F.coalesce(F.concat(F.lit(f'<w:{name} w:val="'), escape_xml(value), F.lit('"/>')), F.lit(""))
+    if_arabic = lambda x: F.when(arabic, x).otherwise("")
+    paragraph = F.concat(
+        F.lit("<w:p><w:pPr>"), tag("pStyle", F.col("style")), if_arabic("<w:bidi/>"), tag("jc", side), F.lit("</w:pPr><w:r>"),
+        if_arabic("<w:rPr><w:rtl/></w:rPr>"), F.lit('<w:t xml:space="preserve">'), escape_xml(text), F.lit("</w:t></w:r></w:p>"),
+    )
+    docs = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("pos", paragraph.alias("p")))).alias("p"))
+    body = F.concat(F.lit(f'<w:document xmlns:w="{WORD[1:-1]}"><w:body>'), F.array_join(F.transform("p", lambda x: x["p"]), ""), F.lit("</w:body></w:document>"))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame.path, "content": [zipped(d) for d in frame.document]})
+
+    return docs.select(F.col("document_id").cast("string").alias("path"), body.alias("document")).mapInPandas(pack, "path string, content binary")
+
+
 def write_terms(terms: DataFrame, path: str) -> None:
     """A two-column terminology table, with a header, as CSV."""
     terms.select("term", "translation").write.mode("overwrite").option("header", "true").csv(path)

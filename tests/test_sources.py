@@ -64,3 +64,13 @@ def test_text_and_events(spark):
     x = writers.new_xliff(spark.createDataFrame([("d", 1, "a<b", "c")], "document_id string, pos int, source_text string, target_text string"), "en", "fr").first().xml
     assert '<trans-unit id="seg_1"><source>a&lt;b</source>' in x
     assert exchange.parsed(held(spark, x.encode()), exchange.xliff_segments, exchange.XLIFF).first().text == "a<b"
+
+
+def test_new_docx(spark):
+    rows = [("d", 2, "نص", "Quote", "left"), ("d", 1, "a < b", None, None), ("d", 3, None, "Normal", "right")]
+    made = writers.new_docx(spark.createDataFrame(rows, "document_id string, pos int, text string, style string, alignment string"))
+    p = exchange.parsed(made, exchange.docx_paragraphs, exchange.DOCX)
+    assert [(r.text, r.style) for r in p.orderBy("element").collect()] == [("a < b", None), ("نص", "Quote"), ("", "Normal")]
+    with zipfile.ZipFile(io.BytesIO(bytes(made.first().content))) as z:
+        xml = z.read("word/document.xml").decode()
+    assert '<w:pStyle w:val="Quote"/><w:bidi/><w:jc w:val="right"/>' in xml and xml.count("<w:rtl/>") == 1
