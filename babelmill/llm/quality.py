@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from babelmill.llm.common import SPACE_WORD, stored, table, whole_row
 
-SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 5
+WINDOW = 5
+#: Characters counted in words, by the name of their count.
+KINDS = {"n_symbols": "#*$%&|<>", "_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "_digit": "0123456789", "_mark": "!?.,;:"}
 #: Cut points a feature, conditions a rule, rules, and what a rule must reach on the pruning rows.
 CUTS, CONDITIONS, RULES, PRECISION, LEAST_FOUND = 24, 4, 16, 0.95, 3
 #: Labelled rows, about, that `learned` fits rules on: a sample by a hash of doc_id where there are more.
@@ -41,7 +43,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in windows of WINDOW words that occur twice or more in `words`."""
     none = F.lit(0).cast("long")
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
 
     def covered(at: Column) -> Column:
         start = F.struct(none.alias("n"), F.lit(0).alias("end"))
@@ -72,23 +74,25 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     from_words = let(
         F.regexp_extract_all(t, F.lit(SPACE_WORD), F.lit(0)),
         lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), repeated_words(w).alias("n_repeat_words")
+            F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), repeated_words(w).alias("n_repeat_words"),
+            F.array_join(w, "").alias("chars"),
         ),
-    )
+    )
     from_lines = let(
-        F.filter(F.split(t, "\n", -1), lambda x: F.length(without(x, SPACES)) > 0),
+        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(SPACE_WORD)),
         lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines")),
     )
-    length = F.length(t)
-    upper, digit, mark = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?.,;:"
-    d = d.select(
-        *keep, from_words.alias("_w"), from_lines.alias("_l"), F.length(without(t, SPACES)).cast("long").alias("word_chars"),
-        (length - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"), (length - F.length(without(t, upper))).alias("_upper"),
-        (length - F.length(without(t, digit))).alias("_digit"), (length - F.length(without(t, mark))).alias("_mark"),
-    )
-    return d.select(
-        *keep, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_w.n_distinct", "_l.n_lines", "_upper", "_digit", "_mark"
+    # Counted characters are no small letters: these go first, so that the passes for each kind read little.
+    counted = let(
+        without(F.col("_w.chars"), "abcdefghijklmnopqrstuvwxyz"),
+        lambda x: F.struct(*[(F.length(x) - F.length(without(x, kind))).alias(name) for name, kind in KINDS.items()]),
     )
+    d = d.select(*keep, from_words.alias("_w"), from_lines.alias("_l"))
+    d = d.select(*keep, "_w", "_l", counted.alias("_c"))
+    return d.select(
+        *keep, "_w.n_words", F.length("_w.chars").cast("long").alias("word_chars"), F.col("_c.n_symbols").cast("long").alias("n_symbols"),
+        "_l.n_dup_lines", "_w.n_repeat_words", "_w.n_distinct", "_l.n_lines", "_c._upper", "_c._digit", "_c._mark",
+    )
 
 
 def with_features(stats: DataFrame) -> DataFrame:
@@ -241,9 +245,14 @@ def learned(docs: DataFrame, labels: DataFrame, seed: int = 6) -> list[Rule]:
 
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of docs, columns as they are, that no rule rejects: statistics and rules in one pass, without a shuffle."""
+    """The rows of docs, columns as they are, that no rule rejects: statistics and rules in one pass, without a shuffle.
+
+    The statistics come out of a generator, below which the filter is not moved: moved into the projections, it would
+    measure a text once for each condition.
+    """
     row = docs.select(whole_row(docs).alias("_row"), "text")
-    stats = with_features(text_statistics(row, ["_row"]))
+    measured = text_statistics(row, ["_row"])
+    stats = with_features(measured.select(F.inline(F.array(F.struct(*measured.columns)))))
     return stats.where(~F.col("base_failed") & decision_list(rules).isNull()).select("_row.*")
 
 
