@@ -79,11 +79,10 @@ def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.min("ts").alias("first_ok"), F.min_by("event_type", "ts").alias("provider"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_id % 7 <> 0")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE props IS NOT NULL")
 def event_stream_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Server-sent lines: malformed payloads are left out."""
-    broken = F.col("event_id") % 7 == 0
-    body = F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "p": '), F.col("props"), F.when(broken, "").otherwise("}"))
+    """The payloads of server-sent lines, one a row of events."""
+    body = F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "p": '), F.col("props"), F.lit("}"))
     lines = read(spark, sf_dir, "events").select(F.concat(F.lit("data: "), body).alias("value"))
     p = sse_events(lines)
     return p.select(F.variant_get("payload", "$.id", "bigint").alias("event_id"), F.variant_get("payload", "$.p.k", "int").alias("k"))
@@ -193,14 +192,14 @@ def run_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, coalesce(nullif(title, ''), url) AS title, url, array_to_string([left(html, 10), right(html, 10)], ' ') AS text FROM (
-  SELECT *, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Page ' || page_id END AS title FROM pages) WHERE url IS NOT NULL AND page_id % 5 <> 0
+SELECT page_id, coalesce(nullif(title, ''), url) AS title, url, replace(html, chr(10), ' ') AS text FROM (
+  SELECT *, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Page ' || page_id END AS title FROM pages) WHERE url IS NOT NULL
 """)
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results normalised: rows without a URL dropped, titles default to it, text lists joined."""
-    p = read(spark, sf_dir, "pages").withColumn("url", F.when(F.col("page_id") % 5 != 0, F.col("url")))
+    p = read(spark, sf_dir, "pages")
     title = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("Page "), F.col("page_id")))
-    parts = F.array(F.left("html", F.lit(10)), F.right("html", F.lit(10)))
+    parts = F.split("html", "\n", -1)
     return p.where("url is not null").select("page_id", F.coalesce(F.nullif(title, F.lit("")), F.col("url")).alias("title"), "url", F.array_join(parts, " ").alias("text"))
 
 
