@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from babelmill.functions import segmentation as seg
 from babelmill.functions import style_guide
 from babelmill.functions import text as tx
-from babelmill.operators import keyed
-from babelmill.operators.lineage import stored
+from babelmill.operators import keyed, styles
 from babelmill.plans.queries import query, read
 from babelmill.sources.exchange import sse_events
 from babelmill.sources.writers import new_xliff
@@ -166,20 +165,11 @@ f AS (SELECT style.id, max(walk.alignment) AS alignment FROM style LEFT JOIN wal
 SELECT id, alignment, CASE WHEN alignment IS NULL OR alignment = 'left' THEN 'right' WHEN alignment = 'right' THEN 'left' ELSE alignment END AS mirrored FROM f
 """)
 def effective_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A style's own alignment, else the nearest parent's, and its mirror image. The chain is a few levels deep."""
+    """A style's own alignment, else the nearest parent's, and its mirror image; the style 0 is nobody's parent."""
     p = read(spark, sf_dir, "part")
     own = F.when(F.col("p_size") % 4 == 0, F.when(F.col("p_size") % 8 == 0, "left").otherwise("right"))
-    style = p.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 3).alias("parent"), own.alias("alignment"))
-    s = style.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("alignment").alias("_alignment"))
-    w = style
-    while w.where("alignment is null and parent >= 0 and parent is not null").head(1):
-        step = F.col("alignment").isNull() & (F.col("parent") == F.col("_id")) & (F.col("parent") != F.col("_parent"))
-        j = w.join(s, step, "left")
-        up = F.when(F.col("alignment").isNull(), F.col("_parent"))
-        w = j.select("id", up.alias("parent"), F.coalesce("alignment", "_alignment").alias("alignment"))
-        w = stored(w, "alignment")
-    mirrored = F.when(F.col("alignment").isNull() | (F.col("alignment") == "left"), "right").when(F.col("alignment") == "right", "left").otherwise(F.col("alignment"))
-    return w.select("id", "alignment", mirrored.alias("mirrored"))
+    style = p.select(F.col("p_partkey").alias("id"), F.nullif(F.floor(F.col("p_partkey") / 3), F.lit(0)).alias("parent"), own.alias("alignment"))
+    return styles.inherited(style).select("id", "alignment", styles.mirrored(F.col("alignment")).alias("mirrored"))
 
 
 @query("""

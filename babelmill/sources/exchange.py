@@ -109,6 +109,15 @@ def glossary_of(terms: DataFrame, source: str, target: str) -> DataFrame:
     return c.groupBy("path", "source_term").agg(F.min_by("target_term", "concept_pos").alias("target_term"), F.min("concept_pos").alias("position"))
 
 
+def two_languages(terms: DataFrame) -> DataFrame:
+    """As glossary_of, without asking for languages: concepts in exactly two, the first that appears being the source."""
+    held = terms.where("error is null and lang <> ''")
+    first = held.groupBy("path", "concept_pos", "lang").agg(F.min(F.struct("section_pos", "term_pos", "term")).alias("t"))
+    c = first.groupBy("path", "concept_pos").agg(F.count("*").alias("n"), F.min("t").alias("s"), F.max("t").alias("e")).where("n = 2")
+    c = c.select("path", "concept_pos", F.col("s.term").alias("source_term"), F.col("e.term").alias("target_term"))
+    return c.groupBy("path", "source_term").agg(F.min_by("target_term", "concept_pos").alias("target_term"), F.min("concept_pos").alias("position"))
+
+
 def xliff_segments(content: bytes) -> list[tuple]:
     """pos, unit_id, id, text, locked: a row a segment (mrk), or a unit without such; the schema is XLIFF."""
     out: list[tuple] = []
