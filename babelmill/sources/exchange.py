@@ -136,15 +136,17 @@ def xliff_segments(content: bytes) -> list[tuple]:
 XLIFF = "pos int, unit_id string, id string, text string, locked boolean"
 
 
+def docx_parts(names: list[str]) -> list[tuple[str, str]]:
+    """part, file of the parts of a DOCX that hold text: the first header, the body, the first footer."""
+    first = lambda kind: next(((kind, n) for n in sorted(names) if re.fullmatch(rf"word/{kind}\d*\.xml", n)), None)
+    return [p for p in (first("header"), ("body", "word/document.xml"), first("footer")) if p]
+
+
 def docx_paragraphs(content: bytes) -> list[tuple]:
     """part, element, row, col, text, style of the paragraphs and cells of header, body and footer; the schema is DOCX."""
     out: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        parts = [("header", next((n for n in sorted(names) if re.fullmatch(r"word/header\d*\.xml", n)), None)), ("body", "word/document.xml"), ("footer", next((n for n in sorted(names) if re.fullmatch(r"word/footer\d*\.xml", n)), None))]
-        for part, name in parts:
-            if name is None:
-                continue
+        for part, name in docx_parts(z.namelist()):
             root = ET.fromstring(z.read(name))
             top = root.find(f"{WORD}body") if part == "body" else root
             for element, node in enumerate(e for e in top if e.tag in (f"{WORD}p", f"{WORD}tbl")):

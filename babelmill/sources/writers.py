@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from babelmill.functions.text import escape_xml, is_arabic
 from babelmill.operators.keyed import concatenated, last_wins
-from babelmill.sources.exchange import WORD, name_of, paragraph_text
+from babelmill.sources.exchange import WORD, docx_parts, name_of, paragraph_text
 
 
 START_TAG = re.compile(rb"<[^?!][^>]*>", re.DOTALL)
@@ -68,21 +68,25 @@ def filled_xliff(content: bytes, translations: dict[str, str]) -> tuple[bytes, l
 
 
 def filled_docx(content: bytes, translations: dict[str, str]) -> tuple[bytes, list[str]]:
-    """The file with the text of body paragraphs and cells replaced by element id (`3`, `5_0_1`); the first run keeps its format."""
+    """The file with the text of paragraphs and cells replaced by element id (`3`, `5_0_1`; in other parts than the body
+    `header/3`, `footer/0`); the first run keeps its format."""
     used: set[str] = set()
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+        parts = {name: part for part, name in docx_parts(z.namelist())}
         for info in z.infolist():
             data = z.read(info.filename)
-            if info.filename == "word/document.xml":
+            if info.filename in parts:
+                body = parts[info.filename] == "body"
+                at = "" if body else f"{parts[info.filename]}/"
                 for _, (prefix, uri) in ET.iterparse(io.BytesIO(data), events=["start-ns"]):
                     ET.register_namespace(prefix, uri)
                 root = ET.fromstring(data)
-                for element, node in enumerate(e for e in root.find(f"{WORD}body") if e.tag in (f"{WORD}p", f"{WORD}tbl")):
+                for element, node in enumerate(e for e in (root.find(f"{WORD}body") if body else root) if e.tag in (f"{WORD}p", f"{WORD}tbl")):
                     if node.tag == f"{WORD}p":
-                        cells = [(str(element), [node])]
+                        cells = [(f"{at}{element}", [node])]
                     else:
-                        cells = [(f"{element}_{r}_{c}", cell.findall(f"{WORD}p")) for r, row in enumerate(node.findall(f"{WORD}tr")) for c, cell in enumerate(row.findall(f"{WORD}tc"))]
+                        cells = [(f"{at}{element}_{r}_{c}", cell.findall(f"{WORD}p")) for r, row in enumerate(node.findall(f"{WORD}tr")) for c, cell in enumerate(row.findall(f"{WORD}tc"))]
                     for key, paragraphs in cells:
                         if key in translations and any(map(paragraph_text, paragraphs)):
                             used.add(key)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from babelmill.operators.dialogue import served
 from babelmill.operators.jobs import TERMINAL
 
 LOG = "job_id long, event_id long, ts timestamp, type string, seq long"
@@ -60,3 +63,68 @@ def progress(events: DataFrame, window: str = "1 hour", late: str = "1 hour") ->
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything there is, once, exactly once across restarts from the checkpoint."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+READS = "key string, at long, payload string"
+
+
+def stored_reads(ops: DataFrame, ttl_seconds: int = 900, late: str = "10 minutes") -> DataFrame:
+    """READS of the reads in ops(key, ts, payload): a row with a payload stores it, one without reads what is stored.
+
+    A payload older than ttl_seconds is gone (null); its state goes when the watermark passes that age.
+    """
+    ttl = ttl_seconds * 1000
+
+    def read(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = pd.concat(list(frames)).sort_values("at", kind="stable")
+        payload, created = state.get if state.exists else (None, 0)
+        out = []
+        for at, given in zip(held["at"], held["payload"], strict=True):
+            if pd.notna(given):
+                payload, created = given, int(at)
+            else:
+                out.append((key[0], int(at), payload if payload is not None and at - created <= ttl else None))
+        if payload is not None and created + ttl > state.getCurrentWatermarkMs():
+            state.update((payload, created))
+            state.setTimeoutTimestamp(created + ttl + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["key", "at", "payload"])
+
+    held = ops.withWatermark("ts", late).select("key", "ts", F.unix_millis("ts").alias("at"), "payload")
+    return held.groupBy("key").applyInPandasWithState(read, READS, "payload string, created long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def serve(log: DataFrame, jobs_path: str, out: str, checkpoint: str, every: str = "500 milliseconds", once: bool = False) -> StreamingQuery:
+    """Lines for viewers (see dialogue.served) of a streaming log(job_id, seq, payload), polled for `every` so often.
+
+    jobs(job_id, status, error) is read anew for each batch, so a job cancelled in between sends nothing more. A batch
+    done again after a failure replaces its own folder of `out`.
+    """
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        jobs = batch.sparkSession.read.parquet(jobs_path).where("status is distinct from 'cancelled'")
+        served(batch, jobs).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    w = log.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
+
+def until_ended(start: Callable[[], StreamingQuery], ended: Callable[[], bool], most: int = 5, first: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Start a stream again from its checkpoint until ended() holds; the number of restarts, `most` at most.
+
+    The nth restart waits first * 2**(n - 1) seconds. A stream that stops cleanly before the end is started again too.
+    """
+    for n in range(most + 1):
+        if n:
+            sleep(first * 2 ** (n - 1))
+        try:
+            start().awaitTermination()
+        except StreamingQueryException:
+            pass
+        if ended():
+            return n
+    raise RuntimeError(f"the stream did not end after {most} restarts")

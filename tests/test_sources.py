@@ -74,3 +74,16 @@ def test_new_docx(spark):
     with zipfile.ZipFile(io.BytesIO(bytes(made.first().content))) as z:
         xml = z.read("word/document.xml").decode()
     assert '<w:pStyle w:val="Quote"/><w:bidi/><w:jc w:val="right"/>' in xml and xml.count("<w:rtl/>") == 1
+
+
+def test_docx_header_and_footer(spark):
+    w = exchange.WORD[1:-1]
+    said = lambda tag, text: f'<w:{tag} xmlns:w="{w}"><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:{tag}>'
+    out = io.BytesIO(docx())
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("word/header2.xml", said("hdr", "second")), z.writestr("word/header1.xml", said("hdr", "top")), z.writestr("word/footer1.xml", said("ftr", "end"))
+    t = spark.createDataFrame([("f0", "header/0", 0, "oben"), ("f0", "0", 1, "Un."), ("f0", "footer/9", 2, "x")], "path string, id string, pos int, text string")
+    filled = writers.fill_docx(held(spark, out.getvalue()), t)
+    assert filled.first().unmatched == ["footer/9"]
+    p = exchange.parsed(filled.select("path", "content"), exchange.docx_paragraphs, exchange.DOCX)
+    assert sorted((r.part, r.text) for r in p.collect()) == [("body", "Un."), ("body", "cell"), ("footer", "end"), ("header", "oben")]
