@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, decontamination, licenses, lm_scoring, mixing, near_dedup, quality, secrets, sharding, warc
+from babelmill.llm import chat, decontamination, fim, importance, licenses, lm_scoring, mixing, near_dedup, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op1_proximity": decontamination.op1_proximity,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -54,6 +56,8 @@ SELECT page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 """,
     "op8_license_scan": licenses.oracle(),
+    "op11_importance_resampling": importance.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
     "op9_near_dedup": r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

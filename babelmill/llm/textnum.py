@@ -13,6 +13,8 @@ import pyarrow as pa
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes as they are.
+SAME = np.arange(256, dtype=np.uint8)
 #: [^\x20\x09-\x0D]: what stands between ASCII white space.
 SPACED = np.ones(256, bool)
 SPACED[[9, 10, 11, 12, 13, 32]] = False
@@ -31,8 +33,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, offsets (one more than rows) and lower-cased bytes of runs of whole texts, each of about size bytes."""
+def chunks(texts: pa.Array, size: int = 1 << 20, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, offsets (one more than rows) and folded bytes (lower-cased ones) of runs of whole texts, each of about size bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -43,7 +45,7 @@ def chunks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarr
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(off, off[first] + size, "right")) - 1)
         last = min(last, len(texts))
-        yield first, off[first : last + 1] - off[first], LOWER[raw[off[first] : off[last]]]
+        yield first, off[first : last + 1] - off[first], fold[raw[off[first] : off[last]]]
         first = last
 
 
