@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from babelmill.llm import chat, decontamination, fim, importance, licenses, lm_scoring, mixing, near_dedup, quality, secrets, sharding, warc
+from babelmill.llm import chat, decontamination, fim, importance, licenses, lm_scoring, mixing, near_dedup, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_proximity": decontamination.op1_proximity,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_substring_dedup": substrings.op13_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -58,6 +59,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
     "op8_license_scan": licenses.oracle(),
     "op11_importance_resampling": importance.ORACLE,
     "op12_fill_in_middle": fim.ORACLE,
+    "op13_substring_dedup": substrings.ORACLE,
     "op9_near_dedup": r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
