@@ -1,72 +1,284 @@
-"""Translation-memory search: for each query segment the k most similar memory entries.
+"""Translation-memory search: for each query segment the k most similar memory entries, as a metric join.
 
-Queries are a stated set, taken in blocks of bounded size; each block goes to all partitions of the memory, which keep
-the k best entries a query (with the lossless length bound first); a window over those few rows gives the answer. The
-memory is scanned once a block and never shuffled.
+The score is 200 * LCS / (n + m); the indel distance behind it, n + m - 2 * LCS, is a metric. Entries of one key (the text,
+or its sorted tokens) are one key with its k first entries. Keys are dealt by their nearest pivot and a band of lengths into
+cells, and cells are cut into blocks of bounded size; a cell knows the ranges of its lengths and of its distances to all
+pivots. What bounds the distance of a query and a key from below, and so their score from above:
+
+* the triangle inequality over each pivot, |d(q, p) - d(e, p)|, for whole cells and then for single keys;
+* the difference of the bags of characters, and of the lengths.
+
+Queries first meet the blocks of their best cell, which gives a score to beat; then those of every cell that can reach
+it. Only pairs that pass all bounds are compared, many at once (functions/lcs.py). The join's keys are (cell, group of
+blocks), so a large cell is dealt to many tasks; nothing that grows is collected or broadcast: pivots and cells are
+bounded by PIVOTS and the number of length bands.
+
+Defined cases: a null or blank query matches nothing, a null memory text neither; equal scores by position; rows repeated
+in the memory are entries of their own; queries of one id are searched one by one and ranked together.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from babelmill.functions.similarity import ratio_of
+from babelmill.functions.lcs import Texts, lcs_lengths
+from babelmill.operators.lineage import stored
 
-BLOCK_BYTES = 4 << 20
-MATCH = "query_id string, position long, source_text string, target_text string, score double"
+#: Pivots, the most characters of one, classes of characters in a bag.
+PIVOTS, PIVOT_CHARS, CLASSES = 8, 256, 64
+#: Keys in a block, blocks in a group, queries that meet a block together, factor between bands of lengths.
+BLOCK, GROUP, TOGETHER, BAND = 1024, 32, 256, 1.25
 
 
 def _sorted_tokens(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
-def _blocks(queries: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    held, size = [], 0
-    for row in queries.select(F.col("query_id").cast("string").alias("i"), "text").toLocalIterator():
-        if row["text"] and row["text"].strip():  # a blank query matches nothing
-            held.append((row["i"], row["text"]))
-            size += len(row["text"])
-            if size >= BLOCK_BYTES:
-                yield held
-                held, size = [], 0
-    yield held
+def keyed(memory: DataFrame, mode: str, k: int) -> DataFrame:
+    """key_id, key, first, held: each distinct key of memory(position, source_text, target_text) with its k first entries."""
+    make = _sorted_tokens if mode == "token" else str
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([make(t) for t in batch.column("source_text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "key"])
+
+    rows = memory.select(F.col("position").cast("long").alias("position"), F.col("source_text").cast("string").alias("source_text"), F.col("target_text").cast("string").alias("target_text"))
+    rows = rows.where("source_text is not null").mapInArrow(keys, "position long, source_text string, target_text string, key string")
+    # Cut to k in each task before the shuffle, so a text that is repeated very often is no hot key.
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("position"))).where(F.col("_n") <= k)
+    found = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("position", "source_text", "target_text"))).alias("held"))
+    return stored(found.select("key", F.col("held")[0]["position"].alias("first"), "held", F.monotonically_increasing_id().alias("key_id")), "memory-keys")
+
+
+def pivots_of(keys: DataFrame) -> list[str]:
+    """A few keys, the same at every run: the least hashes. Their number and lengths are bounded."""
+    short = keys.where(F.length("key").between(1, PIVOT_CHARS))
+    return [r["key"] for r in short.orderBy(F.xxhash64("key"), "key").select("key").limit(PIVOTS).collect()]
+
+
+def distances(texts: Texts, pivots: Texts) -> np.ndarray:
+    """Indel distances, one row a text and one column a pivot."""
+    n, p = len(texts), len(pivots)
+    of, to = np.divmod(np.arange(n * p), max(p, 1))
+    return (texts.lengths[of] + pivots.lengths[to] - 2 * lcs_lengths(pivots, texts, to, of)).reshape(n, p)
+
+
+def band(lengths: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(lengths, 1)) / math.log(BAND)).astype(np.int64)
+
+
+def nearest(texts: Texts, pivots: Texts, far: np.ndarray) -> np.ndarray:
+    if not len(pivots):
+        return np.zeros(len(texts), np.int64)
+    return np.argmin(far / np.maximum(texts.lengths[:, None] + pivots.lengths[None, :], 1), axis=1)
+
+
+def described(rows: DataFrame, pivots: list[str], ids: str) -> DataFrame:
+    """rows with n, cell and the distances to the pivots of their key; ids: the schema of the columns that are kept."""
+    names = [x.split()[0] for x in ids.split(", ")]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Texts(pivots)
+        for batch in batches:
+            texts = Texts(batch.column("key").to_pylist())
+            far = distances(texts, held)
+            cell = nearest(texts, held, far) * 1000 + band(texts.lengths)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * far.shape[1]), pa.array(far.reshape(-1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts.lengths), pa.array(cell), lists], [*names, "n", "cell", "far"])
+
+    return rows.select(names).mapInArrow(describe, f"{ids}, n long, cell long, far array<int>")
+
+
+BLOCKS = "cell long, block long, ids array<long>, firsts array<long>, keys array<string>, far array<int>"
+
+
+def blocks_of(keys: DataFrame, pivots: list[str]) -> DataFrame:
+    """BLOCKS: keys of one cell, at most BLOCK of them, near ones together."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            at = 0
+            while at < len(cell):
+                stop = min(at + int(np.searchsorted(cell[at:], cell[at], "right")), at + BLOCK)
+                part = batch.slice(at, stop - at)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                number = int(part.column("key_id")[0].as_py())  # a key is in one block, so its id names the block
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(cell[at])]), pa.array([number]), one(part.column("key_id")), one(part.column("first")), one(part.column("key")), one(part.column("far").flatten())],
+                    [x.split()[0] for x in BLOCKS.split(", ")],
+                )
+                at = stop
+
+    found = stored(described(keys, pivots, "key_id long, first long, key string"), "memory-described")
+    # Dealt by ranges, so that a cell with very many keys is cut among tasks.
+    order = ["cell", "n", *([F.col("far")[0]] if pivots else []), "key_id"]
+    return found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, BLOCKS)
+
+
+def cells_of(blocks: DataFrame, n_pivots: int) -> DataFrame:
+    """cell, n_blocks, ranges of the lengths and of the distances: a bounded number of rows."""
+
+    def column_of(p: int) -> Column:
+        return F.filter("far", lambda x, i: i % n_pivots == p).alias(f"f{p}")
+
+    lengths = F.transform("keys", lambda x: F.length(x))
+    each = blocks.select("cell", F.array_min(lengths).alias("low"), F.array_max(lengths).alias("high"), *[column_of(p) for p in range(n_pivots)])
+    ends = [y for p in range(n_pivots) for y in (F.min(F.array_min(f"f{p}")).alias(f"near{p}"), F.max(F.array_max(f"f{p}")).alias(f"far{p}"))]
+    return each.groupBy("cell").agg(F.count("*").alias("n_blocks"), F.min("low").alias("low"), F.max("high").alias("high"), *ends)
+
+
+ASKED = "asked long, query_id string, key string, far array<int>, cell long, most double"
+
+
+def reachable(asked: DataFrame, cells: list[dict], n_pivots: int, min_score: float) -> DataFrame:
+    """ASKED: each query with every cell that can hold a key of min_score or more, and the most that it can reach there."""
+    number, low, high = (np.array([c[x] for c in cells], np.int64) for x in ("cell", "low", "high"))
+    near = np.array([[c[f"near{p}"] for p in range(n_pivots)] for c in cells], np.int64).reshape(len(cells), n_pivots)
+    far = np.array([[c[f"far{p}"] for p in range(n_pivots)] for c in cells], np.int64).reshape(len(cells), n_pivots)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n = len(batch.column("key")[i].as_py())
+                mine = np.array(batch.column("far")[i].as_py(), np.int64)
+                least = np.maximum(np.maximum(mine - far, near - mine), 0).max(axis=1, initial=0)
+                close = np.clip(n, low, high)
+                least_sum = n + high
+                most = np.minimum(100.0 * (least_sum - least) / np.maximum(least_sum, 1), 200.0 * np.minimum(n, close) / np.maximum(n + close, 1))
+                some = np.flatnonzero(most + 1e-6 >= min_score)
+                again = pa.array(np.full(len(some), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(again) for c in ("asked", "query_id", "key", "far")], pa.array(number[some]), pa.array(most[some])], [x.split()[0] for x in ASKED.split(", ")])
+
+    return asked.select("asked", "query_id", "key", "far").mapInArrow(reach, ASKED)
+
+
+MET = "asked long, query_id string, key_id long, first long, score double, compared long"
+
+
+def _meet(k: int, n_pivots: int, counted: bool):
+    """MET: of each block's keys the k best of each query that reach its least score; rows without a key tell how many
+    were compared, if they are counted."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in MET.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                of = lambda c: batch.column(c)[row].values  # noqa: B023, E731
+                texts, queries = Texts(of("keys").to_pylist()), of("queries")
+                asked, query_ids, least = (queries.field(f).to_pylist() for f in ("asked", "query_id", "least"))
+                mine = Texts(queries.field("key").to_pylist())
+                sums = mine.lengths[:, None] + texts.lengths[None, :]
+                gap = np.abs(mine.lengths[:, None] - texts.lengths[None, :])
+                if n_pivots:
+                    theirs = of("far").to_numpy().reshape(-1, n_pivots).astype(np.int64)
+                    for p, far in enumerate(np.array(queries.field("far").to_pylist(), np.int64).reshape(-1, n_pivots).T):
+                        np.maximum(gap, np.abs(far[:, None] - theirs[None, :, p]), out=gap)
+                score = lambda lcs, n: np.where(n > 0, 200.0 * lcs / np.maximum(n, 1), 100.0)
+                need = np.array(least)
+                q, e = np.nonzero(score((sums - gap) // 2, sums) >= need[:, None])
+                bags, wanted = texts.bags(CLASSES), mine.bags(CLASSES)
+                for at in range(0, len(q), 1 << 16):  # characters in common bound the subsequence
+                    some = slice(at, at + (1 << 16))
+                    common = np.minimum(wanted[q[some]], bags[e[some]]).sum(axis=1)
+                    fits = score(common, sums[q[some], e[some]]) >= need[q[some]]
+                    q[some], e[some] = np.where(fits, q[some], -1), e[some]
+                q, e = q[q >= 0], e[q >= 0]
+                got = score(lcs_lengths(mine, texts, q, e), sums[q, e])
+                enough = got >= need[q]
+                firsts, ids = of("firsts").to_numpy(), of("ids").to_numpy()
+                qs, es, got = q[enough], e[enough], got[enough]
+                order = np.lexsort((firsts[es], -got, qs))
+                qs, es, got = qs[order], es[order], got[order]
+                place = np.arange(len(qs)) - np.searchsorted(qs, qs, "left")
+                qs, es, got = qs[place < k], es[place < k], got[place < k]
+                out = [(asked[i], query_ids[i], int(ids[j]), int(firsts[j]), float(s), None) for i, j, s in zip(qs.tolist(), es.tolist(), got.tolist(), strict=True)]
+                if counted:
+                    out += [(asked[i], query_ids[i], None, None, None, int(n)) for i, n in enumerate(np.bincount(q, minlength=len(asked)))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return meet
+
+
+def met(asked: DataFrame, blocks: DataFrame, cells: DataFrame, k: int, n_pivots: int, counted: bool) -> DataFrame:
+    """MET of the queries in asked(ASKED, least) and the blocks of their cells."""
+    groups = F.greatest(F.lit(1), F.ceil(F.col("n_blocks") / GROUP)).cast("long").alias("groups")
+    n_queries = asked.groupBy("cell").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("parts"))
+    sizes = cells.select("cell", groups).join(n_queries, "cell")  # a bounded number of rows
+    together = asked.join(F.broadcast(sizes), "cell").groupBy("cell", "groups", F.pmod(F.xxhash64("asked"), F.col("parts")).alias("_part")).agg(
+        F.collect_list(F.struct("asked", "query_id", "key", "far", "least")).alias("queries")
+    )
+    together = together.select("cell", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    dealt = blocks.join(F.broadcast(cells.select("cell", groups)), "cell").withColumn("group", F.pmod(F.xxhash64("block"), F.col("groups")))
+    pairs = dealt.join(together, ["cell", "group"]).select("ids", "firsts", "keys", blocks["far"], "queries")
+    return pairs.mapInArrow(_meet(k, n_pivots, counted), MET)
 
 
 def search_memory(queries: DataFrame, memory: DataFrame, mode: str = "token", k: int = 5, min_score: float = 60.0) -> DataFrame:
-    """queries(query_id, text) x memory(position, source_text, target_text) -> MATCH and rank; ties by position.
+    """queries(query_id, text) x memory(position, source_text, target_text) -> query_id, position, source_text, target_text,
+    score and rank; ties by position.
 
-    mode "char" compares texts as they are, "token" their sorted tokens. A null memory text matches nothing.
+    mode "char" compares texts as they are, "token" their sorted tokens.
     """
+    return _search(queries, memory, mode, k, min_score, False)[0]
+
+
+def comparisons(queries: DataFrame, memory: DataFrame, mode: str = "token", k: int = 5, min_score: float = 60.0) -> DataFrame:
+    """query_id, compared: how many distinct keys of the memory each query was compared with beyond the bounds."""
+    return _search(queries, memory, mode, k, min_score, True)[1]
+
+
+def _search(queries: DataFrame, memory: DataFrame, mode: str, k: int, min_score: float, counted: bool) -> tuple[DataFrame, DataFrame]:
     if mode not in ("token", "char") or not 1 <= k <= 20:
         raise ValueError("mode is token or char, k from 1 to 20")
-    key = _sorted_tokens if mode == "token" else str
-
-    def best(block: list[tuple[str, str]]) -> DataFrame:
-        held = memory.sparkSession.sparkContext.broadcast([(i, key(t)) for i, t in block])
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found: list[list] = [[] for _ in held.value]
-            for frame in frames:
-                rows = [(int(p), s, t, key(s)) for p, s, t in zip(frame.position, frame.source_text, frame.target_text, strict=True) if s is not None]
-                for heap, (_, q) in zip(found, held.value, strict=True):
-                    for position, source, target, text in rows:
-                        n, m = len(q), len(text)
-                        if 200 * min(n, m) < max(min_score, heap[0][0] if len(heap) == k else 0) * (n + m):
-                            continue
-                        item = (ratio_of(q, text), -position, source, target)
-                        if item[0] >= min_score:
-                            (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, item)
-            out = [(i, -p, s, t, score) for heap, (i, _) in zip(found, held.value, strict=True) for score, p, s, t in heap]
-            yield pd.DataFrame(out, columns=["query_id", "position", "source_text", "target_text", "score"])
-
-        return memory.select("position", "source_text", "target_text").mapInPandas(scan, MATCH)
-
-    parts = reduce(DataFrame.unionByName, [best(b) for b in _blocks(queries)])
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "position"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+    make = _sorted_tokens if mode == "token" else str
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            kept = pa.array([i for i, t in enumerate(texts) if t and t.strip()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(kept), pa.array([make(texts[i]) for i in kept.to_pylist()], pa.string())], ["query_id", "key"])
+
+    keys = keyed(memory, mode, k)
+    pivots = pivots_of(keys)
+    blocks = stored(blocks_of(keys, pivots), "memory-blocks")
+    cells = stored(cells_of(blocks, len(pivots)), "memory-cells")
+    held = [r.asDict() for r in cells.collect()]  # bounded: pivots times bands
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("text").cast("string").alias("text")).mapInArrow(keys_of, "query_id string, key string")
+    asked = stored(asked.withColumn("asked", F.monotonically_increasing_id()), "memory-asked")
+    asked = described(asked, pivots, "asked long, query_id string, key string").drop("cell", "n")
+    asked = stored(reachable(asked, held, len(pivots), min_score), "memory-reach")
+    best = asked.groupBy("asked").agg(F.max(F.struct("most", "cell")).alias("b")).select("asked", F.col("b.cell").alias("best"))
+    asked = stored(asked.join(best, "asked"), "memory-reach")
+    first = stored(met(asked.where("cell = best").withColumn("least", F.lit(float(min_score))), blocks, cells, k, len(pivots), counted), "memory-first")
+    entries = keys.select("key_id", "held")
+
+    def ranked(found: DataFrame, by: str) -> DataFrame:
+        n = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "first"))
+        found = found.where("key_id is not null").withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
+        found = found.join(entries, "key_id").select("asked", "query_id", "score", F.explode("held").alias("e")).select("asked", "query_id", "score", "e.*")
+        return found.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
+
+    beat = ranked(first, "asked").where(F.col("rank") == k).select("asked", F.col("score").alias("beat"))
+    rest = asked.where("cell <> best").join(beat, "asked", "left").withColumn("least", F.coalesce("beat", F.lit(float(min_score)))).where(F.col("most") + 1e-6 >= F.col("least"))
+    second = stored(met(rest, blocks, cells, k, len(pivots), counted), "memory-second")
+    both = first.unionByName(second)
+    out = ranked(both, "query_id").select("query_id", "position", "source_text", "target_text", F.round("score", 6).alias("score"), "rank")
+    return out, both.where("compared is not null").groupBy("query_id").agg(F.sum("compared").alias("compared"))
+
+
+def hits(queries: DataFrame, memory: DataFrame, mode: str = "token", k: int = 5, min_score: float = 60.0) -> DataFrame:
+    """query_id, hits, best: of every query, also those without any, how many entries it is shown and the best score."""
+    found = search_memory(queries, memory, mode, k, min_score).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    every = queries.select(F.col("query_id").cast("string").alias("query_id")).distinct()
+    return every.join(found, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "best")

@@ -10,7 +10,7 @@ from babelmill.functions import segmentation as seg
 from babelmill.functions import style_guide
 from babelmill.functions import text as tx
 from babelmill.operators import keyed, styles
-from babelmill.plans.queries import query, read
+from babelmill.plans.queries import _sentence_sql, query, read
 from babelmill.sources.exchange import sse_events
 from babelmill.sources.writers import new_xliff
 
@@ -131,10 +131,12 @@ def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", tx.first_mark(agent, tx.BROWSERS).alias("browser"), tx.first_mark(agent, tx.SYSTEMS).alias("system"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS recoverable FROM events")
+@query("SELECT event_id, event_id % 4 = 0 AS recoverable FROM events")
 def recoverable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.array(*map(F.lit, ["TypeError: Failed to fetch", "Syntax error", None]))[(F.col("event_id") % 3).cast("int")]
-    return read(spark, sf_dir, "events").select("event_id", tx.recoverable(message).alias("recoverable"))
+    """Only an error of the right type with the right message is worth another connection."""
+    pick = lambda *x: F.array(*map(F.lit, x))[(F.col("event_id") % 4).cast("int")]
+    kind, message = pick("TypeError", "TypeError", "Error", None), pick("Failed to fetch (host)", "x is not a function", "network error", "Load failed")
+    return read(spark, sf_dir, "events").select("event_id", tx.recoverable(kind, message).alias("recoverable"))
 
 
 @query(r"""
@@ -209,14 +211,14 @@ def gathered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("conv_id").agg(F.array_join(held, ",").alias("results"))
 
 
-@query("""
-SELECT doc_id, n AS segments, (n + 1) // 2 AS groups FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '[.]', '', 'g'), chr(10)), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) AS n FROM documents)
+@query(f"""
+WITH s AS (SELECT doc_id, {_sentence_sql('text')} AS x FROM documents)
+SELECT doc_id, CAST(i // 2 AS BIGINT) AS place, array_to_string(x[i + 1:i + 2], ' ') AS text FROM (SELECT doc_id, x, unnest(range(0, len(x), 2)) AS i FROM s)
 """)
 def segment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments (here lines) two at a time."""
-    lines = F.filter(F.split(F.regexp_replace("text", "[.]", ""), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    d = read(spark, sf_dir, "documents").select("doc_id", lines.alias("x"))
-    return d.select("doc_id", F.size("x").cast("long").alias("segments"), F.size(seg.grouped(F.col("x"), 2)).cast("long").alias("groups"))
+    """Sentences two at a time, as segments of a larger grain."""
+    d = read(spark, sf_dir, "documents").select("doc_id", seg.grouped(seg.sentences(F.col("text")), 2).alias("x"))
+    return d.select("doc_id", F.posexplode("x").alias("place", "text")).select("doc_id", F.col("place").cast("long").alias("place"), "text")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(count(*) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS BIGINT) AS completed, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem")

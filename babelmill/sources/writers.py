@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from babelmill.functions.text import escape_xml, is_arabic
 from babelmill.operators.keyed import concatenated, last_wins
+from babelmill.operators.styles import mirrored
 from babelmill.sources.exchange import WORD, docx_parts, name_of, paragraph_text
 
 
@@ -160,7 +161,7 @@ def new_docx(rows: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     arabic = is_arabic(text)
-    side = F.when(arabic & (F.col("alignment") == "left"), "right").when(arabic & (F.col("alignment") == "right"), "left").otherwise(F.col("alignment"))
+    side = F.when(arabic, mirrored(F.col("alignment"))).otherwise(F.col("alignment"))
     tag = lambda name, value: F.coalesce(F.concat(F.lit(f'<w:{name} w:val="'), escape_xml(value), F.lit('"/>')), F.lit(""))
     if_arabic = lambda x: F.when(arabic, x).otherwise("")
     paragraph = F.concat(

@@ -1,8 +1,13 @@
 """Memory search over a growing query set, against brute force."""
 
+import random
+
+import numpy as np
 import pytest
 
 from babelmill import catalog
+from babelmill.functions import similarity
+from babelmill.functions.lcs import Texts, lcs_lengths
 from babelmill.operators import memory
 
 SF = "/root/testdata/sf0.001"
@@ -50,10 +55,58 @@ def test_part_search_asks_every_hundredth_row(spark, mode):
 
 @pytest.mark.parametrize("mode", ["char", "token"])
 def test_search_in_blocks_with_ties_and_long_texts(spark, mode, monkeypatch):
-    monkeypatch.setattr(memory, "BLOCK_BYTES", 40)
+    for name, value in (("BLOCK", 3), ("GROUP", 2), ("TOGETHER", 2)):
+        monkeypatch.setattr(memory, name, value)
     long = " ".join(f"word{i}" for i in range(300))
     held = [(i, f"red widget {'abc'[i % 3]}", f"t{i}") for i in range(30)] + [(40, long, "long"), (41, None, "none"), (42, "", "blank")]
     asked = [(str(i), t) for i, t in enumerate(["red widget a", "widget red b", long + " tail", " ", "unlike anything", "red widget c"])]
     q = spark.createDataFrame(asked, "query_id string, text string")
     m = spark.createDataFrame(held, "position long, source_text string, target_text string").repartition(3)
     assert rows(memory.search_memory(q, m, mode)) == brute_search(asked, held, mode)
+
+
+def test_hits_of_benchmark_sentences(spark):
+    from babelmill.functions import segmentation
+    from pyspark.sql import functions as F
+
+    of = lambda name, key: [(r[0], i, s) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(key, segmentation.sentences(F.col("text"))).collect() for i, s in enumerate(r[1])]
+    held = [(d * 2**20 + i, s, None) for d, i, s in of("documents", "doc_id")]
+    asked = [(f"{d}-{i}", s) for d, i, s in of("benchmark", "item_id")]
+    got = {r.query_id: (r.hits, r.best) for r in catalog.QUERIES["tm_sentence_hits"](spark, SF).collect()}
+    assert set(got) == {i for i, _ in asked}
+    for i, q in asked:
+        scores = sorted((similarity.ratio_of(q, s) for _, s, _ in held if 200 * min(len(q), len(s)) >= 60 * (len(q) + len(s))), reverse=True)[:5]
+        scores = [x for x in scores if x >= 60]
+        assert got[i] == (len(scores), round(scores[0], 6) if scores else None)
+
+
+def test_few_pairs_are_compared(spark):
+    """Bounds leave out most pairs where texts differ, and lose none (the searches above are compared with brute force)."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(r.randrange(3, 20)))
+    held = [(i, line(), "t") for i in range(1500)]
+    asked = [(str(i), held[i * 7][1] + " x") for i in range(40)]
+    q = spark.createDataFrame(asked, "query_id string, text string")
+    m = spark.createDataFrame(held, "position long, source_text string, target_text string").repartition(4)
+    for least, share in ((60.0, 0.7), (80.0, 0.2)):
+        compared = [x.compared for x in memory.comparisons(q, m, "char", min_score=least).collect()]
+        assert len(compared) == 40 and 40 <= sum(compared) < share * 40 * 1500
+    assert rows(memory.search_memory(q, m, "char")) == brute_search(asked, held, "char")
+
+
+@pytest.mark.parametrize("sizes", [(0, 1, 5, 63, 64, 65, 128, 200), (3, 9)])
+def test_lcs_of_many_pairs(sizes):
+    r = random.Random(len(sizes))
+    text = lambda: "".join(r.choice("abc dé中𝄞") for _ in range(r.choice(sizes)))
+    left, right = [text() for _ in range(9)], [text() for _ in range(11)]
+    a, b = np.divmod(np.arange(99), 11)
+    got = lcs_lengths(Texts(left), Texts(right), a, b)
+    assert got.tolist() == [similarity.lcs_length(left[i], right[j]) for i, j in zip(a, b, strict=True)]
+
+
+def test_empty_sides(spark):
+    none_q, none_m = spark.createDataFrame([], "query_id string, text string"), spark.createDataFrame([], "position long, source_text string, target_text string")
+    q, m = spark.createDataFrame([("1", "a b")], none_q.schema), spark.createDataFrame([(1, "b a", "t"), (2, None, "t")], none_m.schema)
+    assert memory.search_memory(none_q, m).collect() == [] and memory.search_memory(q, none_m).collect() == []
+    assert [(r.hits, r.best) for r in memory.hits(q, m).collect()] == [(1, 100.0)] and [r.hits for r in memory.hits(q, none_m).collect()] == [0]
