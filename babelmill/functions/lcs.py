@@ -34,8 +34,10 @@ def lcs_lengths(left: Texts, right: Texts, a: np.ndarray, b: np.ndarray) -> np.n
     out = np.zeros(len(a), np.int64)
     if not len(a):
         return out
-    alphabet, ids = np.unique(np.concatenate([left.codes, right.codes]), return_inverse=True)
-    left_ids, right_ids = ids[: len(left.codes)], ids[len(left.codes) :]
+    seen = np.zeros(int(max(left.codes.max(initial=0), right.codes.max(initial=0))) + 1, bool)
+    seen[left.codes] = seen[right.codes] = True
+    number = np.cumsum(seen) - 1
+    left_ids, right_ids, n_codes = number[left.codes], number[right.codes], int(number[-1]) + 1
     words = (left.lengths[a] + 63) >> 6
     # Pairs of as many words together; of those, pairs of the same first text, whose masks are shared.
     order = np.lexsort((a, words))
@@ -45,12 +47,12 @@ def lcs_lengths(left: Texts, right: Texts, a: np.ndarray, b: np.ndarray) -> np.n
         stop = begun + int(np.searchsorted(words[order[begun:]], w, "right"))
         if w:
             # Never more first texts at once than their masks may take.
-            texts = max(1, HELD // (w * (len(alphabet) + 1)))
+            texts = max(1, HELD // (w * n_codes))
             new = np.cumsum(np.concatenate([[0], np.diff(a[order[begun:stop]]) != 0]))
             stop = begun + int(np.searchsorted(new, texts, "left"))
             stop = min(stop, begun + max(1, HELD // w))
             some = order[begun:stop]
-            out[some] = _batch(left, left_ids, right, right_ids, a[some], b[some], w, len(alphabet))
+            out[some] = _batch(left, left_ids, right, right_ids, a[some], b[some], w, n_codes)
         begun = stop
     return out
 

@@ -11,7 +11,8 @@ pivots. What bounds the distance of a query and a key from below, and so their s
 Queries first meet the blocks of their best cell, which gives a score to beat; then those of every cell that can reach
 it. Only pairs that pass all bounds are compared, many at once (functions/lcs.py). The join's keys are (cell, group of
 blocks), so a large cell is dealt to many tasks; nothing that grows is collected or broadcast: pivots and cells are
-bounded by PIVOTS and the number of length bands.
+bounded by PIVOTS and the number of length bands. A memory whose distinct keys are one block, checked before, needs none of
+this: its keys go to the tasks of the queries.
 
 Defined cases: a null or blank query matches nothing, a null memory text neither; equal scores by position; rows repeated
 in the memory are entries of their own; queries of one id are searched one by one and ranked together.
@@ -20,7 +21,7 @@ in the memory are entries of their own; queries of one id are searched one by on
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from babelmill.operators.lineage import stored
 PIVOTS, PIVOT_CHARS, CLASSES = 8, 256, 64
 #: Keys in a block, blocks in a group, queries that meet a block together, factor between bands of lengths.
 BLOCK, GROUP, TOGETHER, BAND = 1024, 32, 256, 1.25
+#: Characters of keys that may be sent to every task, where all keys are one block.
+BLOCK_CHARS = 1 << 20
 
 
 def _sorted_tokens(text: str) -> str:
@@ -136,11 +139,12 @@ def cells_of(blocks: DataFrame, n_pivots: int) -> DataFrame:
     return each.groupBy("cell").agg(F.count("*").alias("n_blocks"), F.min("low").alias("low"), F.max("high").alias("high"), *ends)
 
 
-ASKED = "asked long, query_id string, key string, far array<int>, cell long, most double"
+ASKED = "asked long, query_id string, key string, far array<int>, cell long, most double, best boolean"
 
 
 def reachable(asked: DataFrame, cells: list[dict], n_pivots: int, min_score: float) -> DataFrame:
-    """ASKED: each query with every cell that can hold a key of min_score or more, and the most that it can reach there."""
+    """ASKED: each query with every cell that can hold a key of min_score or more, the most that it can reach there, and whether
+    that is the cell where it can reach most."""
     number, low, high = (np.array([c[x] for c in cells], np.int64) for x in ("cell", "low", "high"))
     near = np.array([[c[f"near{p}"] for p in range(n_pivots)] for c in cells], np.int64).reshape(len(cells), n_pivots)
     far = np.array([[c[f"far{p}"] for p in range(n_pivots)] for c in cells], np.int64).reshape(len(cells), n_pivots)
@@ -155,8 +159,11 @@ def reachable(asked: DataFrame, cells: list[dict], n_pivots: int, min_score: flo
                 least_sum = n + high
                 most = np.minimum(100.0 * (least_sum - least) / np.maximum(least_sum, 1), 200.0 * np.minimum(n, close) / np.maximum(n + close, 1))
                 some = np.flatnonzero(most + 1e-6 >= min_score)
+                best = np.zeros(len(some), bool)
+                if len(some):
+                    best[np.argmax(most[some])] = True
                 again = pa.array(np.full(len(some), i))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(again) for c in ("asked", "query_id", "key", "far")], pa.array(number[some]), pa.array(most[some])], [x.split()[0] for x in ASKED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(again) for c in ("asked", "query_id", "key", "far")], pa.array(number[some]), pa.array(most[some]), pa.array(best)], [x.split()[0] for x in ASKED.split(", ")])
 
     return asked.select("asked", "query_id", "key", "far").mapInArrow(reach, ASKED)
 
@@ -164,52 +171,66 @@ def reachable(asked: DataFrame, cells: list[dict], n_pivots: int, min_score: flo
 MET = "asked long, query_id string, key_id long, first long, score double, compared long"
 
 
-def _meet(k: int, n_pivots: int, counted: bool):
-    """MET: of each block's keys the k best of each query that reach its least score; rows without a key tell how many
-    were compared, if they are counted."""
+def best_of(asked: list[int], query_ids: list[str], mine: Texts, least: np.ndarray, texts: Texts, ids: np.ndarray, firsts: np.ndarray, gap: np.ndarray, k: int, counted: bool) -> pa.RecordBatch:
+    """MET: of a block's keys the k best of each query that reach its least score, where gap bounds their distances from
+    below; rows without a key tell how many were compared, if they are counted."""
+    score = lambda lcs, n: np.where(n > 0, 200.0 * lcs / np.maximum(n, 1), 100.0)
+    sums = mine.lengths[:, None] + texts.lengths[None, :]
+    q, e = np.nonzero(score((sums - gap) // 2, sums) >= least[:, None])
+    bags, wanted, fits = texts.bags(CLASSES), mine.bags(CLASSES), np.ones(len(q), bool)
+    for at in range(0, len(q), 1 << 16):  # characters in common bound the subsequence
+        some = slice(at, at + (1 << 16))
+        fits[some] = score(np.minimum(wanted[q[some]], bags[e[some]]).sum(axis=1), sums[q[some], e[some]]) >= least[q[some]]
+    q, e = q[fits], e[fits]
+    got = score(lcs_lengths(mine, texts, q, e), sums[q, e])
+    compared = np.bincount(q, minlength=len(asked))
+    enough = got >= least[q]
+    q, e, got = q[enough], e[enough], got[enough]
+    order = np.lexsort((firsts[e], -got, q))
+    q, e, got = q[order], e[order], got[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    q, e, got = q[first], e[first], got[first]
+    out = [(asked[i], query_ids[i], int(ids[j]), int(firsts[j]), float(s), None) for i, j, s in zip(q.tolist(), e.tolist(), got.tolist(), strict=True)]
+    if counted:
+        out += [(asked[i], query_ids[i], None, None, None, int(n)) for i, n in enumerate(compared)]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    columns = zip(*out, strict=True) if out else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in MET.split(", ")])
+
 
+def _meet(k: int, n_pivots: int, counted: bool):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in MET.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         for batch in batches:
             for row in range(batch.num_rows):
                 of = lambda c: batch.column(c)[row].values  # noqa: B023, E731
                 texts, queries = Texts(of("keys").to_pylist()), of("queries")
                 asked, query_ids, least = (queries.field(f).to_pylist() for f in ("asked", "query_id", "least"))
                 mine = Texts(queries.field("key").to_pylist())
-                sums = mine.lengths[:, None] + texts.lengths[None, :]
                 gap = np.abs(mine.lengths[:, None] - texts.lengths[None, :])
                 if n_pivots:
                     theirs = of("far").to_numpy().reshape(-1, n_pivots).astype(np.int64)
                     for p, far in enumerate(np.array(queries.field("far").to_pylist(), np.int64).reshape(-1, n_pivots).T):
                         np.maximum(gap, np.abs(far[:, None] - theirs[None, :, p]), out=gap)
-                score = lambda lcs, n: np.where(n > 0, 200.0 * lcs / np.maximum(n, 1), 100.0)
-                need = np.array(least)
-                q, e = np.nonzero(score((sums - gap) // 2, sums) >= need[:, None])
-                bags, wanted = texts.bags(CLASSES), mine.bags(CLASSES)
-                for at in range(0, len(q), 1 << 16):  # characters in common bound the subsequence
-                    some = slice(at, at + (1 << 16))
-                    common = np.minimum(wanted[q[some]], bags[e[some]]).sum(axis=1)
-                    fits = score(common, sums[q[some], e[some]]) >= need[q[some]]
-                    q[some], e[some] = np.where(fits, q[some], -1), e[some]
-                q, e = q[q >= 0], e[q >= 0]
-                got = score(lcs_lengths(mine, texts, q, e), sums[q, e])
-                enough = got >= need[q]
-                firsts, ids = of("firsts").to_numpy(), of("ids").to_numpy()
-                qs, es, got = q[enough], e[enough], got[enough]
-                order = np.lexsort((firsts[es], -got, qs))
-                qs, es, got = qs[order], es[order], got[order]
-                place = np.arange(len(qs)) - np.searchsorted(qs, qs, "left")
-                qs, es, got = qs[place < k], es[place < k], got[place < k]
-                out = [(asked[i], query_ids[i], int(ids[j]), int(firsts[j]), float(s), None) for i, j, s in zip(qs.tolist(), es.tolist(), got.tolist(), strict=True)]
-                if counted:
-                    out += [(asked[i], query_ids[i], None, None, None, int(n)) for i, n in enumerate(np.bincount(q, minlength=len(asked)))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield best_of(asked, query_ids, mine, np.array(least), texts, of("ids").to_numpy(), of("firsts").to_numpy(), gap, k, counted)
 
     return meet
 
 
+def met_at_once(asked: DataFrame, keys: list, k: int, min_score: float, counted: bool) -> DataFrame:
+    """MET of the queries in asked(asked, query_id, key) and keys(key_id, first, key) that are one block: sent to every task."""
+    ids, firsts, spelled = np.array([r["key_id"] for r in keys], np.int64), np.array([r["first"] for r in keys], np.int64), [r["key"] for r in keys]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = Texts(spelled)
+        for batch in batches:
+            for part in (batch.slice(i, TOGETHER) for i in range(0, batch.num_rows, TOGETHER)):
+                mine = Texts(part.column("key").to_pylist())
+                gap = np.abs(mine.lengths[:, None] - texts.lengths[None, :])
+                yield best_of(part.column("asked").to_pylist(), part.column("query_id").to_pylist(), mine, np.full(len(mine), min_score), texts, ids, firsts, gap, k, counted)
+
+    return asked.select("asked", "query_id", "key").mapInArrow(meet, MET)
+
+
 def met(asked: DataFrame, blocks: DataFrame, cells: DataFrame, k: int, n_pivots: int, counted: bool) -> DataFrame:
     """MET of the queries in asked(ASKED, least) and the blocks of their cells."""
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_blocks") / GROUP)).cast("long").alias("groups")
@@ -220,7 +241,9 @@ def met(asked: DataFrame, blocks: DataFrame, cells: DataFrame, k: int, n_pivots:
     )
     together = together.select("cell", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
     dealt = blocks.join(F.broadcast(cells.select("cell", groups)), "cell").withColumn("group", F.pmod(F.xxhash64("block"), F.col("groups")))
-    pairs = dealt.join(together, ["cell", "group"]).select("ids", "firsts", "keys", blocks["far"], "queries")
+    # As many tasks as shuffles have, though the rows are few: the work is in comparing them.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = dealt.repartition(tasks, "cell", "group").join(together, ["cell", "group"]).select("ids", "firsts", "keys", blocks["far"], "queries")
     return pairs.mapInArrow(_meet(k, n_pivots, counted), MET)
 
 
@@ -250,17 +273,8 @@ def _search(queries: DataFrame, memory: DataFrame, mode: str, k: int, min_score:
             yield pa.RecordBatch.from_arrays([batch.column("query_id").take(kept), pa.array([make(texts[i]) for i in kept.to_pylist()], pa.string())], ["query_id", "key"])
 
     keys = keyed(memory, mode, k)
-    pivots = pivots_of(keys)
-    blocks = stored(blocks_of(keys, pivots), "memory-blocks")
-    cells = stored(cells_of(blocks, len(pivots)), "memory-cells")
-    held = [r.asDict() for r in cells.collect()]  # bounded: pivots times bands
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("text").cast("string").alias("text")).mapInArrow(keys_of, "query_id string, key string")
-    asked = stored(asked.withColumn("asked", F.monotonically_increasing_id()), "memory-asked")
-    asked = described(asked, pivots, "asked long, query_id string, key string").drop("cell", "n")
-    asked = stored(reachable(asked, held, len(pivots), min_score), "memory-reach")
-    best = asked.groupBy("asked").agg(F.max(F.struct("most", "cell")).alias("b")).select("asked", F.col("b.cell").alias("best"))
-    asked = stored(asked.join(best, "asked"), "memory-reach")
-    first = stored(met(asked.where("cell = best").withColumn("least", F.lit(float(min_score))), blocks, cells, k, len(pivots), counted), "memory-first")
+    asked = asked.withColumn("asked", F.monotonically_increasing_id())
     entries = keys.select("key_id", "held")
 
     def ranked(found: DataFrame, by: str) -> DataFrame:
@@ -269,14 +283,29 @@ def _search(queries: DataFrame, memory: DataFrame, mode: str, k: int, min_score:
         found = found.join(entries, "key_id").select("asked", "query_id", "score", F.explode("held").alias("e")).select("asked", "query_id", "score", "e.*")
         return found.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
 
-    beat = ranked(first, "asked").where(F.col("rank") == k).select("asked", F.col("score").alias("beat"))
-    rest = asked.where("cell <> best").join(beat, "asked", "left").withColumn("least", F.coalesce("beat", F.lit(float(min_score)))).where(F.col("most") + 1e-6 >= F.col("least"))
-    second = stored(met(rest, blocks, cells, k, len(pivots), counted), "memory-second")
-    both = first.unionByName(second)
+    few = keys.select("key_id", "first", "key").limit(BLOCK + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+    if few[0] <= BLOCK and few[1] <= BLOCK_CHARS:
+        both = met_at_once(asked, keys.select("key_id", "first", "key").collect(), k, float(min_score), counted)
+    else:
+        both = _in_cells(asked, keys, ranked, k, float(min_score), counted)
     out = ranked(both, "query_id").select("query_id", "position", "source_text", "target_text", F.round("score", 6).alias("score"), "rank")
     return out, both.where("compared is not null").groupBy("query_id").agg(F.sum("compared").alias("compared"))
 
 
+def _in_cells(asked: DataFrame, keys: DataFrame, ranked: Callable[[DataFrame, str], DataFrame], k: int, min_score: float, counted: bool) -> DataFrame:
+    """MET of all queries: their best cells first, then every cell that can reach the score of the k-th entry found there."""
+    pivots = pivots_of(keys)
+    blocks = stored(blocks_of(keys, pivots), "memory-blocks")
+    held = cells_of(blocks, len(pivots)).collect()  # bounded: pivots times bands
+    cells = asked.sparkSession.createDataFrame([(r["cell"], r["n_blocks"]) for r in held], "cell long, n_blocks long")
+    asked = described(asked, pivots, "asked long, query_id string, key string").drop("cell", "n")
+    asked = stored(reachable(asked, [r.asDict() for r in held], len(pivots), min_score), "memory-reach")
+    first = stored(met(asked.where("best").withColumn("least", F.lit(min_score)), blocks, cells, k, len(pivots), counted), "memory-first")
+    beat = ranked(first, "asked").where(F.col("rank") == k).select("asked", F.col("score").alias("beat"))
+    rest = asked.where("not best").join(beat, "asked", "left").withColumn("least", F.coalesce("beat", F.lit(min_score))).where(F.col("most") + 1e-6 >= F.col("least"))
+    return first.unionByName(stored(met(rest, blocks, cells, k, len(pivots), counted), "memory-second"))
+
+
 def hits(queries: DataFrame, memory: DataFrame, mode: str = "token", k: int = 5, min_score: float = 60.0) -> DataFrame:
     """query_id, hits, best: of every query, also those without any, how many entries it is shown and the best score."""
     found = search_memory(queries, memory, mode, k, min_score).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))

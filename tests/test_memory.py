@@ -45,7 +45,9 @@ def rows(df):
 
 
 @pytest.mark.parametrize("mode", ["char", "token"])
-def test_part_search_asks_every_hundredth_row(spark, mode):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_part_search_asks_every_hundredth_row(spark, mode, block, monkeypatch):
+    monkeypatch.setattr(memory, "BLOCK", block)
     part = spark.read.parquet(f"{SF}/part.parquet").collect()
     asked = [(str(r.p_partkey), r.p_name) for r in part if r.p_partkey % 100 == 0]
     got = rows(catalog.QUERIES[f"tm_search_part_{mode}"](spark, SF))
