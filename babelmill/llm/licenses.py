@@ -9,8 +9,10 @@ words of a template T; the positional filter drops those whose first shared word
 rest to suffice; the survivors' overlaps are counted. All filters are exact. The templates are a fixed list, so their
 vocabulary and frequencies go to every task. score and n_blocks are those of the join.
 
-A label is given only if the license is named: some words as many as a block's, wherever they begin, must hold as many of
-the template's words as it needs and, as consecutive words, a phrase of each group of NAMES. Base phrases are found as consecutive words and their labels always stay.
+Labels come from the same join over blocks twice as long, so that any words as many as a block's, wherever they begin, lie
+whole in one. In the blocks that meet a template there, some such words must hold as many of the template's words as it
+needs and, as consecutive words, a phrase of each group of NAMES: a license must be named. The SQL has the same rule, without filters.
+Base phrases are found as consecutive words and their labels always stay.
 
 Defined cases: null text is empty, has no words and no labels; repeated rows are judged one by one; a very long text is
 judged whole; tokens of one frequency are ordered by spelling, which changes no result; a null doc_id is kept; an empty table gives an empty result (and an order by the tokens' spelling); other columns are ignored.
@@ -54,6 +56,10 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
     (
         "apache-2.0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
@@ -107,6 +113,10 @@ NAMES = dict(zip((t for _, t in TEMPLATES), (
     (("associated documentation files",),),
     (("mozilla public license v 2", "mozilla public license version 2", "mozilla public license 2"),),
     (("free and unencumbered software",),),
+    (("gnu lesser general public license", "gnu library general public license"),),
+    (("gnu affero general public license",),),
+    (("eclipse public license 2", "eclipse public license v 2", "eclipse public license v2", "eclipse public license version 2"),),
+    (("in no event will the authors",),),
     (("apache license", "apache org"),),
     (("source and binary forms", "source or binary forms"),),
     (("permission to use copy modify",),),
@@ -177,26 +187,27 @@ class Matcher:
         self.terms = [np.array(sorted({tn.hash_word(w) for w in t.split()}), np.uint64) for _, t in templates]
         self.names = [[[(hashed(p), [hashed(o) for o in OTHER_NAMES.get(p, ())]) for p in group] for group in NAMES.get(t, ())] for _, t in templates]
 
-    def blocks(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, template, overlap) of every block that meets a template."""
+    def blocks(self, words: np.ndarray, first: np.ndarray, wide: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, step, template, overlap) of every block that meets a template; strides and blocks are `wide` times as long."""
         none = np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         place = np.flatnonzero(self.hashes[at] == words)
         if not len(place):
-            return none, none, none
+            return none, none, none, none
         token = self.by_hash[at[place]]
         row = np.searchsorted(first, place, "right") - 1
-        out = [self.met(n, token, row, place - first[row]) for n in sorted(self.prefix)]
+        out = [self.met(n, n * wide, token, row, place - first[row]) for n in sorted(self.prefix)]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def met(self, n: int, token: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """blocks() for the templates of stride n, from the template words of texts: which, in which row, where."""
+    def met(self, n: int, apart: int, token: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """blocks() for the templates of stride n, with blocks that begin every `apart` words, from the template words of texts:
+        which, in which row, where."""
         none = np.zeros(0, np.int64)
         of = np.flatnonzero(self.strides == n)
         used = self.members[:, of].any(axis=1)[token]
-        token, row, step = token[used], row[used], place[used] // n
+        token, row, step = token[used], row[used], place[used] // apart
         if not len(token):
-            return none, none, none
+            return none, none, none, none
         # A place lies in the block that begins at its stride and in the one before.
         earlier = step > 0
         row, token = np.concatenate([row, row[earlier]]), np.concatenate([token, token[earlier]])
@@ -210,7 +221,7 @@ class Matcher:
         some = np.add.reduceat(self.prefix[n][token].astype(np.int64), begin) > 0
         live = np.flatnonzero(some & (length >= self.needs[of].min()))
         if not len(live):
-            return none, none, none
+            return none, none, none, none
         keep = np.repeat(np.isin(np.arange(len(begin)), live), length)
         index = np.repeat(np.arange(len(live)), length[live])
         token = token[keep]
@@ -228,8 +239,9 @@ class Matcher:
             if len(who):
                 overlap = np.bincount(index, weights=self.members[token, t], minlength=len(live)).astype(np.int64)[who]
                 ok = overlap >= self.needs[t]
-                out.append((block[begin[live[who[ok]]]] // steps, np.full(ok.sum(), t), overlap[ok]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
+                here = block[begin[live[who[ok]]]]
+                out.append((here // steps, here % steps, np.full(ok.sum(), t), overlap[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none)
 
     def places(self, words: np.ndarray, first: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
         """(label, row, word) of every place of every phrase."""
@@ -240,33 +252,33 @@ class Matcher:
         return out
 
     def named(self, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(row, template) where some consecutive words, as many as a block's, hold enough of the template and a phrase of each of its groups."""
-        out = set()
-        for t, groups in enumerate(self.names):
-            held, size = [], 2 * int(self.strides[t])
-            for group in groups:
-                found = []
-                for p, others in group:
-                    row, at = phrase_places(p, words, first)
-                    for o in others:
-                        keep = ~np.isin(at, phrase_places(o, words, first)[1])
-                        row, at = row[keep], at[keep]
-                    found.append((row, at, np.full(len(at), len(p))))
-                held.append(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
-            rows = held[0][0] if held else np.zeros(0, np.int64)
-            for row, _, _ in held[1:]:
-                rows = rows[np.isin(rows, row)]
-            for r in np.unique(rows).tolist():
-                n = int(first[r + 1] - first[r])
-                at, term = term_places(self.terms[t], words[first[r] : first[r + 1]])
-                ok = began(n, np.maximum(at - size, previous(term, at)) + 1, at) >= self.needs[t]
-                for row, place, length in held:
-                    a = (place - first[row])[row == r]
-                    ok &= began(n, a + length[row == r] - size, a) > 0
-                if ok.any():
-                    out.add((r, t))
+        """(row, template) of the joined blocks, twice as long, in which some consecutive words, as many as a block's, hold
+        enough of the template and a phrase of each of its groups."""
+        out: set[tuple[int, int]] = set()
+        for row, step, t, _ in zip(*(x.tolist() for x in self.blocks(words, first, 2)), strict=True):
+            if (row, t) in out or not self.names[t]:
+                continue
+            n = int(self.strides[t])
+            a = int(first[row]) + 2 * n * step
+            if self.confirmed(t, words[a : min(a + 4 * n, int(first[row + 1]))], 2 * n):
+                out.add((row, t))
         return out
 
+    def confirmed(self, t: int, words: np.ndarray, size: int) -> bool:
+        """Whether some `size` consecutive words of a block hold enough of template t and a phrase of each of its groups."""
+        edges = np.array([0, len(words)])
+        at, term = term_places(self.terms[t], words)
+        ok = began(len(words), np.maximum(at - size, previous(term, at)) + 1, at) >= self.needs[t]
+        for group in self.names[t]:
+            low, high = [], []
+            for p, others in group:
+                found = phrase_places(p, words, edges)[1]
+                for o in others:
+                    found = found[~np.isin(found, phrase_places(o, words, edges)[1])]
+                low.append(found + len(p) - size), high.append(found)
+            ok &= began(len(words), np.concatenate(low), np.concatenate(high)) > 0
+        return bool(ok.any())
+
 
 def hashed(phrase: str) -> np.ndarray:
     return np.array([tn.hash_word(w) for w in phrase.split()], np.uint64)
@@ -329,7 +341,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES
                     for r in np.unique(row):
                         base[r].add(label)
                 every = [set(b) for b in base]
-                row, template, overlap = m.blocks(words, first)
+                row, _, template, overlap = m.blocks(words, first)
                 np.add.at(blocks, row, 1)
                 np.maximum.at(score, row, overlap / m.sizes[template] if len(row) else score[:0])
                 unnamed = {(r, t) for r, t in zip(row.tolist(), template.tolist(), strict=True) if not m.names[t]}
@@ -350,10 +362,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same result in SQL, without filters; labels as the join gives them, so equal where no other license is named."""
+    """The same result in SQL, without filters. Words of a block's number that can hold what a label needs begin at one of them."""
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     tokens = ", ".join(f"({i}, '{label}', '{w}', {need(len(set(t.split())))}, {len(set(t.split()))}, {stride(t)})" for i, (label, t) in enumerate(TEMPLATES) for w in sorted(set(t.split())))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
+    named = [(i, g, p) for i, (_, t) in enumerate(TEMPLATES) for g, group in enumerate(NAMES[t]) for p in group]
+    names = ", ".join(f"({i}, {g}, '{p}', '{p.split()[0]}', {len(p.split())}, {len(NAMES[TEMPLATES[i][1]])})" for i, g, p in named)
+    longer = ", ".join(f"('{p}', '{o}', {len(o.split())})" for p, others in OTHER_NAMES.items() for o in others)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents
 ), p(phrase, label, k) AS (VALUES {phrases}
@@ -365,9 +380,23 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents
 ), inb AS (SELECT *, i // stride AS b FROM hit UNION ALL SELECT *, i // stride - 1 FROM hit WHERE i >= stride
 ), blk AS (SELECT r, b, t, label, count(DISTINCT word) AS n, any_value(need) AS need, any_value(size) AS size FROM inb GROUP BY r, b, t, label
 ), met AS (SELECT r, b, t, label, n * 1.0::DOUBLE / size AS c FROM blk WHERE n >= need
+), names(t, g, phrase, word, k, n_groups) AS (VALUES {names}
+), longer(phrase, other, k) AS (VALUES {longer}
+), said AS (
+  SELECT r, t, g, i, k, n_groups FROM tok JOIN names ON w[i + 1] = word WHERE array_to_string(w[i + 1:i + k], ' ') = phrase
+  AND NOT EXISTS (SELECT 1 FROM longer WHERE longer.phrase = names.phrase AND array_to_string(tok.w[i + 1:i + longer.k], ' ') = other)
+), cand AS (SELECT r, t, n_groups FROM said GROUP BY r, t, n_groups HAVING count(DISTINCT g) = n_groups
+), near AS (SELECT hit.* FROM hit JOIN cand ON hit.r = cand.r AND hit.t = cand.t
+), start AS (SELECT r, t, i AS a FROM near UNION SELECT said.r, said.t, i FROM said JOIN cand ON said.r = cand.r AND said.t = cand.t
+), enough AS (
+  SELECT s.r, s.t, s.a, any_value(label) AS label, any_value(stride) AS stride FROM start s JOIN near h ON h.r = s.r AND h.t = s.t AND h.i >= s.a AND h.i < s.a + 2 * h.stride
+  GROUP BY s.r, s.t, s.a HAVING count(DISTINCT word) >= any_value(need)
+), told AS (
+  SELECT e.r, e.label FROM enough e JOIN said ON said.r = e.r AND said.t = e.t AND said.i >= e.a AND said.i + said.k <= e.a + 2 * e.stride
+  GROUP BY e.r, e.t, e.a, e.label HAVING count(DISTINCT g) = any_value(n_groups)
 ), m AS (SELECT r, count(*) AS n_blocks, max(c) AS c FROM met GROUP BY r
 ), bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM base) GROUP BY r
-), al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM met) GROUP BY r)
+), al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM told) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
        CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score, CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks

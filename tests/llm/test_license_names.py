@@ -1,5 +1,6 @@
 """Labels of the license scan need the license's name, wherever the notice begins."""
 
+import duckdb
 import pytest
 
 from babelmill.llm import licenses
@@ -18,6 +19,10 @@ SAID = [
     ("This work is licensed under the GNU General Public License version 3", "gpl,gpl-3.0"),
     ("Licensed under the Apache License 2.0", "apache,apache-2.0"),
     ("license x the y mit z under w released", ""),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl-3.0"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "epl-2.0"),
+    ("This program and the accompanying materials are made available under the terms of the Common Public License 2.0 which is available at", ""),
 ]
 
 
@@ -45,3 +50,17 @@ def test_every_beginning_of_a_block_counts(spark, spread):
                 want.add(i)
     assert {r.doc_id for r in licenses.scan(d).where("labels = 'mit'").collect()} == want
     assert len(want) in (0, 70)
+
+
+def test_query_equals_sql_on_misnamed_notices(spark, tmp_path):
+    """Planted notices with names and without, far from their names, repeated rows: the same labels as in SQL."""
+    from tests import oracle
+
+    names = [" ".join(f"pad{i}" for i in range(lead)) + " " + t for lead, (t, _) in enumerate(SAID)]
+    apart = "Permission is hereby granted, free of charge, to any person obtaining a copy " + " ".join(f"y{i}" for i in range(60)) + " of this software and associated documentation files"
+    texts = [t for t, _ in SAID] + names + [apart, apart.replace("y1 ", ""), None, "", "mit license " * 40, *[" ".join(t for t, _ in SAID[i : i + 3]) for i in range(10)]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0]), (None, texts[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    oracle.assert_same(licenses.op8_license_scan(spark, str(tmp_path)), con, licenses.oracle())
