@@ -113,15 +113,17 @@ def docx_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT conv_id, n - 1 AS element, CASE WHEN x = '' THEN '' ELSE x || ' / ' || n END AS text FROM {_TURNS_SQL}
+WITH t AS (SELECT conv_id, n - 1 AS element, x, {_sentence_sql('x')} AS s FROM {_TURNS_SQL})
+SELECT conv_id, element, CASE WHEN len(s) = 0 THEN x ELSE array_to_string(list_transform(s, lambda y, i: CASE WHEN i % 2 = 1 THEN 'T ' || y || ' / 2' ELSE y END), ' ') END AS text FROM t
 """)
 def docx_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of DOCX files after translations were written back: texts of one id are joined, blank ones stay."""
-    t = _turns(spark, sf_dir)
-    path, id_ = F.col("conv_id").cast("string").alias("path"), (F.col("n") - 1).cast("string").alias("id")
-    one = t.select(path, id_, F.lit(0).alias("pos"), F.col("x").alias("text"))
-    two = t.select(path, id_, F.lit(1).alias("pos"), F.concat(F.lit("/ "), F.col("n")).alias("text"))
-    filled = writers.fill_docx(_docx(spark, sf_dir), one.unionByName(two)).select("path", "content")
+    """Files scanned, every other sentence of a paragraph translated (in two parts) under the scanner's ids, written back and
+    scanned again; what is not translated stays."""
+    files = _docx(spark, sf_dir)
+    b = exchange.docx_blocks(exchange.parsed(files, exchange.docx_paragraphs, exchange.DOCX)).where("i % 2 = 0")
+    one = b.select("path", "id", F.lit(0).alias("pos"), F.concat(F.lit("T "), "text").alias("text"))
+    two = b.select("path", "id", F.lit(1).alias("pos"), F.lit("/ 2").alias("text"))
+    filled = writers.fill_docx(files, one.unionByName(two)).select("path", "content")
     p = exchange.parsed(filled, exchange.docx_paragraphs, exchange.DOCX)
     return p.select(F.col("path").cast("long").alias("conv_id"), F.col("element").cast("long"), "text")
 

@@ -147,16 +147,39 @@ def docx_paragraphs(content: bytes) -> list[tuple]:
     out: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for part, name in docx_parts(z.namelist()):
-            root = ET.fromstring(z.read(name))
-            top = root.find(f"{WORD}body") if part == "body" else root
-            for element, node in enumerate(e for e in top if e.tag in (f"{WORD}p", f"{WORD}tbl")):
+            for element, node in docx_elements(ET.fromstring(z.read(name)), part):
                 if node.tag == f"{WORD}p":
                     style = node.find(f"{WORD}pPr/{WORD}pStyle")
                     out.append((part, element, None, None, paragraph_text(node), style.get(f"{WORD}val") if style is not None else None))
                 else:
-                    for r, row in enumerate(node.findall(f"{WORD}tr")):
-                        for c, cell in enumerate(row.findall(f"{WORD}tc")):
-                            out.append((part, element, r, c, " ".join(filter(None, map(paragraph_text, cell.findall(f"{WORD}p")))), "Table"))
+                    for r, c, cell in owned_cells(node):
+                        out.append((part, element, r, c, "\n".join(map(paragraph_text, cell.findall(f"{WORD}p"))).strip(), "Table"))
+    return out
+
+
+def docx_elements(root: ET.Element, part: str) -> list[tuple[int, ET.Element]]:
+    """Place among all elements of a part, and element, of its paragraphs and tables."""
+    top = root.find(f"{WORD}body") if part == "body" else root
+    return [(i, e) for i, e in enumerate(top) if e.tag in (f"{WORD}p", f"{WORD}tbl")]
+
+
+def owned_cells(table: ET.Element) -> list[tuple[int, int, ET.Element]]:
+    """Row, column and cell of each cell of a table once, where it begins: a cell owns the places of the grid that its column
+    span and the continuations below it take."""
+    owner: dict[tuple[int, int], ET.Element] = {}
+    out = []
+    for r, row in enumerate(table.findall(f"{WORD}tr")):
+        skipped = row.find(f"{WORD}trPr/{WORD}gridBefore")
+        c = int(skipped.get(f"{WORD}val", "0")) if skipped is not None else 0
+        for cell in row.findall(f"{WORD}tc"):
+            span, merge = cell.find(f"{WORD}tcPr/{WORD}gridSpan"), cell.find(f"{WORD}tcPr/{WORD}vMerge")
+            width = max(int(span.get(f"{WORD}val", "1")), 1) if span is not None else 1
+            goes_on = merge is not None and merge.get(f"{WORD}val", "continue") != "restart" and (r - 1, c) in owner
+            held = owner[r - 1, c] if goes_on else cell
+            if not goes_on:
+                out.append((r, c, cell))
+            owner |= {(r, c + i): held for i in range(width)}
+            c += width
     return out
 
 
@@ -168,15 +191,18 @@ DOCX = "part string, element int, row int, col int, text string, style string"
 
 
 def docx_blocks(paragraphs: DataFrame) -> DataFrame:
-    """Sentence blocks of paragraphs (id element_i) and whole cells (id element_row_col); part keeps equal ids apart."""
+    """Sentence blocks of paragraphs (id element_i) and whole cells (id element_row_col); in other parts than the body ids
+    begin with the part (`header/0_0`). key is the id of the whole paragraph or cell."""
     p = paragraphs.where("error is null and text <> ''")
     cell = F.col("row").isNotNull()
     pieces = F.when(cell, F.array("text")).otherwise(sentences(F.col("text")))
     b = p.select("path", "part", "element", "row", "col", "style", F.posexplode(pieces).alias("i", "text"))
-    key = F.when(cell, F.concat_ws("_", "element", "row", "col")).otherwise(F.concat_ws("_", "element", "i"))
-    return b.withColumn("id", key)
+    at = F.when(F.col("part") == "body", "").otherwise(F.concat("part", F.lit("/")))
+    whole = F.concat(at, F.when(cell, F.concat_ws("_", "element", "row", "col")).otherwise(F.col("element").cast("string")))
+    return b.withColumn("key", whole).withColumn("id", F.when(cell, whole).otherwise(F.concat_ws("_", whole, "i")))
 
 
+# Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8-sig", "utf-16", "cp1256", "windows-1252")
 
 

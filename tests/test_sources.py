@@ -87,3 +87,83 @@ def test_docx_header_and_footer(spark):
     assert filled.first().unmatched == ["footer/9"]
     p = exchange.parsed(filled.select("path", "content"), exchange.docx_paragraphs, exchange.DOCX)
     assert sorted((r.part, r.text) for r in p.collect()) == [("body", "Un."), ("body", "cell"), ("footer", "end"), ("header", "oben")]
+
+
+MERGED = """<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>wide</w:t></w:r></w:p></w:tc>
+<w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>tall</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:tc></w:tr>
+<w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p/></w:tc></w:tr>
+<w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>both</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge w:val="continue"/></w:tcPr><w:p/></w:tc></w:tr>
+<w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:vMerge/></w:tcPr><w:p><w:r><w:t>hidden</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>end</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"""
+STYLES = """<w:styles xmlns:w="{w}"><w:style w:type="paragraph" w:styleId="Base"><w:pPr><w:jc w:val="right"/></w:pPr></w:style>
+<w:style w:type="paragraph" w:styleId="Child"><w:basedOn w:val="Base"/></w:style><w:style w:type="paragraph" w:styleId="Loop"><w:basedOn w:val="Loop"/></w:style></w:styles>"""
+
+
+def package(body, header="", styles=""):
+    w = exchange.WORD[1:-1]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:bookmarkStart w:id="0"/>{body}<w:sectPr/></w:body></w:document>')
+        if header:
+            z.writestr("word/header1.xml", f'<w:hdr xmlns:w="{w}">{header}</w:hdr>')
+        if styles:
+            z.writestr("word/styles.xml", styles.replace("{w}", w))
+    return out.getvalue()
+
+
+def said(text, properties=""):
+    return f"<w:p><w:pPr>{properties}</w:pPr><w:r><w:t>{text}</w:t></w:r><w:r><w:t/></w:r></w:p>"
+
+
+def scanned(files):
+    return exchange.docx_blocks(exchange.parsed(files, exchange.docx_paragraphs, exchange.DOCX))
+
+
+def test_merged_cells_are_read_once(spark):
+    b = scanned(held(spark, package(said("First.") + MERGED)))
+    # The bookmark is element 0.
+    assert sorted((r.id, r.text) for r in b.collect()) == [("1_0", "First."), ("2_0_0", "wide"), ("2_0_2", "tall\ntwo"), ("2_1_0", "a"), ("2_1_1", "b"), ("2_2_0", "both"), ("2_3_2", "end")]
+
+
+def test_scan_translate_write_scan(spark):
+    files = held(spark, package(said("One. Two. Three.") + MERGED + said("Kept."), said("Head one. Head two.")))
+    ids = {r.id: r.text for r in scanned(files).collect()}
+    assert {"1_0", "1_1", "1_2", "header/0_0", "header/0_1"} <= set(ids)
+    new = {"1_1": "Deux.", "header/0_0": "Tete.", "2_0_2": "haut", "2_3_2": "fin", "9_9": "nowhere", "0_0": "no"}
+    t = spark.createDataFrame([("f0", i, 0, x) for i, x in new.items()] + [("f0", "1_1", 1, "Encore.")], "path string, id string, pos int, text string")
+    r = writers.fill_docx(files, t).first()
+    assert r.unmatched == ["0_0", "9_9"]
+    again = {r.id: r.text for r in scanned(held(spark, bytes(r.content))).collect()}
+    assert [again[f"1_{i}"] for i in range(4)] == ["One.", "Deux.", "Encore.", "Three."]
+    assert (again["header/0_0"], again["header/0_1"], again["2_0_2"], again["2_3_2"], again["3_0"]) == ("Tete.", "Head two.", "haut", "fin", "Kept.")
+
+
+def test_arabic_runs_from_right_to_left(spark):
+    sides = ["", '<w:jc w:val="left"/>', '<w:jc w:val="right"/>', '<w:jc w:val="center"/>', '<w:pStyle w:val="Child"/>', '<w:pStyle w:val="Loop"/>']
+    files = held(spark, package("".join(said(f"Text {i}.", x) for i, x in enumerate(sides)) + said("Left alone."), styles=STYLES))
+    t = spark.createDataFrame([("f0", f"{i + 1}_0", 0, "نص") for i in range(len(sides))] + [("f0", "7_0", 0, "Latin")], "path string, id string, pos int, text string")
+    w = exchange.WORD
+    root = exchange.ET.fromstring(zipfile.ZipFile(io.BytesIO(bytes(writers.fill_docx(files, t).first().content))).read("word/document.xml"))
+    found = [(p.find(f"{w}pPr/{w}bidi") is not None, next((e.get(f"{w}val") for e in p.iter(f"{w}jc")), None), p.find(f"{w}r/{w}rPr/{w}rtl") is not None) for p in root.iter(f"{w}p")]
+    assert found == [(True, x, True) for x in ("right", "right", "left", "center", "left", "right")] + [(False, None, False)]
+    styled = root.findall(f".//{w}p")[4].find(f"{w}pPr")
+    assert [exchange.name_of(e) for e in styled] == ["pStyle", "bidi", "jc"]
+
+
+def test_assembled_docx(spark):
+    rows = [
+        ("d", 0, 0, "Title", "T & t", None, None, None, None, None, None), ("d", 0, 1, "Footnote", "note", None, None, None, None, None, None),
+        ("d", 0, 2, "Text", "line\nbreak", None, None, None, None, None, None), ("d", 0, 3, "Table", "c00", None, 0, 0, 0, 2, 2), ("d", 0, 4, "Table", "c11", None, 0, 1, 1, 2, 2),
+        ("d", 0, 5, "Table", "x", None, 1, 0, 0, 1, 1), ("d", 0, 6, "Table", "y", None, 1, 0, 0, 1, 1), ("d", 0, 7, "Text", " ", None, None, None, None, None, None),
+        ("d", 1, 0, "Page-footer", "old foot", None, None, None, None, None, None), ("d", 1, 1, "Section-header", "نص", None, None, None, None, None, None),
+        ("d", 2, 0, "List-item", "item", "Own", None, None, None, None, None), ("d", 2, 1, "Page-footer", "foot", None, None, None, None, None, None), ("e", 0, 0, "Text", "", None, None, None, None, None, None),
+    ]
+    blocks = spark.createDataFrame(rows, "document_id string, page int, pos int, type string, text string, style string, num int, row int, col int, rows int, cols int").repartition(3)
+    made = {r.path: bytes(r.content) for r in writers.assembled_docx(blocks).collect()}
+    found = {r.id: (r.text, r.style) for r in scanned(held(spark, made["d"])).collect()}
+    assert found == {
+        "0_0": ("T & t", "Title"), "1_0": ("line break", None), "2_0_0": ("c00", "Table"), "2_1_1": ("c11", "Table"), "3_0_0": ("y", "Table"), "5_0": ("note", "Footnote"),
+        "7_0": ("نص", "Heading1"), "9_0": ("item", "Own"), "footer/0_0": ("foot", "Footer"),
+    }
+    xml = zipfile.ZipFile(io.BytesIO(made["d"])).read("word/document.xml").decode()
+    assert xml.count('w:type="page"') == 2 and '<w:bidi/><w:jc w:val="right"/>' in xml
+    assert scanned(held(spark, made["e"])).collect() == []
