@@ -185,6 +185,30 @@ def test_lm_scoring_walks_the_automaton(docs, empty, mass):
     assert lm_scoring.score(lm_scoring.with_fold(empty), mass).count() == 0
 
 
+def test_lm_keys_tell_ngrams_apart(spark):
+    """All n-grams of sf0.01: as many keys as there are n-grams; with few bits, keys clash and are found to."""
+    import pyarrow as pa
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    pages = [texts[i : i + 250] for i in range(0, len(texts), 250)]
+    true, found = set(), {16: set(), lm_scoring.KEY_BITS + 6: set()}
+    for page in pages:
+        tokens = [words(t, SPACED) + [None] for t in page]
+        true |= {tuple(t[i : i + k]) for t in tokens for k in (1, 2, 3) for i in range(len(t) - k + 1)} | {("<s>", *t[:k]) for t in tokens for k in (1, 2)[: len(t)]}
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(page)), pa.int64()), pa.array([False] * len(page)), pa.array(page, pa.string())], ["doc_id", "held_out", "text"])
+        class Task:
+            partitionId = staticmethod(lambda: 0)
+
+        kept, lm_scoring.TaskContext = lm_scoring.TaskContext, type("T", (), {"get": staticmethod(lambda: Task)})
+        try:
+            for _, g in lm_scoring.rows_of(lm_scoring._segments(iter([batch])), 3):
+                for bits in found:
+                    found[bits] |= set(g.asked(bits)[0].tolist())
+        finally:
+            lm_scoring.TaskContext = kept
+    assert len(found[16]) < len(true) // 2 and len(found[lm_scoring.KEY_BITS + 6]) == len(true)
+
+
 def test_lm_states_sum_to_one():
     texts = ["a b a c b".split(), "b a b".split(), "c".split()]
     arcs, fails, unknown, c, n, v = automaton = explicit_automaton([[*t, None] for t in texts], (5.0, 2.0))
