@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from babelmill.functions import language, replies
+from babelmill.functions import language, replies, word_diff
 from babelmill.functions import text as tx
 from babelmill.operators import glossary
 from babelmill.plans.queries import _WORDS, _WORDS_SQL, _sentence_sql, query, read
@@ -147,19 +147,70 @@ def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _languages_sql() -> str:
-    counts = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + v + chr(39) for v in held)}))) AS n_{code}" for code, held in language.FUNCTION_WORDS.items())
-    codes = sorted(language.FUNCTION_WORDS)
-    best = f"greatest({', '.join('n_' + c for c in codes)})"
-    picked = " ".join(f"WHEN n_{c} = {best} THEN '{c}'" for c in codes)
-    return rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}'']+') AS w FROM documents), n AS (SELECT doc_id, {counts} FROM w)
-SELECT doc_id, CASE WHEN {best} = 0 THEN NULL {picked} END AS detected FROM n"""
+#: Every fifth document is held out of the language model.
+_FOLDS, _HELD_OUT = 5, 3
 
 
-@query(_languages_sql())
+def _languages_sql() -> str:
+    """CTEs up to `told`(doc_id, detected): the model of the documents that aren't held out, and its choice for all of them."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    code = lambda k: f"CAST(unicode(t[i + {k}]) AS BIGINT)"
+    return f"""
+WITH tri AS (
+  SELECT r, doc_id, lang, (961 * {code(0)} + 31 * {code(1)} + {code(2)}) % 4096 AS class
+  FROM (SELECT row_number() OVER () AS r, doc_id, lang, {lowered} AS t, unnest(range(1, greatest(length(coalesce(text, '')) - 1, 1))) AS i FROM documents)
+), bag AS (SELECT r, doc_id, lang, class, count(*) AS n FROM tri GROUP BY ALL
+), seen AS (SELECT lang, class, sum(n) AS n FROM bag WHERE lang IS NOT NULL AND doc_id % {_FOLDS} <> {_HELD_OUT} GROUP BY ALL
+), every AS (SELECT lang, sum(n) AS n FROM seen GROUP BY lang
+), score AS (
+  SELECT r, doc_id, every.lang, sum(bag.n * ln((coalesce(seen.n, 0) + 1) / CAST(every.n + 4096 AS DOUBLE))) AS s
+  FROM bag CROSS JOIN every LEFT JOIN seen ON seen.lang = every.lang AND seen.class = bag.class GROUP BY r, doc_id, every.lang
+), told AS (SELECT r, doc_id, first(lang ORDER BY s DESC, lang) AS detected FROM score GROUP BY r, doc_id)"""
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.trained(d.where(F.col("doc_id") % _FOLDS != _HELD_OUT))
+    return language.detected(d, model)
+
+
+@query(f"{_languages_sql()} SELECT d.doc_id, detected FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id")
 def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", language.detected(F.col("text")).alias("detected"))
+    """The language of every document, by a model that every fifth document is held out of."""
+    return _detected(spark, sf_dir).select("doc_id", "detected")
+
+
+@query(rf"""{_languages_sql()}
+SELECT d.doc_id, lang, coalesce(detected = requested, false) AS matches, coalesce(regexp_matches(text, '[\p{{L}}\p{{N}}]'), false) AS has_text
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'fr' END AS requested FROM documents) d LEFT JOIN told ON told.doc_id = d.doc_id
+""")
+def language_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document is in the language that is asked for, as detected, and has any text."""
+    requested = F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")
+    has_text = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return _detected(spark, sf_dir).select("doc_id", "lang", F.coalesce(F.col("detected") == requested, F.lit(False)).alias("matches"), has_text.alias("has_text"))
+
+
+_WORD_LCS = """list_last(list_reduce(list_transform(a, lambda w: [w]), lambda prev, cur:
+  list_reduce(list_transform(b, lambda w: [w]), lambda acc, x: list_append(acc, CASE WHEN cur[1] = x[1] THEN CAST(CAST(prev[len(acc)] AS INT) + 1 AS VARCHAR)
+    ELSE CAST(greatest(CAST(prev[len(acc) + 1] AS INT), CAST(list_last(acc) AS INT)) AS VARCHAR) END), ['0']),
+  list_transform(range(0, len(b) + 1), lambda z: '0')))"""
+
+
+@query(rf"""
+WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS o, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS n FROM conversations),
+t AS (SELECT *, regexp_extract_all(o, '\s+|\S+\s*') AS a, regexp_extract_all(n, '\s+|\S+\s*') AS b FROM p),
+l AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE CAST({_WORD_LCS} AS BIGINT) END AS same FROM t)
+SELECT conv_id, turn, same, len(a) - same AS removed, len(b) - same AS added, md5(o) AS old_md5, md5(n) AS new_md5 FROM l
+""")
+def word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn and the next as two versions: words kept, removed and added by a shortest edit script, and both versions
+    built again from it."""
+    following = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    d = read(spark, sf_dir, "conversations").select("conv_id", "turn", word_diff.word_diff(F.col("text"), following).alias("d"))
+    of = lambda *kinds: F.array_join(F.transform(F.filter("d", lambda x: x["kind"].isin(*kinds)), lambda x: x["text"]), "")
+    n = lambda kind: F.aggregate(F.filter("d", lambda x: x["kind"] == kind), F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    return d.select("conv_id", "turn", n("same").alias("same"), n("removed").alias("removed"), n("added").alias("added"), F.md5(of("same", "removed")).alias("old_md5"), F.md5(of("same", "added")).alias("new_md5"))
 
 
 @query(f"""

@@ -45,16 +45,6 @@ def document_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("n"), (F.count("*") > 6).alias("too_many"), F.bool_and(F.col("turn") < 5).alias("only_first_pages"), (F.sum(first) == 0).alias("image_based"))
 
 
-@query(r"""
-SELECT doc_id, lang, lang = requested AS matches, CASE WHEN length(trim(text)) > 0 AND regexp_matches(text, '[\p{L}\p{N}]') THEN true ELSE false END AS has_text
-FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'fr' END AS requested FROM documents)
-""")
-def language_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    requested = F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")
-    return d.select("doc_id", "lang", (F.col("lang") == requested).alias("matches"), (F.col("text").rlike(r"[\p{L}\p{N}]") & (F.length(F.trim("text")) > 0)).alias("has_text"))
-
-
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring')")
 def termbase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.lower(F.lit("Ring"))
