@@ -128,3 +128,16 @@ def until_ended(start: Callable[[], StreamingQuery], ended: Callable[[], bool],
         if ended():
             return n
     raise RuntimeError(f"the stream did not end after {most} restarts")
+
+
+def answered_starts(starts: DataFrame, calls: DataFrame, within: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """run, id, started_at, args, called_at, content: tool starts(run, id, ts, args) with the calls(run, id, ts, content) that answer
+    them within that time; starts without one follow, with nulls, when the watermark shows that none can come.
+
+    Streams are joined on run and id with bounded state; tables by the same condition give the same rows.
+    """
+    if starts.isStreaming:
+        starts, calls = starts.withWatermark("ts", late), calls.withWatermark("ts", late)
+    s, c = starts.alias("s"), calls.alias("c")
+    on = (F.col("s.run") == F.col("c.run")) & (F.col("s.id") == F.col("c.id")) & (F.col("c.ts") >= F.col("s.ts")) & (F.col("c.ts") <= F.col("s.ts") + F.expr(f"interval {within}"))
+    return s.join(c, on, "left").select("s.run", "s.id", F.col("s.ts").alias("started_at"), "s.args", F.col("c.ts").alias("called_at"), "c.content")
