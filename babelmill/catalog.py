@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from babelmill.plans import block_queries, dialogue_queries, file_queries, more_queries  # noqa: F401  (register their queries)
+from babelmill.plans import block_queries, dialogue_queries, file_queries, more_queries, rule_queries  # noqa: F401  (register their queries)
 from babelmill.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "segments"

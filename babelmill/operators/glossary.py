@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from babelmill.functions.text import normalised_term
 
-#: Rows of a glossary that a broadcast may hold.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of texts, of a glossary that a broadcast may hold.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def side(df: DataFrame) -> DataFrame:
-    """Broadcast below a checked number of rows, an ordinary join side beyond."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast below a checked number of rows and bytes, an ordinary join side beyond."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -54,9 +56,10 @@ def override_terms(terms: DataFrame, glossary: DataFrame, tenths: int = 9) -> Da
     longest = F.greatest(F.length("t"), F.length("g"))
     distance = F.levenshtein("t", "g")
     found = parts.join(side(index), "piece").where(distance * 10 <= longest * (10 - tenths))
-    # Exact order without floats: smaller distance / longer length first.
-    found = found.select("pos", "id", "target_term", F.round(1 - distance / longest, 9).alias("similarity")).distinct()
-    best = found.groupBy("pos").agg(F.min_by(F.struct("target_term", "similarity"), F.struct(-F.col("similarity"), F.col("id"))).alias("b"))
+    # Order by distance / longer length as a decimal: two that differ do so by more than its last place.
+    exact = (distance.cast("decimal(9,0)") / longest.cast("decimal(9,0)")).cast("decimal(38,24)")
+    found = found.select("pos", "id", "target_term", F.round(1 - distance / longest, 9).alias("similarity"), exact.alias("_far")).distinct()
+    best = found.groupBy("pos").agg(F.min_by(F.struct("target_term", "similarity"), F.struct("_far", "id")).alias("b"))
     return t.join(best, "pos", "left").select("pos", "term", F.coalesce("b.target_term", "translation").alias("translation"), "b.similarity")
 
 
