@@ -16,8 +16,8 @@ segment asks for the counts of just the n-grams it holds, packed by bucket of th
 segments counted and answers each of them; a segment then has its part of the automaton and is traversed. N-grams are
 counted in segments first, so a hot one costs a segment one key. Buckets grow in number with the corpus, so that one
 fits a task; a bucket row of a segment never is more than the n-grams it holds. Keys of n-grams have KEY_BITS bits beside
-their bucket, 48 of them a hash: of about a million n-grams of an order in a bucket, two are expected to share a key, and so
-their counts, in one of some 500 buckets. All 64 bits would need more disk than the query may use.
+their bucket, 46 of them a hash: of about a million n-grams of an order in a bucket, two are expected to share a key, and so
+their counts, in one of some 128 buckets. All 64 bits would need more disk than the query may use.
 
 Defined cases: null text is empty and has the end token alone; a null doc_id counts as the text '' and is for
 training; repeated rows count as often as they stand there; with no training text every token has p = 1 / 1; a very
@@ -45,7 +45,7 @@ MASS = (500.0, 4.0)
 #: Tokens of a segment, and tokens of the corpus for each bucket.
 SEGMENT_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1 << 19, 1 << 20, 64
 #: Bits of an n-gram's key beside its bucket; the two lowest are its order.
-KEY_BITS = 50
+KEY_BITS = 48
 END, START = np.uint64(0xE0E0E0E0E0E0E0E1), np.uint64(0xB0B0B0B0B0B0B0B1)
 FOLDS, HELD_OUT = 7, 2
 SEGMENTS = "segment long, doc_ids array<long>, held_out array<boolean>, n_tokens array<int>, vocabulary binary, tokens binary"
