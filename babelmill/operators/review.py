@@ -49,6 +49,11 @@ def neighbours(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return rows.withColumns({"previous_text": F.lag(text, 1, "").over(w), "next_position": F.lead(order).over(w), "number": F.row_number().over(w)})
 
 
+def display_numbers(rows: DataFrame, key: str, page: str, block: str) -> DataFrame:
+    """rows with `number`: from 1 on over all pages of a document, blocks of a page in order."""
+    return rows.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy(page, block)).cast("long"))
+
+
 def circular_next(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = W.partitionBy(key).orderBy(order)
     ends = W.partitionBy(key)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelmill.functions import text as tx
-from babelmill.operators import glossary, guards
+from babelmill.operators import glossary, guards, review
+from babelmill.operators.styles import mirrored
 from babelmill.plans.file_queries import _TURNS_SQL, _turns
-from babelmill.plans.queries import query, read
-from babelmill.sources import exchange
+from babelmill.plans.queries import _sentence_sql, query, read
+from babelmill.sources import exchange, writers
 
 _SHAPES = """CASE event_id % 4 WHEN 0 THEN '{"id": "' || event_id || '", "translated_text": "t"}' WHEN 1 THEN '{"translated_text": "t"}' WHEN 2 THEN '{"id": "' || event_id || '"}' ELSE '{}' END"""
 
@@ -129,3 +130,48 @@ def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = pick(0, F.col("w")[2]).unionByName(pick(1, F.concat_ws(" ", F.col("w")[0], F.col("w")[1]))).withColumn("target_term", F.lit("t"))
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")
     return glossary.terms_in_segments(d, g).select(F.col("segment_id").alias("doc_id"), "id")
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS page, l_partkey AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS number
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)
+""")
+def display_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of blocks over all pages of a document."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("page"), F.col("l_partkey").alias("block")).distinct()
+    return review.display_numbers(lines, "l_orderkey", "page", "block")
+
+
+_SCRIPTS = "CASE doc_id % 3 WHEN 0 THEN substr(coalesce(text, ''), 1, 20) || ' نص' WHEN 1 THEN coalesce(text, '') ELSE 'ARABIC?' END"
+
+
+@query(f"SELECT doc_id, regexp_matches({_SCRIPTS}, '[؀-ۿ]') AS arabic, CASE WHEN regexp_matches({_SCRIPTS}, '[؀-ۿ]') THEN 'right' ELSE NULL END AS side FROM documents")
+def arabic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in Arabic script, and the side on which a paragraph of them begins that says nothing."""
+    text = F.expr(_SCRIPTS)
+    d = read(spark, sf_dir, "documents").select("doc_id", tx.is_arabic(text).alias("arabic"))
+    return d.select("doc_id", "arabic", F.when(F.col("arabic"), mirrored(F.lit(None).cast("string"))).alias("side"))
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, n, x, (['Heading1', 'Title', 'ListBullet', 'Caption', 'Normal'])[n % 5 + 1] AS style FROM {_TURNS_SQL} WHERE x <> '')
+SELECT conv_id, n, style, CASE n % 5 WHEN 0 THEN 'Section-header' WHEN 1 THEN 'Title' WHEN 2 THEN 'List-item' WHEN 3 THEN 'Caption' ELSE CASE WHEN n % 2 = 0 THEN 'List-item' ELSE 'Text' END END AS type,
+  CASE WHEN n % 3 = 0 THEN 'Arial' END AS font, CASE WHEN n % 2 = 0 THEN 10.5::DOUBLE END AS size, CASE n % 3 WHEN 0 THEN true WHEN 1 THEN false END AS bold, CASE WHEN n % 4 = 0 THEN 'FF0000' END AS color
+FROM t WHERE len({_sentence_sql('x')}) > 0
+""")
+def docx_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block types and formats of DOCX paragraphs whose first run is blank and formatted otherwise."""
+    n = F.col("n")
+    names = F.array(*map(F.lit, ("Heading1", "Title", "ListBullet", "Caption", "Normal")))
+    when = lambda c, xml: F.when(c, xml).otherwise("")
+    run = F.concat(
+        F.lit('<w:r><w:rPr><w:b/><w:sz w:val="99"/></w:rPr><w:t xml:space="preserve"> </w:t></w:r><w:r><w:rPr>'), when(n % 3 == 0, '<w:rFonts w:ascii="Arial"/><w:b/>'),
+        when(n % 3 == 1, '<w:b w:val="0"/>'), when(n % 4 == 0, '<w:color w:val="FF0000"/>'), when(n % 4 == 1, '<w:color w:val="auto"/>'), when(n % 2 == 0, '<w:sz w:val="21"/>'),
+        F.lit('</w:rPr><w:t xml:space="preserve">'), tx.escape_xml(F.col("x")), F.lit("</w:t></w:r>"),
+    )
+    numbered = when((n % 5 == 4) & (n % 2 == 0), '<w:numPr><w:numId w:val="1"/></w:numPr>')
+    paragraph = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="'), names[(n % 5).cast("int")], F.lit('"/>'), numbered, F.lit("</w:pPr>"), run, F.lit("</w:p>"))
+    made = _turns(spark, sf_dir).groupBy(F.col("conv_id").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("n", paragraph.alias("p")))).alias("p"))
+    files = writers.packed(made.select("document_id", F.array_join(F.transform("p", lambda p: p["p"]), "").alias("body"), F.lit(None).cast("string").alias("footer")))
+    b = exchange.docx_blocks(exchange.parsed(files, exchange.docx_paragraphs, exchange.DOCX)).where("i = 0")
+    return b.select(F.col("path").cast("long").alias("conv_id"), (F.col("element") + 1).cast("long").alias("n"), "style", "type", "font", "size", "bold", "color")

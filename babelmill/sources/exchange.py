@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelmill.functions.segmentation import sentences
-from babelmill.functions.text import language_matches
+from babelmill.functions.text import block_type, language_matches
 
 XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -143,20 +143,37 @@ def docx_parts(names: list[str]) -> list[tuple[str, str]]:
 
 
 def docx_paragraphs(content: bytes) -> list[tuple]:
-    """part, element, row, col, text, style of the paragraphs and cells of header, body and footer; the schema is DOCX."""
+    """part, element, row, col, text, style of the paragraphs and cells of header, body and footer, whether they are numbered, and the
+    format of their first run with text; the schema is DOCX."""
     out: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for part, name in docx_parts(z.namelist()):
             for element, node in docx_elements(ET.fromstring(z.read(name)), part):
                 if node.tag == f"{WORD}p":
                     style = node.find(f"{WORD}pPr/{WORD}pStyle")
-                    out.append((part, element, None, None, paragraph_text(node), style.get(f"{WORD}val") if style is not None else None))
+                    numbered = node.find(f"{WORD}pPr/{WORD}numPr") is not None
+                    out.append((part, element, None, None, paragraph_text(node), style.get(f"{WORD}val") if style is not None else None, numbered, *run_format(node)))
                 else:
                     for r, c, cell in owned_cells(node):
-                        out.append((part, element, r, c, "\n".join(map(paragraph_text, cell.findall(f"{WORD}p"))).strip(), "Table"))
+                        first = cell.find(f"{WORD}p")
+                        held = run_format(first) if first is not None else (None,) * 6
+                        out.append((part, element, r, c, "\n".join(map(paragraph_text, cell.findall(f"{WORD}p"))).strip(), "Table", False, *held))
     return out
 
 
+def run_format(paragraph: ET.Element) -> tuple:
+    """font, size in points, bold, italic, underline, color of the first run that holds text; null where it says nothing."""
+    for run in paragraph.iter(f"{WORD}r"):
+        if not "".join(t.text or "" for t in run.iter(f"{WORD}t")).strip():
+            continue
+        held = {name_of(e): e for e in run.find(f"{WORD}rPr") or ()}
+        of = lambda name, attribute="val": held[name].get(f"{WORD}{attribute}") if name in held else None  # noqa: B023, E731
+        switch = lambda name: (of(name) or "1").lower() not in ("0", "false", "off", "none") if name in held else None  # noqa: B023, E731
+        size, color = of("sz"), of("color")
+        return of("rFonts", "ascii"), float(size) / 2 if size else None, switch("b"), switch("i"), switch("u"), color if color != "auto" else None
+    return (None,) * 6
+
+
 def docx_elements(root: ET.Element, part: str) -> list[tuple[int, ET.Element]]:
     """Place among all elements of a part, and element, of its paragraphs and tables."""
     top = root.find(f"{WORD}body") if part == "body" else root
@@ -187,16 +204,19 @@ def paragraph_text(node: ET.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{WORD}t")).strip()
 
 
-DOCX = "part string, element int, row int, col int, text string, style string"
+FORMAT = "font string, size double, bold boolean, italic boolean, underline boolean, color string"
+DOCX = f"part string, element int, row int, col int, text string, style string, numbered boolean, {FORMAT}"
 
 
 def docx_blocks(paragraphs: DataFrame) -> DataFrame:
     """Sentence blocks of paragraphs (id element_i) and whole cells (id element_row_col); in other parts than the body ids
-    begin with the part (`header/0_0`). key is the id of the whole paragraph or cell."""
+    begin with the part (`header/0_0`). key is the id of the whole paragraph or cell, type its kind of block."""
     p = paragraphs.where("error is null and text <> ''")
     cell = F.col("row").isNotNull()
     pieces = F.when(cell, F.array("text")).otherwise(sentences(F.col("text")))
-    b = p.select("path", "part", "element", "row", "col", "style", F.posexplode(pieces).alias("i", "text"))
+    kind = F.when(cell, "Table").otherwise(block_type(F.col("style"), F.col("numbered")))
+    held = [c.split()[0] for c in FORMAT.split(", ")]
+    b = p.select("path", "part", "element", "row", "col", "style", kind.alias("type"), *held, F.posexplode(pieces).alias("i", "text"))
     at = F.when(F.col("part") == "body", "").otherwise(F.concat("part", F.lit("/")))
     whole = F.concat(at, F.when(cell, F.concat_ws("_", "element", "row", "col")).otherwise(F.col("element").cast("string")))
     return b.withColumn("key", whole).withColumn("id", F.when(cell, whole).otherwise(F.concat_ws("_", whole, "i")))

@@ -112,3 +112,10 @@ def test_empty_sides(spark):
     q, m = spark.createDataFrame([("1", "a b")], none_q.schema), spark.createDataFrame([(1, "b a", "t"), (2, None, "t")], none_m.schema)
     assert memory.search_memory(none_q, m).collect() == [] and memory.search_memory(q, none_m).collect() == []
     assert [(r.hits, r.best) for r in memory.hits(q, m).collect()] == [(1, 100.0)] and [r.hits for r in memory.hits(q, none_m).collect()] == [0]
+
+
+def test_mode_and_number_are_checked(spark):
+    q, m = spark.createDataFrame([("1", "a")], "query_id string, text string"), spark.createDataFrame([(1, "a", "t")], "position long, source_text string, target_text string")
+    for mode, k in (("words", 5), ("char", 0), ("token", 21)):
+        with pytest.raises(ValueError, match="mode is token or char"):
+            memory.search_memory(q, m, mode, k)

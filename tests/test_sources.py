@@ -167,3 +167,9 @@ def test_assembled_docx(spark):
     xml = zipfile.ZipFile(io.BytesIO(made["d"])).read("word/document.xml").decode()
     assert xml.count('w:type="page"') == 2 and '<w:bidi/><w:jc w:val="right"/>' in xml
     assert scanned(held(spark, made["e"])).collect() == []
+
+
+def test_terms_as_a_workbook(spark, tmp_path):
+    terms = spark.createDataFrame([("a, b", 'say "x"'), ("é", "نص")], "term string, translation string")
+    writers.write_terms(terms, str(tmp_path / "terms"))
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").option("escape", "\\").csv(str(tmp_path / "terms")).collect()) == [("a, b", 'say "x"'), ("é", "نص")]
