@@ -11,6 +11,16 @@ from babelmill.operators.review import eta_seconds
 TERMINAL = ("done", "error", "cancelled")
 
 
+def new_jobs(requests: DataFrame, *key: str) -> DataFrame:
+    """Job records of requests(file_type, source_lang, target_lang, ...): columns that a request lacks are null, the status is
+    `running`. job_id is made from the columns of `key`, so a request sent again names the same job."""
+    digest = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in key]).cast("binary"))
+    at = lambda a, n: F.substring(digest, a, n)
+    job_id = F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12))
+    optional = [F.col(c) if c in requests.columns else F.lit(None).cast("string").alias(c) for c in ("file_name", "glossary_id", "tm_id", "user_id")]
+    return requests.select(job_id.alias("job_id"), "file_type", "source_lang", "target_lang", *optional, F.lit("running").alias("status"))
+
+
 def sequenced(events: DataFrame) -> DataFrame:
     """events(job_id, ts, event_id, ...) with a dense seq from 1 in each job."""
     return events.withColumn("seq", F.row_number().over(W.partitionBy("job_id").orderBy("ts", "event_id")))

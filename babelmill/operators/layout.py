@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from babelmill.functions.segmentation import grouped, sentences
+from babelmill.functions.segmentation import grouped, sentences, strip
 from babelmill.operators.lineage import stored
 
 
@@ -119,5 +119,14 @@ def page_text(regions: DataFrame, tables: DataFrame, lines: DataFrame, together:
     return pieces.select("page", place.alias("place"), kind.alias("type"), F.col("segment").alias("text"))
 
 
+def table_cells(tables: DataFrame) -> DataFrame:
+    """page, num, row, col, rows, cols, text of the cells with text of tables(page, num, data array<array<string>>): a table has as many
+    columns as its longest row, and blank or missing cells are left out but count."""
+    sizes = F.transform("data", lambda r: F.coalesce(F.size(r), F.lit(0)))
+    rows = tables.select("page", "num", F.size("data").alias("rows"), F.array_max(sizes).alias("cols"), F.posexplode("data").alias("row", "_row"))
+    cells = rows.select("page", "num", "row", F.posexplode("_row").alias("col", "text"), "rows", "cols")
+    return cells.where(F.coalesce(strip(F.col("text")), F.lit("")) != "").select("page", "num", "row", "col", "rows", "cols", "text")
+
+
 def reading_order() -> list[Column]:
     return [F.bround("y1"), F.col("x1"), F.col("pos")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelmill.functions import text as tx
-from babelmill.operators import glossary, guards, review
+from babelmill.operators import glossary, guards, jobs, layout, review
 from babelmill.operators.styles import mirrored
 from babelmill.plans.file_queries import _TURNS_SQL, _turns
 from babelmill.plans.queries import _sentence_sql, query, read
@@ -175,3 +175,36 @@ def docx_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = writers.packed(made.select("document_id", F.array_join(F.transform("p", lambda p: p["p"]), "").alias("body"), F.lit(None).cast("string").alias("footer")))
     b = exchange.docx_blocks(exchange.parsed(files, exchange.docx_paragraphs, exchange.DOCX)).where("i = 0")
     return b.select(F.col("path").cast("long").alias("conv_id"), (F.col("element") + 1).cast("long").alias("n"), "style", "type", "font", "size", "bold", "color")
+
+
+_CELLS = "[l_returnflag, CASE WHEN l_quantity > 25 THEN '  ' ELSE l_linestatus END, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END][1:2 + l_linenumber % 2]"
+
+
+@query(f"""
+WITH d AS (SELECT l_orderkey, list({_CELLS} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS data FROM lineitem GROUP BY 1),
+r AS (SELECT l_orderkey, len(data) AS rows, list_max(list_transform(data, lambda x: len(x))) AS cols, unnest(data) AS cells, unnest(range(len(data))) AS row FROM d),
+c AS (SELECT l_orderkey, rows, cols, row, unnest(cells) AS text, unnest(range(len(cells))) AS col FROM r)
+SELECT l_orderkey AS page, 0 AS num, row, col, rows, cols, text FROM c WHERE trim(coalesce(text, '')) <> ''
+""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of orders as cells with their places; rows differ in length, and some cells are blank or missing."""
+    cells = F.array("l_returnflag", F.when(F.col("l_quantity") > 25, "  ").otherwise(F.col("l_linestatus")), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_partkey").cast("string")))
+    cells = F.slice(cells, F.lit(1), (2 + F.col("l_linenumber") % 2).cast("int"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", cells.alias("cells"))
+    data = F.transform(F.array_sort(F.collect_list(order)), lambda x: x["cells"])
+    tables = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(data.alias("data")).withColumn("num", F.lit(0))
+    return layout.table_cells(tables)
+
+
+_DIGEST = "md5(page_id || chr(31) || coalesce(url, chr(0)))"
+
+
+@query(f"""
+SELECT substr({_DIGEST}, 1, 8) || '-' || substr({_DIGEST}, 9, 4) || '-' || substr({_DIGEST}, 13, 4) || '-' || substr({_DIGEST}, 17, 4) || '-' || substr({_DIGEST}, 21, 12) AS job_id,
+       'xliff' AS file_type, 'en' AS source_lang, 'ar' AS target_lang, url AS file_name, CAST(NULL AS VARCHAR) AS glossary_id, CAST(NULL AS VARCHAR) AS tm_id, 'u' || page_id % 7 AS user_id, 'running' AS status FROM pages
+""")
+def new_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job records of requests for all pages."""
+    said = lambda name, value: F.lit(value).alias(name)
+    requests = read(spark, sf_dir, "pages").select("page_id", "url", said("file_type", "xliff"), said("source_lang", "en"), said("target_lang", "ar"), F.col("url").alias("file_name"), F.concat(F.lit("u"), F.col("page_id") % 7).alias("user_id"))
+    return jobs.new_jobs(requests, "page_id", "url")
