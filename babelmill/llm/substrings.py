@@ -11,9 +11,9 @@ backward search: each step takes the interval of the match one word to the left
 them; the statistic kept is the least id among the documents of the interval. Where it is smaller than the streamed
 document's, the window is reported, and windows that follow each other as one interval.
 
-An anchor in more than a bounded number of classes would make one shard hot. Its windows are therefore cut singly, dealt by their own
-128-bit hashes, and pre-aggregated to the least id in each task before the shuffle; one window is then all there is to
-a key and nothing is left to search for.
+An anchor whose segments have more than HOT pieces of words (or the HOT_KEYSth part of all, if that is more) would make one
+shard hot. Its windows are therefore cut singly, dealt by their own 128-bit hashes, and pre-aggregated to the least id in
+each task before the shuffle; one window is then all there is to a key and nothing is left to search for.
 
 Defined cases: null and blank texts have no words, n_removed 0; texts shorter than a window lose nothing; a null doc_id
 counts as larger than all others; rows of one doc_id don't take words from each other, repeated rows neither; of exact copies the rows
@@ -41,7 +41,7 @@ from babelmill.llm.common import column, row_key, stored, table, whole_row
 WINDOW, GRAM, SHARD = 50, 8, 1 << 20
 #: Windows that a piece of a long segment owns when it is streamed.
 PIECE = 128
-#: A key with more rows than this, or with more than the 2**20th part of all rows, is hot: so there are at most 2**20 hot ones.
+#: A key with more rows (an anchor: pieces of words) than this, or with more than the 2**20th part of all rows, is hot: so there are at most 2**20 hot ones.
 HOT, HOT_KEYS = 1 << 13, 1 << 20
 #: Bytes of text that are described or cut at once, beyond the last one.
 BATCH = 4 << 20
@@ -437,10 +437,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFr
     classes = stored(classes.select("words", "n", "one.place", "one.row_id", "anchors", "starts", "runs", F.monotonically_increasing_id().alias("cid")), "substring-classes")
     zipped = F.arrays_zip(F.col("anchors").alias("anchor"), F.col("starts").alias("start"), F.col("runs").alias("run"))
     segments = classes.select("cid", F.explode(zipped).alias("s")).select("cid", "s.anchor", "s.start", "s.run")
-    counts = segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("anchor", "n")
+    # An anchor's size is that of its words, in pieces: a few long repetitions are as much as many common segments.
+    pieces = F.sum(F.ceil((F.col("run") + (window - 1)) / PIECE)).cast("long")
+    counts = segments.groupBy("anchor").agg(pieces.alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("anchor", "n")
     counts = stored(counts, "substring-anchors")
-    n_segments = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot, cold = (stored(x, "substring-segments") for x in split_hot(segments, counts, ["anchor"], limit_of(n_segments)))
+    n_pieces = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, cold = (stored(x, "substring-segments") for x in split_hot(segments, counts, ["anchor"], limit_of(n_pieces)))
     wanted = stored(hot.select("cid").union(cold.select("cid")).distinct().join(classes.select("cid", "place", "row_id"), "cid"), "substring-wanted")
     ids = F.broadcast(wanted) if wanted.count() <= HOT_KEYS else wanted
     texts = stored(docs.select("row_id", "text").join(ids, "row_id").dropDuplicates(["cid"]).select("cid", "place", "text"), "substring-texts")
