@@ -26,13 +26,14 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelmill.llm import textnum as tn
@@ -264,10 +265,25 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def sampled(told: DataFrame, rows: int = TABLE_ROWS) -> DataFrame:
-    """label, features of at most so many of each label: the first by hash, each distinct finding once."""
-    each = told.where(~is_held_out(F.col("doc_id"))).groupBy("digest", "label").agg(F.min("features").alias("features"))
-    n = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(SEED), "digest"), "digest"))  # cut in each task first
-    return each.withColumn("_n", n).where(F.col("_n") <= rows).select("label", "features")
+    """label, features of at most so many of each label: the first by hash, each distinct finding once.
+
+    Only findings whose hash lies below a bound are gathered: a bound that lets some times as many pass as are wanted, raised
+    until enough distinct ones do. So no more than that is shuffled, whatever the corpus holds.
+    """
+    top = 1 << 31
+    told = told.where(~is_held_out(F.col("doc_id"))).withColumn("_h", F.pmod(F.xxhash64(F.lit(SEED), "digest"), F.lit(top)))
+    parts = []
+    for label, n in ((r["label"], r["count"]) for r in told.groupBy("label").count().collect()):  # two labels
+        times = 8
+        while True:
+            bound = min(top, top * times * rows // n)
+            some = told.where((F.col("label") == label) & (F.col("_h") < bound))
+            some = stored(some.groupBy("digest", "label", "_h").agg(F.min("features").alias("features")), "secret-sample")
+            if bound == top or some.count() >= rows:
+                break
+            times *= 16
+        parts.append(some.orderBy("_h", "digest").limit(rows).select("label", "features"))
+    return reduce(DataFrame.unionByName, parts) if parts else told.select("label", "features")
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:

@@ -46,6 +46,16 @@ def test_sample_is_bounded_and_distinct(spark):
     rows = secrets.sampled(told, 10).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in rows} == {0.0: 10, 1.0: 10}
     assert secrets.sampled(told).count() == 50
+    assert secrets.sampled(told.where("false")).count() == 0
+
+
+def test_sample_does_not_depend_on_copies_or_partitions(spark):
+    """The first findings by hash, also where one finding is repeated very often, so that the bound has to be raised."""
+    row = lambda i, digest: (i, digest, 1.0, [float(len(digest) + i % 1)] * len(secrets.FEATURES))
+    rows = [row(i, f"d{i}") for i in range(40)] + [row(i, "again") for i in range(4000)]
+    made = lambda held, n: spark.createDataFrame(held, "doc_id long, digest string, label double, features array<double>").repartition(n)
+    taken = lambda df: sorted(map(str, secrets.sampled(df, 12).collect()))
+    assert taken(made(rows, 5)) == taken(made(rows[::-1], 2)) and len(taken(made(rows, 3))) == 12
 
 
 def test_dictionary_is_counted_from_all_texts(spark):
