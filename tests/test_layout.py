@@ -66,3 +66,12 @@ def test_empty_sides(spark):
     none, some = spark.createDataFrame([], BOX), spark.createDataFrame(made(1, 5, 1), BOX)
     assert layout.overlapping(none, some).collect() == [] and layout.suppress(none).collect() == []
     assert layout.outside_tables(some, none).count() == some.count()
+
+
+def test_spatial_lines_meet_on_pages_that_grow(spark):
+    """Fifty pages at every size, so lines meet boxes of the whole page before, not of forty rows."""
+    from babelmill import catalog
+
+    pages = {s: {r.page for r in catalog.QUERIES["spatial_lines"](spark, f"/root/testdata/sf{s}").select("page").distinct().collect()} for s in ("0.01", "0.1")}
+    assert pages["0.1"] == set(range(2, 50, 2)) and pages["0.01"] <= pages["0.1"]  # rows of even keys
+    assert catalog.QUERIES["spatial_lines"](spark, "/root/testdata/sf0.1").count() == 6120  # by DuckDB, all pairs of a page
