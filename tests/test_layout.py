@@ -75,3 +75,12 @@ def test_spatial_lines_meet_on_pages_that_grow(spark):
     pages = {s: {r.page for r in catalog.QUERIES["spatial_lines"](spark, f"/root/testdata/sf{s}").select("page").distinct().collect()} for s in ("0.01", "0.1")}
     assert pages["0.1"] == set(range(2, 50, 2)) and pages["0.01"] <= pages["0.1"]  # rows of even keys
     assert catalog.QUERIES["spatial_lines"](spark, "/root/testdata/sf0.1").count() == 6120  # by DuckDB, all pairs of a page
+
+
+def test_boxes_outside_tables_meet_on_pages_that_grow(spark):
+    """A page's boxes are tried against all tables of a fiftieth of the rows."""
+    from babelmill import catalog
+
+    got = catalog.QUERIES["boxes_outside_tables"](spark, "/root/testdata/sf0.1")
+    assert {r.page for r in got.select("page").distinct().collect()} <= set(range(50))
+    assert got.count() == 1369  # by DuckDB, all pairs of a page
