@@ -75,3 +75,17 @@ def test_language_model_is_the_same_however_texts_are_dealt(spark):
     assert rows(language.trained(d.repartition(7))) == rows(language.trained(d.coalesce(1)))
     twice = spark.createDataFrame([("abc", "a"), ("abd", "b"), ("", "c"), (None, "d"), ("abcd", None)], "text string, lang string")
     assert rows(language.trained(twice)) == [("a", (961 * 97 + 31 * 98 + 99) % 4096, 1), ("b", (961 * 97 + 31 * 98 + 100) % 4096, 1)]
+
+
+def test_edits_of_long_and_short_versions_are_one_script(monkeypatch):
+    """Rows of bits and bands give the same script, also where a place of bits is a large integer; a few thousand different words
+    take no band for each edit."""
+    r = random.Random(5)
+    for n, m, words in [(0, 9, 3), (60, 75, 4), (300, 280, 40), (5000, 4500, 900)]:
+        a, b = (np.array([r.randrange(words) for _ in range(k)], np.int64) for k in (n, m))
+        rows, bands = word_diff._edits_in_rows(a, b), word_diff._edits_in_bands(a, b, n + m)
+        assert all((x == y).all() for x, y in zip(rows, bands, strict=True))
+    monkeypatch.setattr(word_diff, "_widened", None)
+    gone, new = word_diff.edits(a[:3000], b[:3000])
+    assert gone.sum() == new.sum()
+    assert word_diff.differences("x " * 4000, "y " * 4000)[0]["words"] == 4000
