@@ -143,5 +143,5 @@ def tbx_two_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     third = F.when(F.col("p_partkey") % 5 == 0, said("de", F.lit("x"))).otherwise("")
     concept = F.concat(F.lit("<termEntry>"), said("en", F.col("s")), said("fr", F.col("t")), third, F.lit("</termEntry>"))
-    found = exchange.two_languages(exchange.parsed(_files(p, "p_size", "n", "<martif><text><body>", concept, "</body></text></martif>"), exchange.tbx_terms, exchange.TBX))
+    found = exchange.two_languages(exchange.parsed(_files(p, "p_size", "n", "<martif><text><body>", concept, "</body></text></martif>"), exchange.tbx_rows, exchange.TBX))
     return found.select(F.col("path").cast("long").alias("p_size"), "source_term", "target_term", F.col("position").cast("long"))

@@ -62,7 +62,7 @@ def tbx_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda lang, c: F.concat(F.lit(f'<langSet xml:lang="{lang}"><tig><term>'), tx.escape_xml(F.col(c)), F.lit("</term></tig></langSet>"))
     concept = F.concat(F.lit("<termEntry>"), said("en", "s"), said("fr-FR", "t"), F.lit("</termEntry>"))
     files = _files(parts, "p_size", "n", "<martif><text><body>", concept, "</body></text></martif>")
-    found = exchange.glossary_of(exchange.parsed(files, exchange.tbx_terms, exchange.TBX), "en", "fr")
+    found = exchange.glossary_of(exchange.parsed(files, exchange.tbx_rows, exchange.TBX), "en", "fr")
     return found.select(F.col("path").cast("long").alias("p_size"), "source_term", "target_term", F.col("position").cast("long"))
 
 

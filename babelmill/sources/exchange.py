@@ -1,6 +1,6 @@
 """Exchange files as DataFrames: TMX, TBX, XLIFF and DOCX, one task a file, from spark.read.format("binaryFile").
 
-Each parser is a small per-file function inside mapInPandas; files that can't be parsed give one row with `error`.
+Each parser is a small per-file function inside mapInArrow; files that can't be parsed give one row with `error`.
 """
 
 from __future__ import annotations
@@ -8,10 +8,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,20 +29,32 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def parsed(source: DataFrame, parser: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
-    """The rows that parser finds in each file, with its path and an error column."""
+#: Rows, files and bytes that a task gathers at most before it hands them on.
+ROWS, FILES, BYTES = 4096, 256, 1 << 24
+TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def parsed(source: DataFrame, parser: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that parser finds in each file, with its path and an error column. A parser that gives rows one by one must
+    raise its errors before the first."""
     names = [c.split()[0] for c in schema.split(", ")]
+    made = pa.schema([("path", pa.string()), *[(c.split()[0], TYPES[c.split()[1]]) for c in schema.split(", ")], ("error", pa.string())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame.path, frame.content, strict=True):
-                try:
-                    rows = [(path, *row, None) for row in parser(bytes(content))]
-                except (ET.ParseError, zipfile.BadZipFile, KeyError) as e:
-                    rows = [(path, *[None] * len(names), f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["path", *names, "error"], dtype=object)
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for row in parser(content):
+                yield (path, *row, None)
+        except (ET.ParseError, zipfile.BadZipFile, KeyError) as e:
+            yield (path, *[None] * len(names), f"{type(e).__name__}: {e}")
 
-    return source.mapInPandas(run, f"path string, {schema}, error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One file at a time as Python's bytes, and rows handed on by number, not by file.
+            every = (row for path, content in zip(batch.column("path"), batch.column("content"), strict=True) for row in rows_of(path.as_py(), content.as_py()))
+            while held := list(islice(every, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), made, strict=True)], schema=made)
+
+    return source.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, f"path string, {schema}, error string")
 
 
 def name_of(element: ET.Element) -> str:
@@ -78,21 +92,52 @@ def pair_variants(variants: DataFrame, source: str, target: str) -> DataFrame:
     return pairs.select("path", F.col("unit_pos").alias("position"), F.col("s.text").alias("source_text"), F.col("t.text").alias("target_text"))
 
 
+class _Unheld:
+    """What a parser makes of a file that is only checked: nothing."""
+
+    def close(self) -> None:
+        pass
+
+
+def tbx_rows(content: bytes) -> Iterator[tuple]:
+    """The rows of tbx_terms one by one; of a term base, however large, only one concept is held as elements."""
+    check = ET.XMLParser(target=_Unheld())
+    for i in range(0, len(content), 1 << 16):
+        check.feed(content[i : i + (1 << 16)])
+    check.close()
+    concept_pos, above, outer = 0, [], None
+    for event, e in ET.iterparse(io.BytesIO(content), events=("start", "end")):
+        if event == "start":
+            if outer is None and name_of(e) in ("termEntry", "conceptEntry"):
+                outer = e
+            above.append(e)
+            continue
+        above.pop()
+        if e is not outer:
+            continue
+        for concept in (c for c in e.iter() if name_of(c) in ("termEntry", "conceptEntry")):
+            yield from _terms_of(concept, concept_pos)
+            concept_pos += 1
+        outer = None
+        if above:
+            above[-1].remove(e)
+
+
+def _terms_of(concept: ET.Element, concept_pos: int) -> Iterator[tuple]:
+    sections = [e for e in concept if name_of(e) in ("langSet", "langSec")]
+    for section_pos, section in enumerate(sections):
+        lang = section.get(XML_LANG) or section.get("lang")
+        groups = [g for g in section if name_of(g) in ("tig", "termSec", "ntig")]
+        for term_pos, group in enumerate(groups):
+            inner = next((e for e in group if name_of(e) == "termGrp"), None) if name_of(group) == "ntig" else group
+            term = next((e for e in inner if name_of(e) == "term"), None) if inner is not None else None
+            if term is not None and text_of(term):
+                yield concept_pos, section_pos, term_pos, lang, text_of(term)
+
+
 def tbx_terms(content: bytes) -> list[tuple]:
     """concept_pos, section_pos, term_pos, lang, term: the first term of each group; the schema is TBX."""
-    out = []
-    concepts = [e for e in ET.fromstring(content).iter() if name_of(e) in ("termEntry", "conceptEntry")]
-    for concept_pos, concept in enumerate(concepts):
-        sections = [e for e in concept if name_of(e) in ("langSet", "langSec")]
-        for section_pos, section in enumerate(sections):
-            lang = section.get(XML_LANG) or section.get("lang")
-            groups = [g for g in section if name_of(g) in ("tig", "termSec", "ntig")]
-            for term_pos, group in enumerate(groups):
-                inner = next((e for e in group if name_of(e) == "termGrp"), None) if name_of(group) == "ntig" else group
-                term = next((e for e in inner if name_of(e) == "term"), None) if inner is not None else None
-                if term is not None and text_of(term):
-                    out.append((concept_pos, section_pos, term_pos, lang, text_of(term)))
-    return out
+    return list(tbx_rows(content))
 
 
 TBX = "concept_pos int, section_pos int, term_pos int, lang string, term string"

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from babelmill.sources import exchange, writers
@@ -173,3 +174,25 @@ def test_terms_as_a_workbook(spark, tmp_path):
     terms = spark.createDataFrame([("a, b", 'say "x"'), ("é", "نص")], "term string, translation string")
     writers.write_terms(terms, str(tmp_path / "terms"))
     assert sorted(tuple(r) for r in spark.read.option("header", "true").option("escape", "\\").csv(str(tmp_path / "terms")).collect()) == [("a, b", 'say "x"'), ("é", "نص")]
+
+
+def test_a_large_term_base_is_read_concept_by_concept():
+    """Elements of concepts that are done are let go: the memory doesn't grow with the file. Errors come before any row."""
+    import tracemalloc
+
+    entry = '<termEntry><langSet xml:lang="en"><tig><term>t</term></tig></langSet><langSet xml:lang="fr"><tig><term>u</term></tig></langSet></termEntry>'
+    made = lambda n: f"<martif><text><body>{entry * n}</body></text></martif>".encode()
+    peaks = []
+    for n in (1000, 20000):
+        content = made(n)
+        tracemalloc.start()
+        last = [r for i, r in enumerate(exchange.tbx_rows(content)) if i == 2 * n - 1]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert last == [(n - 1, 1, 0, "fr", "u")]
+    assert peaks[1] < 3 * peaks[0] + (1 << 20)
+    nested = b"<a><termEntry><termEntry><langSet lang='x'><tig><term>i</term></tig></langSet></termEntry><langSet lang='y'><tig><term>o</term></tig></langSet></termEntry></a>"
+    assert exchange.tbx_terms(nested) == [(0, 0, 0, "y", "o"), (1, 0, 0, "x", "i")]
+    for broken in (made(10)[:-9], made(2).replace(b">u<", b">&none;<", 1), b""):
+        with pytest.raises(exchange.ET.ParseError):
+            next(exchange.tbx_rows(broken))
