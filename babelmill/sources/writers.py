@@ -5,10 +5,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from babelmill.functions.text import ARABIC, escape_xml, is_arabic, strip
 from babelmill.operators.keyed import concatenated, last_wins
 from babelmill.operators.styles import mirrored
-from babelmill.sources.exchange import DOCX, WORD, docx_blocks, docx_elements, docx_paragraphs, docx_parts, name_of, owned_cells, paragraph_text, parsed
+from babelmill.sources.exchange import BYTES, DOCX, FILES, WORD, docx_blocks, docx_elements, docx_paragraphs, docx_parts, name_of, owned_cells, paragraph_text, parsed
 
 
 START_TAG = re.compile(rb"<[^?!][^>]*>", re.DOTALL)
@@ -173,15 +173,34 @@ def filled_docx(content: bytes, translations: dict[str, str], font: str = "Arial
 FILLED = "path string, content binary, unmatched array<string>"
 
 
+def handed_on(rows: Iterable[tuple], schema: pa.Schema, content: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most FILES rows, and of about BYTES bytes in the column numbered `content`."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[content])
+        if len(held) == FILES or size >= BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _filled(files: DataFrame, updates: DataFrame, fill) -> DataFrame:
     held = updates.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("held"))
+    made = pa.schema([("path", pa.string()), ("content", pa.binary()), ("unmatched", pa.list_(pa.string()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [fill(bytes(c), dict(h or {})) for c, h in zip(frame.content, frame.held, strict=True)]
-            yield pd.DataFrame({"path": frame.path, "content": [d[0] for d in done], "unmatched": [d[1] for d in done]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(c) for c in ("path", "content", "held")), strict=True)
+            yield from handed_on(((p.as_py(), *fill(c.as_py(), dict(h.as_py() or []))) for p, c, h in columns), made, 1)
 
-    return files.join(held, "path", "left").mapInPandas(run, FILLED)
+    return files.join(held, "path", "left").select("path", "content", "held").mapInArrow(run, FILLED)
 
 
 def fill_xliff(files: DataFrame, translations: DataFrame) -> DataFrame:
@@ -262,11 +281,14 @@ def packed(docs: DataFrame) -> DataFrame:
     body = F.concat(F.lit(f'<w:document xmlns:w="{WORD[1:-1]}"><w:body>'), F.col("body"), linked, F.lit("</w:body></w:document>"))
     foot = F.concat(F.lit(f'<w:ftr xmlns:w="{WORD[1:-1]}">'), F.col("footer"), F.lit("</w:ftr>"))
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"path": frame.path, "content": [zipped(d, f) for d, f in zip(frame.document, frame.foot, strict=True)]})
+    made = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(c) for c in ("path", "document", "foot")), strict=True)
+            yield from handed_on(((p.as_py(), zipped(d.as_py(), f.as_py())) for p, d, f in columns), made, 1)
 
-    return docs.select(F.col("document_id").cast("string").alias("path"), body.alias("document"), foot.alias("foot")).mapInPandas(pack, "path string, content binary")
+    return docs.select(F.col("document_id").cast("string").alias("path"), body.alias("document"), foot.alias("foot")).mapInArrow(pack, "path string, content binary")
 
 
 def new_docx(rows: DataFrame) -> DataFrame:

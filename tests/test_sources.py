@@ -196,3 +196,11 @@ def test_a_large_term_base_is_read_concept_by_concept():
     for broken in (made(10)[:-9], made(2).replace(b">u<", b">&none;<", 1), b""):
         with pytest.raises(exchange.ET.ParseError):
             next(exchange.tbx_rows(broken))
+
+
+def test_files_are_handed_on_in_small_batches():
+    """A task gathers neither many files nor many bytes before it hands them on."""
+    schema = writers.pa.schema([("path", writers.pa.string()), ("content", writers.pa.binary())])
+    sizes = [b.num_rows for b in writers.handed_on(((str(i), b"x") for i in range(1000)), schema, 1)]
+    assert sum(sizes) == 1000 and max(sizes) == exchange.FILES
+    assert [b.num_rows for b in writers.handed_on(((str(i), bytes(exchange.BYTES)) for i in range(3)), schema, 1)] == [1, 1, 1]
