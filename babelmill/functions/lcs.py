@@ -2,6 +2,7 @@
 
 A pair's row of the dynamic programme is one bit a character of its first text, in 64-bit words. All pairs of a batch
 take one character of their second text a step, so a step costs a few array operations whatever the number of pairs.
+Where one text meets many, these stand in Columns, one place of all in a row, and no step gathers from far apart.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ import numpy as np
 
 #: Words of rows and masks that are held at once.
 HELD = 1 << 21
+#: Texts of Columns that take a step together, so that their rows stay in a core's cache.
+ABREAST = 4096
+#: Bits of a row's word in Columns; the last one holds what is carried on.
+BITS, FULL = 63, np.uint64((1 << 63) - 1)
 
 
 class Texts:
@@ -85,3 +90,53 @@ def _batch(left: Texts, left_ids: np.ndarray, right: Texts, right_ids: np.ndarra
     found = np.empty(len(order), np.int64)
     found[order] = w * 64 - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
     return found
+
+
+class Columns:
+    """Texts in the order of their lengths, one place of all in a row: each can be compared with a text at once."""
+
+    def __init__(self, texts: Texts) -> None:
+        self.lengths = texts.lengths
+        seen = np.zeros(int(texts.codes.max(initial=0)) + 1, bool)
+        seen[texts.codes] = True
+        number = np.cumsum(seen)  # from 1; 0 is none of them
+        self.number, self.n_codes = np.where(seen, number, 0), int(number[-1]) + 1
+        kind = np.uint8 if self.n_codes < 1 << 8 else np.uint16 if self.n_codes < 1 << 16 else np.uint32
+        self.rows = np.zeros((int(self.lengths.max(initial=0)), len(texts)), kind)
+        of = np.repeat(np.arange(len(texts)), self.lengths)
+        self.rows[np.arange(len(of)) - texts.starts[of], of] = number[texts.codes]
+
+    def masks(self, codes: np.ndarray) -> np.ndarray:
+        found = np.zeros((max(1, -(-len(codes) // BITS)), self.n_codes), np.uint64)
+        at = np.arange(len(codes))
+        ids = np.where(codes < len(self.number), self.number[np.minimum(codes, len(self.number) - 1)], 0)
+        np.bitwise_or.at(found, (at // BITS, ids), np.uint64(1) << (at % BITS).astype(np.uint64))
+        found[:, 0] = 0
+        return found
+
+    def lcs(self, codes: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of the text of these code points and each text of some, in ascending order."""
+        masks = self.masks(codes)
+        return np.concatenate([self._lcs(masks, some[i : i + ABREAST]) for i in range(0, len(some), ABREAST)] or [np.zeros(0, np.int64)])
+
+    def _lcs(self, masks: np.ndarray, some: np.ndarray) -> np.ndarray:
+        lengths, w = self.lengths[some], len(masks)
+        row = np.full((w, len(some)), FULL)
+        held, total, carry = (np.zeros(len(some), np.uint64) for _ in range(3))
+        # The shortest come first, so those still running are the last ones.
+        for step, ended in enumerate(np.searchsorted(lengths, np.arange(int(lengths[-1])), "right").tolist()):
+            at = self.rows[step].take(some[ended:]).astype(np.intp)
+            u, t, c = held[ended:], total[ended:], carry[ended:]
+            for k in range(w):
+                r = row[k, ended:]
+                masks[k].take(at, out=u, mode="clip")
+                np.bitwise_and(u, r, out=u)
+                np.add(r, u, out=t)
+                if k:
+                    np.add(t, c, out=t)
+                np.bitwise_xor(r, u, out=r)
+                np.bitwise_or(r, t, out=r)
+                if k + 1 < w:
+                    np.right_shift(t, BITS, out=c)
+                    np.bitwise_and(r, FULL, out=r)
+        return w * BITS - np.bitwise_count(row & FULL).sum(axis=0, dtype=np.int64)

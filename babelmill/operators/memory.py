@@ -14,6 +14,11 @@ blocks), so a large cell is dealt to many tasks; nothing that grows is collected
 bounded by PIVOTS and the number of length bands. A memory whose distinct keys are one block, checked before, needs none of
 this: its keys go to the tasks of the queries.
 
+hits() needs no entries, only how many there are up to k and the best score. Queries first meet the key that is equal and a
+few with the same first or last characters; a query with k entries then looks only for a better score than its best one,
+and one with k entries and a score of 100 for nothing. The others meet all keys, without pivots, and a task raises what
+a key has to reach as it finds them.
+
 Defined cases: a null or blank query matches nothing, a null memory text neither; equal scores by position; rows repeated
 in the memory are entries of their own; queries of one id are searched one by one and ranked together.
 """
@@ -29,15 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from babelmill.functions.lcs import Texts, lcs_lengths
+from babelmill.functions.lcs import Columns, Texts, lcs_lengths
 from babelmill.operators.lineage import stored
 
 #: Pivots, the most characters of one, classes of characters in a bag.
 PIVOTS, PIVOT_CHARS, CLASSES = 8, 256, 64
 #: Keys in a block, blocks in a group, queries that meet a block together, factor between bands of lengths.
 BLOCK, GROUP, TOGETHER, BAND = 1024, 32, 256, 1.25
-#: Characters of keys that may be sent to every task, where all keys are one block.
+#: Characters of keys that may be sent to every task, where all keys are one block, or stand side by side in hits().
 BLOCK_CHARS = 1 << 20
+#: Characters at either end of a key by which hits() finds near ones first, and how many of an end.
+ENDS, NEAR = 12, 32
 
 
 def _sorted_tokens(text: str) -> str:
@@ -61,6 +68,25 @@ def keyed(memory: DataFrame, mode: str, k: int) -> DataFrame:
     return stored(found.select("key", F.col("held")[0]["position"].alias("first"), "held", F.monotonically_increasing_id().alias("key_id")), "memory-keys")
 
 
+def checked(mode: str, k: int) -> None:
+    if mode not in ("token", "char") or not 1 <= k <= 20:
+        raise ValueError("mode is token or char, k from 1 to 20")
+
+
+def query_keys(queries: DataFrame, mode: str) -> DataFrame:
+    """query_id, key: of queries(query_id, text), without null and blank ones."""
+    make = _sorted_tokens if mode == "token" else str
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            kept = pa.array([i for i, t in enumerate(texts) if t and t.strip()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(kept), pa.array([make(texts[i]) for i in kept.to_pylist()], pa.string())], ["query_id", "key"])
+
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(keys_of, "query_id string, key string")
+
+
 def pivots_of(keys: DataFrame) -> list[str]:
     """A few keys, the same at every run: the least hashes. Their number and lengths are bounded."""
     short = keys.where(F.length("key").between(1, PIVOT_CHARS))
@@ -262,18 +288,9 @@ def comparisons(queries: DataFrame, memory: DataFrame, mode: str = "token", k: i
 
 
 def _search(queries: DataFrame, memory: DataFrame, mode: str, k: int, min_score: float, counted: bool) -> tuple[DataFrame, DataFrame]:
-    if mode not in ("token", "char") or not 1 <= k <= 20:
-        raise ValueError("mode is token or char, k from 1 to 20")
-    make = _sorted_tokens if mode == "token" else str
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            kept = pa.array([i for i, t in enumerate(texts) if t and t.strip()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(kept), pa.array([make(texts[i]) for i in kept.to_pylist()], pa.string())], ["query_id", "key"])
-
+    checked(mode, k)
     keys = keyed(memory, mode, k)
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("text").cast("string").alias("text")).mapInArrow(keys_of, "query_id string, key string")
+    asked = query_keys(queries, mode)
     asked = asked.withColumn("asked", F.monotonically_increasing_id())
     entries = keys.select("key_id", "held")
 
@@ -306,8 +323,141 @@ def _in_cells(asked: DataFrame, keys: DataFrame, ranked: Callable[[DataFrame, st
     return first.unionByName(stored(met(rest, blocks, cells, k, len(pivots), counted), "memory-second"))
 
 
+def counted(memory: DataFrame, mode: str, k: int) -> DataFrame:
+    """key, n, copies: each distinct key of memory(source_text), its length and the number of its entries, k at most."""
+
+    def sorted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_sorted_tokens(t) for t in batch.column("key").to_pylist()], pa.string())], ["key"])
+
+    rows = memory.select(F.col("source_text").cast("string").alias("key")).where("key is not null")
+    rows = rows.mapInArrow(sorted_keys, "key string") if mode == "token" else rows
+    found = rows.groupBy("key").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+    return stored(found.select("key", F.length("key").cast("long").alias("n"), "copies"), "memory-counted")
+
+
+def near(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """asked, wanted, key, copies: each query of asked(asked, key) with the key that equals it and at most NEAR that share an end."""
+    ends = lambda c: F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, ENDS)), F.concat(F.lit(">"), F.substring(c, -ENDS, ENDS)))).alias("end")
+    wanted = asked.select("asked", F.col("key").alias("wanted"))
+    equal = wanted.join(keys.select("key", "copies"), F.col("wanted") == F.col("key")).select("asked", "wanted", "key", "copies")
+    asked_ends = wanted.select("asked", "wanted", ends("wanted"))
+    # Cut for each end before the queries are met, so an end that is very frequent stays one row a key.
+    some = keys.select("key", "n", "copies", ends("key")).join(asked_ends.select("end").distinct(), "end", "left_semi")
+    some = some.withColumn("_n", F.row_number().over(W.partitionBy("end").orderBy("n", "key"))).where(F.col("_n") <= NEAR)
+    return equal.unionByName(some.join(asked_ends, "end").select("asked", "wanted", "key", "copies")).distinct()
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wanted, keys = (Texts(batch.column(c).to_pylist()) for c in ("wanted", "key"))
+        each = np.arange(batch.num_rows)
+        score = 200.0 * lcs_lengths(wanted, keys, each, each) / (wanted.lengths + keys.lengths)
+        yield pa.RecordBatch.from_arrays([batch.column("asked"), batch.column("copies"), pa.array(score)], ["asked", "copies", "score"])
+
+
+def _cut(chars: int):
+    """Rows of keys and copies: keys of about one length, in its order, that take that many places side by side, or one key."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            order, at = np.argsort(n, kind="stable"), 0
+            batch, n = batch.take(pa.array(order)), n[order]
+            while at < len(n):
+                stop = at + max(1, int(np.searchsorted(n[at:] * np.arange(1, len(n) - at + 1), chars, "right")))
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([one(batch.column(c).slice(at, stop - at)) for c in ("key", "copies")], ["keys", "copies"])  # noqa: B023
+                at = stop
+
+    return cut
+
+
+class _Tally:
+    """Queries that meet block after block, the entries found (k are enough) and the best score, which the next have to beat."""
+
+    def __init__(self, queries: pa.StructArray, k: int, min_score: float) -> None:
+        self.k, self.min_score = k, min_score
+        self.asked = queries.field("asked").to_numpy()
+        self.texts = Texts(queries.field("key").to_pylist())
+        self.bags = self.texts.bags(CLASSES)
+        self.known = queries.field("found").to_numpy().copy()
+        self.found = np.zeros_like(self.known)
+        self.best = queries.field("best").to_numpy().copy()
+        self.first = self.best.copy()
+
+    def wanted(self, i: int, score: np.ndarray) -> np.ndarray:
+        return score > self.best[i] if max(self.found[i], self.known[i]) >= self.k else score >= self.min_score
+
+    def meet(self, texts: Texts, copies: np.ndarray) -> None:
+        """texts by length."""
+        bags, columns = np.ascontiguousarray(texts.bags(CLASSES).T), Columns(texts)
+        for i, n in enumerate(self.texts.lengths.tolist()):
+            sums = texts.lengths + n
+            fits = np.flatnonzero(self.wanted(i, 200.0 * np.minimum(texts.lengths, n) / sums))
+            if not len(fits):
+                continue
+            some = slice(int(fits[0]), int(fits[-1]) + 1)  # the bound rises up to n and falls after it
+            common = np.zeros(some.stop - some.start, np.int32)
+            for c in np.flatnonzero(self.bags[i]).tolist():
+                common += np.minimum(bags[c, some], self.bags[i, c])
+            e = some.start + np.flatnonzero(self.wanted(i, 200.0 * common / sums[some]))
+            score = 200.0 * columns.lcs(self.texts.codes[self.texts.starts[i] : self.texts.starts[i + 1]], e) / sums[e]
+            hit = score >= self.min_score
+            self.found[i] += copies[e[hit]].sum()
+            self.best[i] = score[hit].max(initial=self.best[i])
+
+    def rows(self) -> pa.RecordBatch:
+        some = np.flatnonzero((self.found > 0) | (self.best > self.first))
+        return pa.RecordBatch.from_arrays([pa.array(self.asked[some]), pa.array(np.minimum(self.found[some], self.k)), pa.array(self.best[some])], ["asked", "found", "best"])
+
+
+def _tallied(k: int, min_score: float):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, _Tally] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.column("part")[row].as_py()
+                if part not in parts:
+                    parts[part] = _Tally(batch.column("queries")[row].values, k, min_score)
+                parts[part].meet(Texts(batch.column("keys")[row].values.to_pylist()), batch.column("copies")[row].values.to_numpy())
+        for done in parts.values():
+            yield done.rows()
+
+    return tally
+
+
+def tallies(asked: DataFrame, keys: DataFrame, k: int, min_score: float) -> DataFrame:
+    """asked, found, best: of asked(asked, key, n, found, best) those that meet more keys of min_score, or better ones if k are
+    found. A row a task, found at most k in each."""
+    least = F.least(F.lit(100.0), F.when(F.col("found") >= k, F.col("best")).otherwise(F.lit(min_score)))
+    some = asked.select(F.count("*").alias("queries"), F.min(F.col("n") * least / (200 - least)).alias("low"), F.max(F.col("n") * (200 - least) / F.nullif(least, F.lit(0.0))).alias("high"), F.min(least).alias("least")).first()
+    if some["queries"]:
+        reach = keys.where(F.col("n") >= math.floor(some["low"]))
+        reach = reach.where(F.col("n") <= math.ceil(some["high"])) if some["least"] > 0 else reach
+    else:
+        reach = keys.limit(0)
+    parts = asked.groupBy(F.pmod(F.xxhash64("asked"), F.lit(max(1, -(-some["queries"] // TOGETHER)))).alias("part")).agg(F.collect_list(F.struct("asked", "key", "found", "best")).alias("queries"))
+    # As many tasks as shuffles have: the work is in comparing.
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = reach.repartition(tasks, "key").select("key", "n", "copies").mapInArrow(_cut(BLOCK_CHARS), "keys array<string>, copies array<long>")
+    return blocks.crossJoin(stored(parts, "memory-parts")).mapInArrow(_tallied(k, min_score), "asked long, found long, best double")
+
+
 def hits(queries: DataFrame, memory: DataFrame, mode: str = "token", k: int = 5, min_score: float = 60.0) -> DataFrame:
     """query_id, hits, best: of every query, also those without any, how many entries it is shown and the best score."""
-    found = search_memory(queries, memory, mode, k, min_score).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    checked(mode, k)
+    min_score = float(min_score)
+    keys = counted(memory, mode, k)
+    asked = stored(query_keys(queries, mode), "memory-queries")
+    each = stored(asked.select("key").distinct().select("key", F.length("key").cast("long").alias("n"), F.monotonically_increasing_id().alias("asked")), "memory-asked")
+    first = near(each, keys).mapInArrow(_scores, "asked long, copies long, score double").where(F.col("score") >= min_score)
+    first = first.groupBy("asked").agg(F.sum("copies").alias("found"), F.max("score").alias("best"))
+    first = stored(each.join(first, "asked", "left").select("asked", "key", "n", F.coalesce("found", F.lit(0)).cast("long").alias("found"), F.coalesce("best", F.lit(-1.0)).alias("best")), "memory-near")
+    more = tallies(first.where((F.col("found") < k) | (F.col("best") < 100)), keys, k, min_score).groupBy("asked").agg(F.sum("found").alias("more"), F.max("best").alias("better"))
+    # A query that had k is full; the others have met every key, those found at first again.
+    n = F.when(F.col("found") >= k, F.lit(k)).otherwise(F.least(F.coalesce("more", F.lit(0)), F.lit(k)))
+    of = first.join(stored(more, "memory-tallies"), "asked", "left").select("key", n.alias("n"), F.greatest("best", "better").alias("best"))
+    found = asked.join(of, "key").groupBy("query_id").agg(F.least(F.sum("n"), F.lit(k)).alias("hits"), F.max(F.when(F.col("n") > 0, F.col("best"))).alias("best"))
     every = queries.select(F.col("query_id").cast("string").alias("query_id")).distinct()
-    return every.join(found, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "best")
+    return every.join(found, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.round("best", 6).alias("best"))

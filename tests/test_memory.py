@@ -119,3 +119,63 @@ def test_mode_and_number_are_checked(spark):
     for mode, k in (("words", 5), ("char", 0), ("token", 21)):
         with pytest.raises(ValueError, match="mode is token or char"):
             memory.search_memory(q, m, mode, k)
+
+
+def brute_hits(asked, held, mode, k=5, least=60):
+    """query_id, hits, best: queries of one id are searched one by one."""
+    key = (lambda t: " ".join(sorted(t.split()))) if mode == "token" else str
+    out = {i: (0, None) for i, _ in asked}
+    for i, q in asked:
+        if q and q.strip():
+            found = sorted((x for s in held if s is not None for x in [similarity.ratio_of(key(q), key(s))] if x >= least), reverse=True)[:k]
+            if found:
+                out[i] = min(k, out[i][0] + len(found)), round(max(found[0], out[i][1] or 0), 6)
+    return out
+
+
+@pytest.mark.parametrize("mode", ["char", "token"])
+@pytest.mark.parametrize(("k", "least", "chars"), [(5, 60.0, 1 << 20), (2, 45.0, 300), (1, 0.0, 2000)])
+def test_hits_against_brute_force(spark, mode, k, least, chars, monkeypatch):
+    """Copies, near copies at either end, few and no hits, queries that are repeated, blank ones, texts of several words of bits; without pivots."""
+    for name, value in (("BLOCK", 8), ("NEAR", 2), ("TOGETHER", 3), ("BLOCK_CHARS", chars)):
+        monkeypatch.setattr(memory, name, value)
+    monkeypatch.setattr(memory, "pivots_of", lambda keys: pytest.fail("pivots are of no use to hits"))
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("etaoinshé中𝄞") for _ in range(r.randrange(1, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    lines = [line(r.randrange(1, 30)) for _ in range(150)]
+    held = lines + lines[:10] * 6 + lines[10:20] + [line(4) + " " + x for x in lines[20:40]] + [x + " " + line(9) for x in lines[20:30] * 3] + ["", " ", None, "x" * 3000]
+    asked = [(str(i), x) for i, x in enumerate(lines[:40])] + [("a", lines[50]), ("a", lines[3]), ("a", lines[50]), ("b", " "), ("b", None), ("c", "Q" * 70), ("d", line(25)), ("e", "e"), ("f", lines[60] + lines[61])]
+    q = spark.createDataFrame(asked, "query_id string, text string")
+    m = spark.createDataFrame([(i, x, None) for i, x in enumerate(held)], "position long, source_text string, target_text string").repartition(3)
+    got = {x.query_id: (x.hits, x.best) for x in memory.hits(q, m, mode, k, least).collect()}
+    assert got == brute_hits(asked, held, mode, k, least)
+
+
+def test_full_queries_look_only_for_better_ones(monkeypatch):
+    import pyarrow as pa
+
+    compared = []
+    lcs = memory.Columns.lcs
+    monkeypatch.setattr(memory.Columns, "lcs", lambda self, codes, some: compared.append(len(some)) or lcs(self, codes, some))
+    queries = pa.StructArray.from_arrays([pa.array([4, 9]), pa.array(["abcdefghij", "klmnopqrst"]), pa.array([0, 5]), pa.array([-1.0, 90.0])], ["asked", "key", "found", "best"])
+    tally = memory._Tally(queries, 5, 60.0)
+    tally.meet(Texts(["abcdefgh", "abcdefghi", "abcdefghij"]), np.array([3, 1, 1]))
+    assert sum(compared) == 3  # the second one wants more than 90
+    tally.meet(Texts(["abcdefghi", "abcdefghij", "klmnopqrst"]), np.ones(3, np.int64))
+    assert sum(compared) == 4 and tally.rows().to_pydict() == {"asked": [4, 9], "found": [5, 1], "best": [100.0, 100.0]}
+
+
+@pytest.mark.parametrize("sizes", [(0, 1, 5, 62, 63, 64, 126, 127, 200), (3, 9)])
+def test_lcs_of_columns(sizes, monkeypatch):
+    from babelmill.functions import lcs as module
+
+    monkeypatch.setattr(module, "ABREAST", 5)
+    r = random.Random(len(sizes))
+    text = lambda: "".join(r.choice("abc dé中𝄞") for _ in range(r.choice(sizes)))
+    texts = sorted((text() for _ in range(17)), key=len)
+    columns = module.Columns(Texts(texts))
+    for one in [text() for _ in range(9)] + ["zzz" * 50, "a" * 130]:
+        some = np.array(sorted(r.sample(range(17), 11)))
+        assert columns.lcs(Texts([one]).codes, some).tolist() == [similarity.lcs_length(one, texts[i]) for i in some]
+    assert columns.lcs(Texts(["a"]).codes, np.zeros(0, np.int64)).tolist() == []
