@@ -96,7 +96,7 @@ def doc_starts(n: np.ndarray) -> np.ndarray:
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of docs(row_id, text); row_id may be of any simple type."""
     docs = docs.select("row_id", "text")
-    return stored(docs.mapInArrow(_segments, INDEX.format(docs.schema["row_id"].dataType.simpleString())), "positional-index")
+    return stored(docs.mapInArrow(_segments, INDEX.format(docs.schema["row_id"].dataType.simpleString())), "positional-index", large_rows=True)
 
 
 class Phrases:
