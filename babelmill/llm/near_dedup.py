@@ -146,17 +146,23 @@ def distance(a: Column, b: Column) -> Column:
     return out
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for a join by sorting and merging. Spark sizes a stored table by its compressed file, an array by one element and what
+    comes from Arrow or an explode by what goes in, and would broadcast more than the driver can hold."""
+    return df.hint("merge")
+
+
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """cid, text of the classes in wanted(cid): one text a class, also where rows are repeated."""
-    wanted = stored(wanted.distinct().join(classes.select("cid", "row_id"), "cid"), "near-wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = stored(apart(wanted.distinct()).join(classes.select("cid", "row_id"), "cid"), "near-wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else apart(wanted)
     return stored(docs.join(ids, "row_id").groupBy("cid").agg(F.first("text").alias("text")), "near-texts")
 
 
 def near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (u, v) of classes those that their sizes, signatures and sketches allow."""
     held = lambda x: classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "sig")])
-    found = pairs.join(held("u"), "u").join(held("v"), "v")
+    found = pairs.join(apart(held("u")), "u").join(apart(held("v")), "v")
     found = found.where(alike(F.col("n_u"), F.col("n_v")) & close(F.col("sketch_u"), F.col("sketch_v"), F.col("n_u"), F.col("n_v")))
     found = found.where(distance(F.col("sig_u"), F.col("sig_v")) <= DISTANCE)
     return stored(found.select("u", "v"), "near-pairs")
@@ -187,13 +193,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     of = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}"))
-    return stored(pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u long, v long"), "near-links")
+    return stored(pairs.join(apart(of("u")), "u").join(apart(of("v")), "v").mapInArrow(compare, "u long, v long"), "near-links")
 
 
 def mixed_keys(labelled: DataFrame) -> DataFrame:
     """Rows (key, cid, root, ...) of the keys whose classes are in different components."""
     mixed = labelled.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    return labelled.join(mixed, "key")
+    return labelled.join(apart(mixed), "key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,10 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(apart(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct()
+        small = down.join(apart(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct()
         e = stored(small, "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -240,7 +246,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def without_keys(held: DataFrame, keys: DataFrame) -> DataFrame:
     """held without the rows whose key is in keys(key); keys are broadcast only below a checked number."""
     keys = stored(keys, "keys")
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else apart(keys)
     return held.join(side, "key", "left_anti")
 
 
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     keys = classes.select("cid", "n", "sig").mapInArrow(_index, "key long, cid long, n long")
     # Keys with more than one class; the smallest class of a key is its star's centre.
     shared = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("_last")).where("centre < _last").drop("_last")
-    members = stored(keys.join(shared, "key"), "near-members")
+    members = stored(keys.join(apart(shared), "key"), "near-members")
     pairs = members.where("cid <> centre").select(F.col("centre").alias("u"), F.col("cid").alias("v")).distinct()
     pairs = near(classes, pairs)
     links = confirmed(pairs, texts_of(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("cid"))), shingle)
@@ -264,7 +270,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     roots = components(links)
 
     def with_roots(rows: DataFrame) -> DataFrame:
-        return rows.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        return rows.join(apart(roots), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
     # Members of a key that are still in different components.
     rest = stored(mixed_keys(with_roots(members.select("key", "cid", "n"))), "near-mixed")
@@ -277,19 +283,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             # All members of different components meet; those whose sketches allow a link are pairs.
             # A pair is made under the least key it shares, so once.
             keys = rest.groupBy("cid").agg(F.collect_list("key").alias("keys"))
-            full = rest.join(classes.select("cid", "sketch").join(keys, "cid"), "cid")
+            full = rest.join(apart(classes.select("cid", "sketch").join(apart(keys), "cid")), "cid")
             a = full.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "root", "sketch", "keys")])
             b = full.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "sketch", "keys")])
             on = (a.key == b.key) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b"))
             on = on & close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
             on = on & (a.key == F.array_min(F.array_intersect("keys_a", "keys_b")))
-            new = a.join(b, on).select(F.col("cid_a").alias("u"), F.col("cid_b").alias("v"))
+            new = a.join(apart(b), on).select(F.col("cid_a").alias("u"), F.col("cid_b").alias("v"))
         else:
             # Very large keys: another centre for each first, met by the members of other components.
             centre = rest.groupBy("key").agg(F.min_by(F.struct("cid", "root", "n"), F.xxhash64("cid", F.lit(turn))).alias("_c"))
-            met = rest.join(centre, "key").where("root <> _c.root").where(alike(F.col("n"), F.col("_c.n")))
+            met = rest.join(apart(centre), "key").where("root <> _c.root").where(alike(F.col("n"), F.col("_c.n")))
             new = met.select(F.least("cid", F.col("_c.cid")).alias("u"), F.greatest("cid", F.col("_c.cid")).alias("v"))
-        new = near(classes, new.distinct().join(done, ["u", "v"], "left_anti"))
+        new = near(classes, new.distinct().join(apart(done), ["u", "v"], "left_anti"))
         found = confirmed(new, texts_of(docs, classes, new.select(F.explode(F.array("u", "v")).alias("cid"))), shingle)
         done = done.union(new.select("u", "v"))
         links = links.union(found)
@@ -297,11 +303,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         if last:
             break
         rest = stored(mixed_keys(with_roots(rest.drop("root"))), "near-mixed")
-    least = classes.select("cid", "first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = classes.select("cid", "first").join(apart(roots), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = least.groupBy("root").agg(F.min("first").alias("lowest"))
-    by_class = least.join(lowest, "root").select("cid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row_id").alias("_stays"))
-    by_class = by_class.join(classes.select("cid", "d1", "d2", "n"), "cid").drop("cid")
-    out = rows.select("row_id", "doc_id", "d1", "d2", "n").join(by_class, ["d1", "d2", "n"], "left").withColumnRenamed("n", "n_shingles")
+    by_class = least.join(apart(lowest), "root").select("cid", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row_id").alias("_stays"))
+    by_class = by_class.join(apart(classes.select("cid", "d1", "d2", "n")), "cid").drop("cid")
+    out = rows.select("row_id", "doc_id", "d1", "d2", "n").join(apart(by_class), ["d1", "d2", "n"], "left").withColumnRenamed("n", "n_shingles")
     empty = F.col("n_shingles") == 0
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(

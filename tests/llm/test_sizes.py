@@ -3,7 +3,7 @@
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from babelmill.llm import decontamination
+from babelmill.llm import decontamination, near_dedup
 from babelmill.operators import lineage
 
 
@@ -16,3 +16,20 @@ def test_row_groups_of_the_index_are_bounded_in_bytes(spark):
     assert index.count() > 20
     assert sum(g.total_byte_size for g in groups) > 2 * lineage.LARGE_ROWS["parquet.block.size"]
     assert max(g.total_byte_size for g in groups) < 2 * lineage.LARGE_ROWS["parquet.block.size"]
+
+
+def test_near_dedup_broadcasts_only_what_is_counted(spark, monkeypatch):
+    stored, joined = near_dedup.stored, {}
+
+    def watched(df, name):
+        joined.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", watched)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {'x' * (i % 3)}") for i in range(30)] + [(99, "quite another text of some words")], "doc_id long, text string")
+    out = near_dedup.near_duplicates(docs)
+    joined["out"] = [out._jdf.queryExecution().sparkPlan().toString()]
+    assert {name for name, plans in joined.items() if any("BroadcastHashJoin" in p for p in plans)} <= {"near-texts"}
+    assert all("SortMergeJoin" in p for name in ("near-members", "near-pairs", "near-links", "out") for p in joined[name])
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, 0) for i in range(30)} | {(99, 99)}
