@@ -14,8 +14,8 @@ def first_wins(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
-def concatenated(df: DataFrame, key: str, order: str, value: str, sep: str = " ") -> DataFrame:
-    """Values of a key in order, joined."""
+def concatenated(df: DataFrame, key: str | list[str], order: str, value: str, sep: str = " ") -> DataFrame:
+    """Values of a key (a column or several) in order, joined."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return df.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["v"]), sep).alias(value))
 

@@ -216,17 +216,23 @@ def fill_docx(files: DataFrame, translations: DataFrame) -> DataFrame:
     an id of a whole paragraph (docx_blocks' key) replaces all of it; paragraphs without any keep their text. unmatched are the
     ids that no block has, ascending.
     """
-    t = translations.where("id is not null").withColumn("_k", F.struct("path", "id"))
-    t = concatenated(t, "_k", "pos", "text").select("_k.*", F.col("text").alias("_new"))
-    blocks = docx_blocks(parsed(files, docx_paragraphs, DOCX)).select("path", "key", "id", "i", "text")
-    by_sentence = blocks.join(t, ["path", "id"], "left").groupBy("path", "key").agg(
-        F.array_sort(F.collect_list(F.struct("i", F.coalesce("_new", "text").alias("text")))).alias("pieces"), F.max(F.col("_new").isNotNull()).alias("some")
-    )
-    by_sentence = by_sentence.select("path", "key", "some", F.array_join(F.transform("pieces", lambda x: x["text"]), " ").alias("text"))
-    whole = by_sentence.join(t.withColumnRenamed("id", "key"), ["path", "key"], "left")
-    new = whole.where("some or _new is not null").select("path", F.col("key").alias("id"), F.coalesce("_new", "text").alias("text"))
-    known = blocks.select("path", "id").union(blocks.select("path", F.col("key").alias("id"))).distinct()
-    missing = t.join(known, ["path", "id"], "left_anti").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("missing"))
+    # Rows without a path meet nothing.
+    t = concatenated(translations.where("id is not null and path is not null"), ["path", "id"], "pos", "text")
+    t = t.select("path", "id", F.col("text").alias("_new"))
+    blocks = docx_blocks(parsed(files, docx_paragraphs, DOCX).where("path is not null")).select("path", "key", "id", "i", "text")
+    # Dealt by file once, then translations and blocks meet in a window over ids: joins would deal them again by all of their keys.
+    of_id = W.partitionBy("path", "id")
+    met = t.unionByName(blocks, allowMissingColumns=True).repartition("path")
+    met = met.withColumns({"_new": F.max("_new").over(of_id), "_known": F.max("key").over(of_id)})
+    # An id that no block has may be that of a whole paragraph.
+    met = met.where("key is not null or _known is null").withColumn("_key", F.coalesce("key", "id"))
+    by_key = met.groupBy("path", "_key").agg(
+        F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("i", F.coalesce("_new", "text").alias("text"))))).alias("pieces"),
+        F.max(F.when(F.col("id") == F.col("_key"), F.col("_new"))).alias("whole"), F.max(F.col("_new").isNotNull()).alias("some"),
+    )
+    text = F.coalesce("whole", F.array_join(F.transform("pieces", lambda x: x["text"]), " "))
+    new = by_key.where("some and size(pieces) > 0").select("path", F.col("_key").alias("id"), text.alias("text"))
+    missing = by_key.where("size(pieces) = 0").groupBy("path").agg(F.array_sort(F.collect_list("_key")).alias("missing"))
     filled = _filled(files, new, filled_docx).drop("unmatched").join(missing, "path", "left")
     return filled.select("path", "content", F.coalesce("missing", F.array().cast("array<string>")).alias("unmatched"))
 

@@ -204,3 +204,36 @@ def test_files_are_handed_on_in_small_batches():
     sizes = [b.num_rows for b in writers.handed_on(((str(i), b"x") for i in range(1000)), schema, 1)]
     assert sum(sizes) == 1000 and max(sizes) == exchange.FILES
     assert [b.num_rows for b in writers.handed_on(((str(i), bytes(exchange.BYTES)) for i in range(3)), schema, 1)] == [1, 1, 1]
+
+
+def test_fill_docx_deals_rows_by_file_only(spark):
+    """Sentences and translations meet within a file: they are dealt by path once, not again by every key. Rows without path, id or text, files without translations and files that come twice count as ever."""
+    docs = {f"f{i}": [[f"S{i} {p} {k}." for k in range(1 + (i + p) % 4)] for p in range(1 + i % 7 * 3)] for i in range(40)}
+    files = [(path, bytearray(package("".join(said(" ".join(s)) for s in paragraphs)))) for path, paragraphs in docs.items()]
+    files += [("twice", bytearray(docx())), ("twice", bytearray(docx())), (None, bytearray(docx()))]
+    new = [(f"f{i}", f"{p + 1}_{k}", at, f"T{i} {p} {k} {at}") for i in range(0, 40, 3) for p in range(1 + i % 7 * 3) for k in range(0, 1 + (i + p) % 4, 2) for at in (1, 0)]
+    new += [("f3", "2", 0, "All of it."), ("f3", "99", 0, "x"), ("f4", "1_9", 0, "x"), ("f5", None, 0, "x"), (None, "1_0", 0, "x"), ("f1", "1_0", 0, None), ("twice", "1_0_0", 0, "new"), ("nowhere", "1", 0, "x")]
+    f = spark.createDataFrame(files, "path string, content binary").repartition(3)
+    t = spark.createDataFrame(new, "path string, id string, pos int, text string").repartition(5)
+    wanted = {}
+    for path, paragraphs in docs.items():
+        of = lambda i: [x for _, x in sorted((at, x) for p, k, at, x in new if (p, k) == (path, i))]  # noqa: B023, E731
+        wanted[path] = {str(p + 1): " ".join(of(str(p + 1)) or [" ".join(filter(None, of(f"{p + 1}_{k}"))) if of(f"{p + 1}_{k}") else x for k, x in enumerate(s)]) for p, s in enumerate(paragraphs)}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        filled = writers.fill_docx(f, t)
+        rows = filled.collect()
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {r.path: r for r in rows if r.path in docs}
+    # Without sentences left as they were, a paragraph's text is not cut in the file.
+    assert {k: {str(e): x for _, e, _, _, x, *_ in exchange.docx_paragraphs(bytes(r.content))} for k, r in got.items()} == {k: {p: " ".join(x.split()) for p, x in v.items()} for k, v in wanted.items()}
+    assert {k: r.unmatched for k, r in got.items() if r.unmatched} == {"f3": ["99"], "f4": ["1_9"]} and len(rows) == len(files)
+    others = [(r.path, [x[4] for x in exchange.docx_paragraphs(bytes(r.content))]) for r in rows if r.path not in docs]
+    assert sorted(others, key=str) == [("twice", ["One. Two.", "new"])] * 2 + [(None, ["One. Two.", "cell"])]
+    assert set(exchange.re.findall(r"hashpartitioning\((.*?), \d+\)", exchange.re.sub(r"#\d+L?", "", plan))) == {"path", "path, id"}
