@@ -34,6 +34,20 @@ def test_error_info(spark):
     assert {r.k: r.e.message for r in d.collect()} == cases
 
 
+def test_error_info_works_its_error_out_once(spark):
+    """However many of its fields are asked for; fields of any kind, missing and null ones, and errors that are null."""
+    none = (None, None, None)
+    cases = {
+        '{"message": "m", "name": "n", "code": 7, "stack": "s"}': ("m", "n", "7", "s"), '{"message": "m", "name": "", "code": null}': ("m", *none), '{"message": "m", "stack": "%s"}' % ("é" * 4000): ("m", None, None, "é" * 4000),
+        '{"message": "m", "stack": "%s"}' % ("é" * 4001): ("m", None, None, "é" * 4000 + "..."), '{"message": "m", "name": {"a": [1, null]}, "code": [true]}': ("m", '{"a":[1,null]}', "[true]", None),
+        '{"message": 0, "code": 1.50}': ("0", None, "1.5", None), '{"message": {}, "name": "n"}': ("{}", "n", None, None), '{"message": null, "name": "n"}': ("[object Object]", *none), '{"Message": "m", "name": "n"}': ("[object Object]", *none),
+        '{"message": false}': ("false", *none), "[]": ("[]", *none), '["message", {"message": "m"}]': ('["message",{"message":"m"}]', *none), '"0"': ("0", *none), '"false"': ("false", *none), "0.0": ("Unknown error", *none), "-1e3": ("-1000.0", *none), None: ("Unknown error", *none),
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "k string").select("k", tx.error_info(F.parse_json("k")).alias("e")).select("k", "e.*")
+    assert {r.k: tuple(r)[1:] for r in d.collect()} == cases
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_profiles(spark):
     cases = {'{"role": null, "preferences": ["a"]}': ("", ["a"], True), '{"role": "r"}': ("r", [], True), '{"preferences": []}': ("", [], False), "[1]": ("", [], False), "": ("", [], False), "{x": ("", [], False)}
     d = spark.createDataFrame([(k,) for k in cases], "k string").select("k", tx.profile_of(F.col("k")).alias("p"))
